@@ -7,7 +7,7 @@ a value for profiling and turns into missing only in front of the models (:func:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +93,15 @@ def require_columns(df: DataFrame, names: list[str], at_least: int = 1, numeric:
             raise ValueError(f"not numeric: {wrong}")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of literal rows, folded into the plan (no Python data source)."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    entries = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*entries)))
+
+
 def rows_per_column(wide: DataFrame, names: list[str], metrics: list[str], keys: tuple = ()) -> DataFrame:
     """Turn one wide aggregate row (``metric_ordinal`` columns) into one row per column."""
     entries = [

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode whitespace as stripped by the str methods of Python.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 
@@ -36,10 +38,8 @@ def rstrip(value: Column) -> Column:
 
 
 def contains_any(value: Column, words) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(value, F.lit(word))
-    return found
+    """Whether any of ``words`` occurs in the text; one pass for the whole list."""
+    return value.rlike("|".join(re.escape(w) for w in words))
 
 
 def filled(value: Column) -> Column:
@@ -87,7 +87,8 @@ def chat_title(title: Column, existing: Column, first_content: Column) -> Column
 
 
 def encode_figure(figure: Column) -> Column:
-    return F.base64(figure)
+    """Base64 on one line (Spark's own function breaks it every 76 characters)."""
+    return F.translate(F.base64(figure), "\r\n", "")
 
 
 def decode_figure(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, present
-from tabulon.session import spread, staged
+from tabulon.session import SPREAD_ROWS, spread, staged
 
 # Model defaults.
 SEED = 42
@@ -59,11 +59,14 @@ def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.n
     return np.array(chosen)
 
 
-def _scan(data: DataFrame, features: list[str], centers: dict[int, np.ndarray], with_cost: bool = False) -> dict[int, tuple]:
+def _scan(
+    data: DataFrame, features: list[str], centers: dict[int, np.ndarray], few_tasks: bool, with_cost: bool = False
+) -> dict[int, tuple]:
     """One scan for all starts: per (start, cluster) row count, feature sums and cost.
 
-    Tasks return one row per start and cluster; Spark adds them up, so the driver receives
-    starts x clusters rows whatever the size of the data.
+    Tasks return one row per start and cluster. Spark adds them up, so the driver receives
+    starts x clusters rows whatever the size of the data; only for a table known to be read by
+    a few tasks their rows come to the driver as they are, which saves a shuffle per scan.
     """
     starts = sorted(centers)
     k = len(next(iter(centers.values())))
@@ -103,18 +106,15 @@ def _scan(data: DataFrame, features: list[str], centers: dict[int, np.ndarray],
             )
 
     fields = ", ".join(f"{s} double" for s in sums)
-    merged = (
-        data.select(*features)
-        .mapInArrow(partial, f"start int, cluster int, n double, cost double, {fields}")
-        .groupBy("start", "cluster")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
-    )
+    merged = data.select(*features).mapInArrow(partial, f"start int, cluster int, n double, cost double, {fields}")
+    if not few_tasks:
+        merged = merged.groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
     found: dict[int, tuple] = {s: (np.zeros(k), np.zeros((k, len(features))), np.zeros(k)) for s in starts}
     for row in merged.collect():
         counts, totals, costs = found[row["start"]]
-        counts[row["cluster"]] = row["n"]
-        costs[row["cluster"]] = row["cost"]
-        totals[row["cluster"]] = [row[s] for s in sums]
+        counts[row["cluster"]] += row["n"]
+        costs[row["cluster"]] += row["cost"]
+        totals[row["cluster"]] += [row[s] for s in sums]
     return found
 
 
@@ -138,6 +138,7 @@ def fit_kmeans(
     n = df.count()
     if n < k:
         raise ValueError(f"{n} rows are too few for {k} clusters")
+    few_tasks = n <= SPREAD_ROWS and not df.is_cached
     already_stored = df.is_cached
     if not already_stored:
         data = spread(data, n).persist()
@@ -152,14 +153,14 @@ def fit_kmeans(
         iterations = 0
         while active and iterations < max_iterations:
             iterations += 1
-            for start, (counts, totals, _) in _scan(data, features, active).items():
+            for start, (counts, totals, _) in _scan(data, features, active, few_tasks).items():
                 moved = np.where(counts[:, None] > 0, totals / np.maximum(counts, 1)[:, None], centers[start])
                 shift = float(((moved - centers[start]) ** 2).sum())
                 centers[start] = moved
                 active[start] = moved
                 if shift <= limit:
                     del active[start]
-        final = _scan(data, features, centers, with_cost=True)
+        final = _scan(data, features, centers, few_tasks, with_cost=True)
     finally:
         if not already_stored:
             data.unpersist()

@@ -30,6 +30,7 @@ from tabulon.functions.columns import (
     present,
     require_columns,
     rows_per_column,
+    small_table,
 )
 from tabulon.operators.quantiles import fits_direct, percentile_expr, percentiles
 
@@ -48,7 +49,7 @@ def row_column_counts(df: DataFrame) -> DataFrame:
 def schema_overview(df: DataFrame) -> DataFrame:
     """One row per column: position, name, Spark type and type family. No job on the data."""
     rows = [(i, f.name, f.dataType.simpleString(), family(f.dataType)) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "ordinal int, column string, type string, family string")
+    return small_table(df.sparkSession, rows, "ordinal int, column string, type string, family string")
 
 
 # --- duplicates -----------------------------------------------------------------------------
@@ -221,7 +222,9 @@ def top_values_text(
     """``(ordinal, column, top)``: the top values as one text per column."""
     names = categorical_columns(df) if columns is None else columns
     ordinals = {n: i for i, n in enumerate(df.columns)}
-    all_names = df.sparkSession.createDataFrame([(ordinals[n], n) for n in names], "ordinal int, column string")
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, top string")
+    all_names = small_table(df.sparkSession, [(ordinals[n], n) for n in names], "ordinal int, column string")
     top = top_values(df, k, names)
     listed = top.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("items"))
     joined = F.array_join(F.transform("items", lambda t: F.format_string(pattern, t["value"], t["n"])), separator)
@@ -305,7 +308,7 @@ def basic_analysis(df: DataFrame, digits: int = 3) -> DataFrame:
     if not numeric_columns(df):
         return profile
     stats = describe_numeric(df, digits=digits).drop("ordinal")
-    return profile.join(stats, "column", "left")
+    return profile.join(stats, "column", "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))
 
 
 def _long(df: DataFrame, section: str, metrics: dict[str, Column], text: dict[str, Column]) -> DataFrame:
@@ -377,7 +380,7 @@ def overview_hints(df: DataFrame) -> DataFrame:
         F.lit("most_missing").alias("hint"), "column", F.col("missing").alias("value")
     )
     kinds = {"numeric_follow_ups": len(numeric_columns(df)), "category_follow_ups": len(categorical_columns(df))}
-    rest = spark.createDataFrame([(h, None, n) for h, n in kinds.items()], "hint string, column string, value bigint")
+    rest = small_table(spark, [(h, None, n) for h, n in kinds.items()], "hint string, column string, value bigint")
     return duplicates.unionByName(worst).unionByName(rest).where("value > 0")
 
 

@@ -62,6 +62,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 SPREAD_ROWS = 5_000_000
+ROWS_PER_TASK = 10_000
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:
@@ -72,4 +73,5 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     """
     if rows > SPREAD_ROWS:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, rows // ROWS_PER_TASK)))
