@@ -11,11 +11,16 @@ from tabulon.functions.columns import as_text, col, is_numeric
 # What counts as a number in text form.
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
-# Layouts tried for text dates after ISO, one layout for a whole column.
-DATE_LAYOUTS = ("MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "dd.MM.yyyy", "yyyy/MM/dd", "yyyyMMdd")
-
-# A bare number without four digits is not a date.
-DATE_GUARD = r"[-/:.]|^\s*\d{4}\s*$|^\s*\d{8}\s*$"
+# Layouts tried for text dates after ISO, one layout for a whole column, each with
+# the shape a value must have (the shape test is cheap, a failing parse is not).
+DATE_LAYOUTS = (
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("MM/dd/yyyy HH:mm:ss", r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$"),
+    ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+)
+ISO_SHAPE = r"^\s*(\d{4}(-\d|\s*$)|\d{1,2}:\d{2})"
 
 
 def text_to_number(value: Column) -> Column:
@@ -37,8 +42,8 @@ def coerce_numeric(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _timestamp_candidates(value: Column) -> list[Column]:
-    guarded = F.when(value.rlike(DATE_GUARD), value)
-    return [guarded.try_cast("timestamp")] + [F.try_to_timestamp(guarded, F.lit(p)) for p in DATE_LAYOUTS]
+    iso = F.when(value.rlike(ISO_SHAPE), value).try_cast("timestamp")
+    return [iso] + [F.try_to_timestamp(F.when(value.rlike(shape), value), F.lit(p)) for p, shape in DATE_LAYOUTS]
 
 
 def coerce_datetimes(df: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -93,11 +93,15 @@ def require_columns(df: DataFrame, names: list[str], at_least: int = 1, numeric:
             raise ValueError(f"not numeric: {wrong}")
 
 
+def _literal(value) -> Column:
+    return F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A handful of literal rows, folded into the plan (no Python data source)."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     entries = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
+        F.struct(*[_literal(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
     ]
     return spark.range(1).select(F.inline(F.array(*entries)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +81,46 @@ def named_column(prompt: Column, columns: list[str]) -> Column:
 
 
 def routed(prompts: DataFrame, prompt: str, columns: list[str]) -> DataFrame:
-    """``prompts`` plus ``route``, ``direction`` and, for extreme questions, ``target``."""
-    text = F.col(prompt)
-    return prompts.withColumns(
+    """``prompts`` plus ``overview``, ``code``, ``route``, ``direction``, ``named`` (the column a
+    prompt names) and ``target`` (the same, for extreme questions).
+
+    Normalised texts and word tests are columns of their own first, so each is computed once.
+    """
+    entries = [
+        F.struct(F.lit(c).alias("name"), F.lit(c.lower()).alias("text"), F.lit(re.sub(SEPARATORS, "", c.lower())).alias("short"))
+        for c in columns
+    ]
+
+    def first_named(test) -> Column:
+        if not entries:
+            return F.lit(None).cast("string")
+        return F.get(F.filter(F.array(*entries), test), F.lit(0))["name"]
+
+    lower = prompts.withColumn("_lower", F.lower(F.col(prompt)))
+    texts = lower.withColumn("_text", F.translate("_lower", QUOTES, ""))
+    texts = texts.withColumn("_compact", F.regexp_replace("_text", SEPARATORS, ""))
+    tests = {
+        "_missing": (MISSING_WORDS, MOST_WORDS),
+        "_max": (MAX_WORDS, ROW_WORDS),
+        "_min": (MIN_WORDS, ROW_WORDS),
+        "overview": (OVERVIEW_PHRASES, DATA_WORDS),
+    }
+    flags = {n: contains_any(F.col("_lower"), a) & contains_any(F.col("_lower"), b) for n, (a, b) in tests.items()}
+    flagged = texts.withColumns(
         {
-            "route": route(text),
-            "direction": direction(text),
-            "target": F.when(route(text) == "extreme", named_column(text, columns)),
+            **flags,
+            "code": contains_any(F.col("_lower"), CODE_WORDS),
+            "_written": first_named(lambda c: F.contains("_text", c["text"])),
+            "_loose": first_named(lambda c: (c["short"] != "") & F.contains("_compact", c["short"])),
         }
     )
+    extreme = ~F.col("_missing") & (F.col("_max") | F.col("_min"))
+    named = F.coalesce("_written", "_loose")
+    return flagged.withColumns(
+        {
+            "route": F.when(F.col("_missing"), "missing").when(extreme, "extreme").otherwise("none"),
+            "direction": F.when(extreme, F.when(F.col("_max"), "max").otherwise("min")),
+            "named": named,
+            "target": F.when(extreme, named),
+        }
+    ).drop("_lower", "_text", "_compact", "_missing", "_max", "_min", "_written", "_loose")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,8 +38,8 @@ def rstrip(value: Column) -> Column:
 
 
 def contains_any(value: Column, words) -> Column:
-    """Whether any of ``words`` occurs in the text; one pass for the whole list."""
-    return value.rlike("|".join(re.escape(w) for w in words))
+    """Whether any of ``words`` occurs in the text."""
+    return reduce(Column.__or__, [F.contains(value, F.lit(w)) for w in words])
 
 
 def filled(value: Column) -> Column:

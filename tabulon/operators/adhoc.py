@@ -67,7 +67,7 @@ def group_aggregate(
     require_columns(df, [*keys, *[c for c in aggregates if c != "*"]])
     df = with_keys(df, keys)
     medians = [c for c, functions in aggregates.items() if "median" in functions]
-    direct = not medians or fits_direct(df, direct_rows)
+    direct = not medians or fits_direct(df, direct_rows, keys)
     columns = []
     for name, functions in aggregates.items():
         for function in functions:
@@ -81,9 +81,9 @@ def group_aggregate(
     if direct:
         return grouped
     if not keys:
-        middle = percentile_values(df, medians, 0.5, direct_rows=0)
+        middle = percentile_values(df, medians, 0.5, direct_rows=-1)
         return grouped.withColumns({f"median_{m}": F.lit(middle.get(m)).cast("double") for m in medians})
-    middle = percentiles(df, medians, [0.5], tuple(keys), direct_rows=0)
+    middle = percentiles(df, medians, [0.5], tuple(keys), direct_rows=-1)
     wide = middle.groupBy(*[col(k) for k in keys]).pivot("column", medians).agg(F.first(F.get("q", F.lit(0))))
     wide = wide.withColumnsRenamed({m: f"median_{m}" for m in medians})
     return grouped.join(wide, keys, "left")

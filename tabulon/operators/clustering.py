@@ -59,8 +59,21 @@ def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.n
     return np.array(chosen)
 
 
+def _blocks(data: DataFrame, features: list[str]) -> DataFrame:
+    """The feature rows as binary blocks of doubles, one per Arrow batch: repeated scans then move
+    a few large values instead of many rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                block = np.ascontiguousarray(_matrix(batch, features), dtype=np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
+
+    return data.mapInArrow(pack, "block binary")
+
+
 def _scan(
-    data: DataFrame, features: list[str], centers: dict[int, np.ndarray], few_tasks: bool, with_cost: bool = False
+    blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray], few_tasks: bool, with_cost: bool = False
 ) -> dict[int, tuple]:
     """One scan for all starts: per (start, cluster) row count, feature sums and cost.
 
@@ -78,11 +91,11 @@ def _scan(
         totals = np.zeros((len(starts), k, len(features)))
         costs = np.zeros((len(starts), k))
         norms = (stacked**2).sum(1)[:, None]
+        width = len(features)
         numbers = np.arange(k)[:, None]
         seen = False
-        for batch in batches:
-            rows = _matrix(batch, features)
-            seen = seen or len(rows) > 0
+        for rows in (np.frombuffer(b.as_py()).reshape(-1, width) for batch in batches for b in batch.column("block")):
+            seen = True
             # |x - c|^2 less |x|^2, which does not change the nearest centre
             relative = (norms - 2 * (stacked @ rows.T)).reshape(len(starts), k, len(rows))
             labels = relative.argmin(axis=1)
@@ -106,7 +119,7 @@ def _scan(
             )
 
     fields = ", ".join(f"{s} double" for s in sums)
-    merged = data.select(*features).mapInArrow(partial, f"start int, cluster int, n double, cost double, {fields}")
+    merged = blocks.mapInArrow(partial, f"start int, cluster int, n double, cost double, {fields}")
     if not few_tasks:
         merged = merged.groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
     found: dict[int, tuple] = {s: (np.zeros(k), np.zeros((k, len(features))), np.zeros(k)) for s in starts}
@@ -138,10 +151,9 @@ def fit_kmeans(
     n = df.count()
     if n < k:
         raise ValueError(f"{n} rows are too few for {k} clusters")
-    few_tasks = n <= SPREAD_ROWS and not df.is_cached
-    already_stored = df.is_cached
-    if not already_stored:
-        data = spread(data, n).persist()
+    few_tasks = n <= SPREAD_ROWS
+    data = spread(data, n)
+    blocks = _blocks(data, features).persist()
     try:
         variances = data.agg(*[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(features)]).first()
         limit = tolerance * float(np.mean(variances))
@@ -153,17 +165,16 @@ def fit_kmeans(
         iterations = 0
         while active and iterations < max_iterations:
             iterations += 1
-            for start, (counts, totals, _) in _scan(data, features, active, few_tasks).items():
+            for start, (counts, totals, _) in _scan(blocks, features, active, few_tasks).items():
                 moved = np.where(counts[:, None] > 0, totals / np.maximum(counts, 1)[:, None], centers[start])
                 shift = float(((moved - centers[start]) ** 2).sum())
                 centers[start] = moved
                 active[start] = moved
                 if shift <= limit:
                     del active[start]
-        final = _scan(data, features, centers, few_tasks, with_cost=True)
+        final = _scan(blocks, features, centers, few_tasks, with_cost=True)
     finally:
-        if not already_stored:
-            data.unpersist()
+        blocks.unpersist()
     costs = [float(final[s][2].sum()) for s in range(starts)]
     best = int(np.argmin(costs))
     sizes = final[best][0]

@@ -71,6 +71,25 @@ def chat_records(messages: DataFrame, source_name: Column, now: Column, autosave
     )
 
 
+HOT_MESSAGES = 1_000_000  # a chat with more messages is ranked in parts
+PARTS = 256
+
+
+def _leading(messages: DataFrame, order: Column, k: int) -> DataFrame:
+    """The first ``k`` messages of every chat in ``order``, with their ``rank``.
+
+    Spark limits each task's rows per chat before the shuffle. If a chat is so long that even
+    those rows are many, chats are ranked in parts first and the parts' winners ranked again.
+    """
+    counts = messages.groupBy("chat_id").count()
+    if not counts.where(F.col("count") > HOT_MESSAGES).isEmpty():
+        part = F.pmod(F.xxhash64("turn"), F.lit(PARTS))
+        within = F.row_number().over(Window.partitionBy("chat_id", "part").orderBy(order))
+        messages = messages.withColumn("part", part).withColumn("rank", within).where(F.col("rank") <= k).drop("part", "rank")
+    rank = F.row_number().over(Window.partitionBy("chat_id").orderBy(order))
+    return messages.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def conversation_preview(messages: DataFrame, max_chars: int = PREVIEW_CHARS) -> DataFrame:
     """``(chat_id, preview)``: lines ``role: content`` joined by line breaks and cut.
 
@@ -79,8 +98,7 @@ def conversation_preview(messages: DataFrame, max_chars: int = PREVIEW_CHARS) ->
     """
     line = message_line(F.col("role"), F.col("content"), F.coalesce(F.col("figure_b64"), F.lit("")) != "")
     lines = messages.where("content <> ''").select("chat_id", "turn", F.left(line, F.lit(max_chars + 1)).alias("line"))
-    rank = F.row_number().over(Window.partitionBy("chat_id").orderBy("turn"))
-    first = lines.withColumn("rank", rank).where(F.col("rank") <= max_chars // 2 + 1)
+    first = _leading(lines, F.asc("turn"), max_chars // 2 + 1)
     listed = first.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("lines"))
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     return listed.select("chat_id", truncate_text(text, max_chars).alias("preview"))
@@ -95,8 +113,7 @@ def recent_context(messages: DataFrame, max_messages: int = CONTEXT_MESSAGES, ma
     tail = messages.select(
         "chat_id", "turn", strip(F.col("role")).alias("role"), F.right(strip(F.col("content")), F.lit(max_chars)).alias("content")
     )
-    rank = F.row_number().over(Window.partitionBy("chat_id").orderBy(F.desc("turn")))
-    last = tail.withColumn("rank", rank).where(F.col("rank") <= max_messages)
+    last = _leading(tail, F.desc("turn"), max_messages)
     spoken = F.when((F.col("role") != "") & (F.col("content") != ""), F.struct(-F.col("rank"), F.concat_ws(": ", "role", "content")))
     listed = last.groupBy("chat_id").agg(F.array_sort(F.collect_list(spoken)).alias("lines"))
     text = F.array_join(F.transform("lines", lambda x: x["col2"]), "\n")

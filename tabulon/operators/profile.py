@@ -55,28 +55,34 @@ def schema_overview(df: DataFrame) -> DataFrame:
 # --- duplicates -----------------------------------------------------------------------------
 
 
-def _row_key(df: DataFrame) -> list[Column]:
-    """Grouping keys for whole rows: NaN equals NULL, maps become text."""
-    keys = []
+# Timestamps keep their microseconds in JSON.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _row_values(df: DataFrame) -> list[Column]:
+    """The cells of a row, ready to compare: NaN is NULL, -0.0 is 0.0, nested values are text."""
+    values = []
     for f in df.schema:
-        value = as_text(df, f.name) if is_nested(f.dataType) else present(df, f.name)
-        keys.append(value.alias(f"k{len(keys)}"))
-    return keys
+        value = present(df, f.name)
+        if is_nested(f.dataType):
+            value = F.to_json(value, JSON_TIMES)
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0)
+        values.append(value.alias(f"k{len(values)}"))
+    return values
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to another row, less one per distinct row (missing equals missing).
 
-    Tables with text are counted in two steps: an 8-byte hash of every row goes through the
-    first shuffle, and only rows whose hash occurs twice are compared as a whole, so texts
-    without a copy never move. Copies are combined before either shuffle.
+    Rows with text are compared by the SHA-256 of their JSON form, so 32 bytes per distinct row
+    are shuffled however long the texts are; other rows are short and compared as they are.
+    Copies are combined before the shuffle.
     """
-    keyed = df.select(*_row_key(df))
-    wide = any(isinstance(f.dataType, (T.StringType, T.BinaryType)) for f in keyed.schema)
-    if wide:
-        keyed = keyed.withColumn("h", F.xxhash64(*[F.col(c) for c in keyed.columns]))
-        repeated = keyed.groupBy("h").count().where("count > 1").select("h")
-        keyed = keyed.join(repeated, "h", "left_semi").drop("h")
+    keyed = df.select(*_row_values(df))
+    if any(isinstance(f.dataType, (T.StringType, T.BinaryType)) for f in keyed.schema):
+        cells = F.to_json(F.struct(*keyed.columns), JSON_TIMES)
+        keyed = keyed.select(F.unhex(F.sha2(cells, 256)).alias("digest"))
     copies = keyed.groupBy(*keyed.columns).count()
     return copies.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
@@ -155,9 +161,14 @@ def number_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
     return filled.groupBy("ordinal", "whole", "real").agg(F.count(F.lit(1)).alias("n"))
 
 
-def text_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
-    """``(ordinal, value, n)`` over values in text form."""
-    cells = _stacked(df, names, lambda n: [as_text(df, n)]).toDF("ordinal", "value")
+def text_frequencies(df: DataFrame, names: list[str], digest: bool = False) -> DataFrame:
+    """``(ordinal, value, n)`` over values in text form; ``digest`` replaces long texts."""
+
+    def slots(name: str) -> list[Column]:
+        value = as_text(df, name)
+        return [F.when(F.length(value) > SHORT_TEXT, F.sha2(value, 256)).otherwise(value) if digest else value]
+
+    cells = _stacked(df, names, slots).toDF("ordinal", "value")
     return cells.where("value IS NOT NULL").groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -182,15 +193,22 @@ def _named(df: DataFrame, counts: DataFrame) -> DataFrame:
     return counts.select("*", F.element_at(names, F.col("ordinal") + 1).alias("column"))
 
 
-def distinct_by_column(df: DataFrame, approx: bool = False) -> DataFrame:
-    """``(ordinal, column, distinct)`` without missing values; exact unless ``approx``."""
+SHORT_TEXT = 60  # longer texts are told apart by their SHA-256 (64 characters, so never mistaken for a short one)
+
+
+def distinct_by_column(df: DataFrame, approx: bool = False, shared_values: bool = False) -> DataFrame:
+    """``(ordinal, column, distinct)`` without missing values; exact unless ``approx``.
+
+    Long texts are shuffled as digests. With ``shared_values`` they are shuffled as they are:
+    the plan part is then the one of :func:`top_values`, and a query with both runs it once.
+    """
     if approx:
         wide = df.agg(*[F.approx_count_distinct(present(df, n)).alias(f"distinct_{i}") for i, n in enumerate(df.columns)])
         return rows_per_column(wide, df.columns, ["distinct"])
     plain, decimals, text = _split_by_slot(df)
     tables = [number_frequencies(df, part) for part in (plain, decimals) if part]
     if text:
-        tables.append(text_frequencies(df, text))
+        tables.append(text_frequencies(df, text, digest=not shared_values))
     return _with_empty_columns(df, [t.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct")) for t in tables])
 
 
@@ -255,7 +273,7 @@ def describe_numeric(
     keys = tuple(keys)
     if keys:
         df = df.where(reduce(Column.__and__, [present(df, k).isNotNull() for k in keys]))
-    direct = approx or fits_direct(df, direct_rows)
+    direct = approx or fits_direct(df, direct_rows, keys)
     aggregates = []
     for i, n in enumerate(names):
         value = present(df, n).cast("double")
@@ -273,7 +291,7 @@ def describe_numeric(
     if direct:
         rows = rows_per_column(wide, names, [*metrics, "q"], keys)
     else:
-        quartiles = percentiles(df, names, QUARTILES, keys, direct_rows=0)
+        quartiles = percentiles(df, names, QUARTILES, keys, direct_rows=-1)
         rows = rows_per_column(wide, names, metrics, keys).join(quartiles, [*keys, "column"], "left")
     rows = rows.withColumns({f"p{int(p * 100)}": F.get("q", F.lit(i)) for i, p in enumerate(QUARTILES)})
     shown = [F.col("count")] + [(F.round(m, digits) if digits is not None else F.col(m)).alias(m) for m in DESCRIBE[1:]]
@@ -292,12 +310,12 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> Dat
 # --- combined profiles ----------------------------------------------------------------------
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, shared_values: bool = False) -> DataFrame:
     """``(ordinal, column, type, family, missing, percent, share_text, distinct)``."""
     return (
         schema_overview(df)
         .join(missing_by_column(df).drop("column"), "ordinal")
-        .join(distinct_by_column(df).drop("column"), "ordinal")
+        .join(distinct_by_column(df, shared_values=shared_values).drop("column"), "ordinal")
         .select("ordinal", "column", "type", "family", "missing", "percent", "share_text", "distinct")
     )
 
@@ -337,7 +355,7 @@ def data_profile(df: DataFrame, source_name: str, k: int = 5, digits: int = 4, m
     facts = table_facts(df).select("*", F.lit(-1).alias("ordinal"), F.lit(None).cast("string").alias("column"))
     facts = _long(facts, "table", {m: F.col(m) for m in ("rows", "columns", "duplicate_rows", "numeric_columns", "categorical_columns")}, {})
     columns = _long(
-        column_profile(df),
+        column_profile(df, shared_values=True),
         "column",
         {"missing": F.col("missing"), "missing_percent": F.col("percent"), "distinct": F.col("distinct")},
         {"family": F.col("family")},

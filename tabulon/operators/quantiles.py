@@ -1,11 +1,15 @@
 """Exact linear-interpolated percentiles whose state stays bounded.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is
-the shortest plan while the row count is known to be small; beyond ``DIRECT_ROWS`` the values are
-narrowed first:
+the shortest plan while the row count is known to be small; larger tables are narrowed first.
 
-1. ``percentile_approx`` (bounded sketch) gives per-column split points that cut the values into
-   ``SPLITS`` slices;
+Whole columns (:func:`_bracketed`) take two scans: ``percentile_approx`` (a bounded sketch) gives
+a bracket around each wanted rank, then one scan counts the rows below each bracket and groups
+the few values inside it. If a rank should lie outside its bracket, the slices below decide.
+
+Grouped columns (:func:`_narrowed`) are cut into slices:
+
+1. ``percentile_approx`` gives per-column split points that cut the values into ``SPLITS`` slices;
 2. one aggregate counts rows per (group, column, slice), which tells in which slice each wanted
    rank lies;
 3. only the rows of those slices are grouped by value, and the wanted ranks are read off a running
@@ -16,14 +20,18 @@ A value that fills a third of the table collapses to one counted row before any
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import col, present
+from tabulon.functions.columns import col, present, small_table
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 100_000
+DIRECT_GROUPED_ROWS = 2_000_000
 SPLITS = 4096
+ACCURACY = 10_000
 
 
 def percentile_expr(value: Column, probabilities: list[float], approx: bool = False) -> Column:
@@ -33,9 +41,11 @@ def percentile_expr(value: Column, probabilities: list[float], approx: bool = Fa
     return F.percentile(value, wanted)
 
 
-def fits_direct(df: DataFrame, direct_rows: int | None = None) -> bool:
+def fits_direct(df: DataFrame, direct_rows: int | None = None, keys: tuple[str, ...] | list[str] = ()) -> bool:
     """Whether the row count (a metadata read for Parquet) allows the one-buffer plan."""
-    return df.count() <= (DIRECT_ROWS if direct_rows is None else direct_rows)
+    if direct_rows is None:
+        direct_rows = DIRECT_GROUPED_ROWS if keys else DIRECT_ROWS
+    return df.count() <= direct_rows
 
 
 def percentiles(
@@ -47,15 +57,83 @@ def percentiles(
     splits: int = SPLITS,
 ) -> DataFrame:
     """``(keys…, column, q array<double>)``, one row per group and column that has values."""
-    if fits_direct(df, direct_rows):
+    if fits_direct(df, direct_rows, keys):
         wide = df.groupBy(*[col(k) for k in keys]).agg(
             *[percentile_expr(present(df, n).cast("double"), probabilities).alias(f"q_{i}") for i, n in enumerate(columns)]
         )
         pairs = [F.struct(F.lit(n).alias("column"), F.col(f"q_{i}").alias("q")) for i, n in enumerate(columns)]
         return wide.select(*[col(k) for k in keys], F.inline(F.array(*pairs))).where("q IS NOT NULL")
+    if not keys:
+        found = _bracketed(df, columns, probabilities)
+        if found is not None:
+            return found
     return _narrowed(df, columns, probabilities, keys, splits)
 
 
+def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame | None:
+    """Percentiles of whole columns in two scans; None if a bracket misses its rank.
+
+    The driver holds two bounds and a count per column and percentile; the values inside a
+    bracket are about ``4 / ACCURACY`` of the rows at most, counted once per distinct value.
+    """
+    margin = 2.0 / ACCURACY
+    values = {n: present(df, n).cast("double") for n in columns}
+    around = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-margin, margin)]
+    sketch = df.agg(
+        *[F.percentile_approx(v, around, ACCURACY).alias(f"b_{i}") for i, v in enumerate(values.values())],
+        *[F.count(v).alias(f"n_{i}") for i, v in enumerate(values.values())],
+    ).first()
+
+    targets = []  # (id, column, probability index, low, high, rows)
+    for i, n in enumerate(columns):
+        for j in range(len(probabilities)):
+            if sketch[f"n_{i}"]:
+                low, high = sketch[f"b_{i}"][2 * j], sketch[f"b_{i}"][2 * j + 1]
+                targets.append((len(targets), n, j, low, high, sketch[f"n_{i}"]))
+    if not targets:
+        return df.sparkSession.createDataFrame([], "column string, q array<double>")
+
+    brackets: dict[str, list] = {}
+    for number, n, j, low, high, rows in targets:
+        brackets.setdefault(n, []).append((low, high))
+    narrow = df.select(*[values[n].alias(f"v_{columns.index(n)}") for n in brackets])
+    cells = []
+    for n, bounds in brackets.items():
+        value = F.col(f"v_{columns.index(n)}")
+        inside = reduce(Column.__or__, [value.between(F.lit(low), F.lit(high)) for low, high in sorted(set(bounds))])
+        cells += [F.lit(columns.index(n)), F.when(inside, value)]
+    stacked = narrow.select(F.stack(F.lit(len(brackets)), *cells)).toDF("source", "value").where("value IS NOT NULL")
+    counted = stacked.groupBy("source", "value").agg(F.count(F.lit(1)).alias("rows"))
+    below = narrow.agg(
+        *[F.count_if(F.col(f"v_{columns.index(n)}") < F.lit(low)).alias(f"c_{t}") for t, n, _, low, _, _ in targets]
+    ).first()
+
+    wanted = small_table(
+        df.sparkSession,
+        [(t, columns.index(n), low, high, below[f"c_{t}"], (rows - 1) * probabilities[j]) for t, n, j, low, high, rows in targets],
+        "id int, source int, low double, high double, below bigint, position double",
+    )
+    inner = counted.join(F.broadcast(wanted), "source").where("value BETWEEN low AND high")  # one row per percentile
+    running = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = inner.withColumn("upto", F.col("below") + F.sum("rows").over(running))
+    placed = placed.withColumn("from", F.col("upto") - F.col("rows"))
+    hits = [
+        F.max(F.when((r >= F.col("from")) & (r < F.col("upto")), F.col("value"))).alias(name)
+        for name, r in (("lo", F.floor("position")), ("hi", F.ceil("position")))
+    ]
+    picked = {r["id"]: (r["lo"], r["hi"]) for r in placed.groupBy("id").agg(*hits).collect()}
+
+    found: dict[str, list] = {}
+    for number, n, j, _, _, rows in targets:
+        lo, hi = picked.get(number, (None, None))
+        if lo is None or hi is None:
+            return None
+        position = (rows - 1) * probabilities[j]
+        share = position - int(position)
+        found.setdefault(n, []).append(lo if share == 0 else (1 - share) * lo + share * hi)
+    return small_table(df.sparkSession, list(found.items()), "column string, q array<double>")
+
+
 def _sliced(df: DataFrame, columns: list[str], keys: tuple[str, ...], splits: int) -> DataFrame:
     """``(keys…, column, slice, value)`` with slices of about equal row counts per column."""
     steps = [i / splits for i in range(1, splits)]

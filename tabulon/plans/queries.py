@@ -13,7 +13,7 @@ from tabulon.functions.coerce import coerce_datetimes, coerce_numeric
 from tabulon.operators import adhoc, anomalies, clustering, conversations, features, profile, projection
 from tabulon.plans import models
 from tabulon.plans.answer import answer
-from tabulon.session import scratch_path
+from tabulon.session import scratch_path, spread
 from tabulon.sources import chat_store, files
 from tabulon.streaming import autosave
 
@@ -337,7 +337,8 @@ def contamination_cut(spark, d):
 
 def forest_scores(spark, d):
     rows, names, _ = features.prepared(table(spark, d, "lineitem"), FEATURES)
-    return anomalies.score_rows(rows, anomalies.fit_forest(rows, names)).drop(*names)
+    forest = anomalies.fit_forest(rows, names)
+    return anomalies.score_rows(spread(rows, rows.count()), forest).drop(*names)
 
 
 def anomaly_rows(spark, d):
@@ -449,23 +450,14 @@ def _prompts(spark, d):
 
 
 def prompt_routes(spark, d):
-    prompt = F.col("prompt")
-    return _prompts(spark, d).select(
-        "conv_id",
-        "turn",
-        questions.asks_overview(prompt).alias("overview"),
-        questions.asks_code(prompt).alias("code"),
-        questions.route(prompt).alias("route"),
-        questions.direction(prompt).alias("direction"),
-    )
+    rows = questions.routed(_prompts(spark, d), "prompt", [])
+    return rows.select("conv_id", "turn", "overview", "code", "route", "direction")
 
 
 def prompt_columns(spark, d):
     names = table(spark, d, "orders").columns
     rows = _prompts(spark, d)
-    return questions.routed(rows, "prompt", names).select(
-        "conv_id", "turn", "target", questions.named_column(F.col("prompt"), names).alias("named")
-    )
+    return questions.routed(rows, "prompt", names).select("conv_id", "turn", "target", "named")
 
 
 def answer_question(spark, d):
@@ -586,7 +578,7 @@ def append_rows(spark, d):
     return spark.read.parquet(path)
 
 
-_HELPERS = {"table", "injected", "vectors", "turns", "timestamp", "answer", "scratch_path"}
+_HELPERS = {"table", "injected", "vectors", "turns", "timestamp", "answer", "scratch_path", "spread"}
 
 
 def registry() -> dict:
