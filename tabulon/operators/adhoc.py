@@ -33,6 +33,11 @@ def sort_rows(df: DataFrame, order: list[tuple[str, str]], limit: int | None = N
     return ordered if limit is None else ordered.limit(limit)
 
 
+def preview(df: DataFrame, rows: int = 10, order: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The first rows for display; which ones is only defined with an ``order``."""
+    return sort_rows(df, order, rows) if order else df.limit(rows)
+
+
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "count": F.count,
     "sum": F.sum,
@@ -69,8 +74,10 @@ def group_aggregate(
     medians = [c for c, functions in aggregates.items() if "median" in functions]
     direct = not medians or fits_direct(df, direct_rows, keys)
     columns = []
+    order = [col(k) for k in keys]
     for name, functions in aggregates.items():
         for function in functions:
+            order.append(col("size" if name == "*" else f"{function}_{name}"))
             if function == "median":
                 if direct:
                     middle = percentile_expr(present(df, name).cast("double"), [0.5])
@@ -82,11 +89,11 @@ def group_aggregate(
         return grouped
     if not keys:
         middle = percentile_values(df, medians, 0.5, direct_rows=-1)
-        return grouped.withColumns({f"median_{m}": F.lit(middle.get(m)).cast("double") for m in medians})
+        return grouped.withColumns({f"median_{m}": F.lit(middle.get(m)).cast("double") for m in medians}).select(*order)
     middle = percentiles(df, medians, [0.5], tuple(keys), direct_rows=-1)
     wide = middle.groupBy(*[col(k) for k in keys]).pivot("column", medians).agg(F.first(F.get("q", F.lit(0))))
     wide = wide.withColumnsRenamed({m: f"median_{m}" for m in medians})
-    return grouped.join(wide, keys, "left")
+    return grouped.join(wide, keys, "left").select(*order)
 
 
 def summary(df: DataFrame, column: str, direct_rows: int | None = None) -> DataFrame:

@@ -143,7 +143,8 @@ def score_rows(df: DataFrame, forest: Forest, score: str = "score") -> DataFrame
         features, thresholds, paths = shared.value
         inner = features.shape[1]
         for columns in batches:
-            rows = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            series = columns if isinstance(columns, tuple) else (columns,)
+            rows = np.column_stack([c.to_numpy(dtype=float) for c in series])
             flat, base = rows.ravel(), np.arange(len(rows)) * rows.shape[1]
             total = np.zeros(len(rows))
             for feature, threshold, path in zip(features, thresholds, paths):
