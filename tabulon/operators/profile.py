@@ -39,7 +39,8 @@ NO_VALUES = "keine Werte"  # fixed value: text shown for a column without any va
 
 
 def percent_text(share: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f%%", share * 100)
+    """``21.1%``; ``format_number`` rounds the exact binary value, half to even."""
+    return F.concat(F.format_number(share * 100, digits), F.lit("%"))
 
 
 def row_column_counts(df: DataFrame) -> DataFrame:
