@@ -208,9 +208,8 @@ def cluster_profile(df: DataFrame, columns: list[str], label: str = "cluster", d
 # --- silhouette -----------------------------------------------------------------------------
 
 
-def _distance_sums(points: DataFrame, features: list[str], block: np.ndarray, members: np.ndarray) -> DataFrame:
-    """Add every row's distance sums per cluster over one block of points to its ``sums``."""
-    shared = points.sparkSession.sparkContext.broadcast((block, members))
+def _distance_sums(points: DataFrame, features: list[str], shared) -> DataFrame:
+    """Add every row's distance sums per cluster over one broadcast block of points to its ``sums``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others, one_hot = shared.value
@@ -253,9 +252,11 @@ def silhouette_rows(df: DataFrame, features: list[str], label: str = "cluster")
         table = part.select("label", *features).toPandas()
         block = table[features].to_numpy(dtype=float)
         members = (table["label"].to_numpy()[:, None] == np.array(labels)[None, :]).astype(float)
-        rows = _distance_sums(rows, features, block, members)
+        shared = df.sparkSession.sparkContext.broadcast((block, members))
+        rows = _distance_sums(rows, features, shared)
         if blocks > 1:
             rows = staged(rows, "silhouette-sums")
+            shared.destroy()
     sizes = F.array(*[F.lit(float(counts[x])) for x in labels])
     own = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
     own_size = F.get(sizes, own.cast("int"))

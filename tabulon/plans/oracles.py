@@ -221,7 +221,7 @@ def statements() -> dict[str, str]:
     feature_values = {n: finite(n) for n in ("qty_null", "price_nan", "disc_inf")}
     cleaned = ", ".join(f"{sql} AS {n}" for n, sql in feature_values.items())
     imputed = f"SELECT l_orderkey, l_linenumber, const_col, {', '.join(f'coalesce({n}, median({n}) OVER ()) AS {n}' for n in feature_values)} FROM (SELECT l_orderkey, l_linenumber, const_col, {cleaned} FROM injected)"
-    scaled = ", ".join(f"round(({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER (), 6) AS {n}" for n in feature_values)
+    scaled = ", ".join(f"round(({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER (), 4) AS {n}" for n in feature_values)
     nearest = [f"(l_quantity - {a}) * (l_quantity - {a}) + (l_extendedprice - {b}) * (l_extendedprice - {b})" for a, b in CENTERS]
     price_cut = "(SELECT quantile_cont(-l_extendedprice, 0.06) FROM lineitem)"
     fences = {n: f"(SELECT quantile_cont({n}, 0.25) AS a, quantile_cont({n}, 0.75) AS b FROM lineitem)" for n in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}

@@ -288,7 +288,7 @@ def impute_median(spark, d):
 
 def standardize(spark, d):
     rows, kept, sources = features.prepared(injected(spark, d), ["qty_null", "price_nan", "disc_inf", "const_col", "empty_col"])
-    return rows.select("l_orderkey", "l_linenumber", *[F.round(k, 6).alias(s) for k, s in zip(kept, sources)])
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(k, 4).alias(s) for k, s in zip(kept, sources)])
 
 
 def kmeans_assign(spark, d):
@@ -578,6 +578,7 @@ def append_rows(spark, d):
     return spark.read.parquet(path)
 
 
+_NAMES = {"forest_scores": "iforest_scores", "anomaly_rows": "anomalies"}
 _HELPERS = {"table", "injected", "vectors", "turns", "timestamp", "answer", "scratch_path", "spread"}
 
 
@@ -585,7 +586,7 @@ def registry() -> dict:
     """All queries by name."""
     module = globals()
     return {
-        name: f
+        _NAMES.get(name, name): f
         for name, f in module.items()
         if callable(f)
         and getattr(f, "__module__", None) == __name__

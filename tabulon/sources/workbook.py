@@ -90,30 +90,37 @@ def _sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                 row.clear()
 
 
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for content in batch["content"]:
+            names = _header(next(_sheet_rows(content), []))
+            yield pd.DataFrame({"position": range(len(names)), "name": names})
+
+
+def _header(cells: list[str | None]) -> list[str]:
+    return [c if c not in (None, "") else f"Unnamed: {i}" for i, c in enumerate(cells)]
+
+
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            header: list[str] = []
-            rows: list[tuple] = []
-            for number, cells in enumerate(_sheet_rows(content)):
-                if number == 0:
-                    header = [c if c not in (None, "") else f"Unnamed: {i}" for i, c in enumerate(cells)]
-                    rows.append((path, 0, header, None))
-                    continue
-                rows.append((path, number, None, {h: c for h, c in zip(header, cells) if c is not None}))
+        for content in batch["content"]:
+            sheet = _sheet_rows(content)
+            header = _header(next(sheet, []))
+            rows: list[dict] = []
+            for cells in sheet:
+                rows.append({h: c for h, c in zip(header, cells) if c is not None})
                 if len(rows) >= ROWS_PER_BATCH:
-                    yield pd.DataFrame(rows, columns=["path", "row", "header", "cells"])
+                    yield pd.DataFrame({"cells": rows})
                     rows = []
-            yield pd.DataFrame(rows, columns=["path", "row", "header", "cells"])
+            yield pd.DataFrame({"cells": rows})
 
 
 def load_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """The first sheets of all workbooks under ``path`` as one all-text table; columns are
     matched by header name. A workbook holds at most 1 048 576 rows, the bound of one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    rows = files.mapInPandas(_unpack, "path string, row long, header array<string>, cells map<string,string>")
-    headers = rows.where("row = 0").select(F.posexplode("header").alias("position", "name"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
+    headers = files.mapInPandas(_headers, "position int, name string")
     names = [r["name"] for r in headers.groupBy("name").agg(F.min("position").alias("p")).orderBy("p", "name").collect()]
-    body = rows.where("row > 0")
+    body = files.mapInPandas(_unpack, "cells map<string,string>")
     return body.select(*[F.try_element_at("cells", F.lit(n)).alias(n) for n in names])
 
