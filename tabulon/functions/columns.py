@@ -7,9 +7,11 @@ a value for profiling and turns into missing only in front of the models (:func:
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def col(name: str) -> Column:
@@ -93,17 +95,11 @@ def require_columns(df: DataFrame, names: list[str], at_least: int = 1, numeric:
             raise ValueError(f"not numeric: {wrong}")
 
 
-def _literal(value) -> Column:
-    return F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A handful of literal rows, folded into the plan (no Python data source)."""
-    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    entries = [
-        F.struct(*[_literal(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*entries)))
+    """A handful of driver-side rows as a local relation (no Python data source, no job)."""
+    fields = T.StructType.fromDDL(schema)
+    named = [dict(zip(fields.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, schema=to_arrow_schema(fields)), fields)
 
 
 def rows_per_column(wide: DataFrame, names: list[str], metrics: list[str], keys: tuple = ()) -> DataFrame:

@@ -3,9 +3,11 @@
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is
 the shortest plan while the row count is known to be small; larger tables are narrowed first.
 
-Whole columns (:func:`_bracketed`) take two scans: ``percentile_approx`` (a bounded sketch) gives
-a bracket around each wanted rank, then one scan counts the rows below each bracket and groups
-the few values inside it. If a rank should lie outside its bracket, the slices below decide.
+Whole columns (:func:`_bracketed`) take a few scans and move next to nothing: a sketch gives a
+bracket around each wanted rank, then the rows below each bracket are counted and the few values
+inside it are grouped. The result is exact: should a rank lie outside its bracket, the slices below
+decide. The sketch reads the whole column when the table is large, and a sample while the wider
+brackets of a sample still hold few rows.
 
 Grouped columns (:func:`_narrowed`) are cut into slices:
 
@@ -32,6 +34,11 @@ DIRECT_ROWS = 100_000
 DIRECT_GROUPED_ROWS = 2_000_000
 SPLITS = 4096
 ACCURACY = 10_000
+SKETCH_SAMPLE = 100_000  # rows that place the brackets of a table of up to SAMPLED_ROWS rows
+SAMPLED_ROWS = 50_000_000
+INSIDE_ROWS = 5_000_000  # a bracket with more rows is narrowed again
+GRID = 200
+MAX_ROUNDS = 6
 
 
 def percentile_expr(value: Column, probabilities: list[float], approx: bool = False) -> Column:
@@ -43,9 +50,13 @@ def percentile_expr(value: Column, probabilities: list[float], approx: bool = Fa
 
 def fits_direct(df: DataFrame, direct_rows: int | None = None, keys: tuple[str, ...] | list[str] = ()) -> bool:
     """Whether the row count (a metadata read for Parquet) allows the one-buffer plan."""
-    if direct_rows is None:
-        direct_rows = DIRECT_GROUPED_ROWS if keys else DIRECT_ROWS
-    return df.count() <= direct_rows
+    return df.count() <= _direct_limit(direct_rows, keys)
+
+
+def _direct_limit(direct_rows: int | None, keys) -> int:
+    if direct_rows is not None:
+        return direct_rows
+    return DIRECT_GROUPED_ROWS if keys else DIRECT_ROWS
 
 
 def percentiles(
@@ -57,46 +68,59 @@ def percentiles(
     splits: int = SPLITS,
 ) -> DataFrame:
     """``(keys…, column, q array<double>)``, one row per group and column that has values."""
-    if fits_direct(df, direct_rows, keys):
+    rows = df.count()
+    if rows <= _direct_limit(direct_rows, keys):
         wide = df.groupBy(*[col(k) for k in keys]).agg(
             *[percentile_expr(present(df, n).cast("double"), probabilities).alias(f"q_{i}") for i, n in enumerate(columns)]
         )
         pairs = [F.struct(F.lit(n).alias("column"), F.col(f"q_{i}").alias("q")) for i, n in enumerate(columns)]
         return wide.select(*[col(k) for k in keys], F.inline(F.array(*pairs))).where("q IS NOT NULL")
     if not keys:
-        found = _bracketed(df, columns, probabilities)
+        found = _bracketed(df, columns, probabilities, rows)
         if found is not None:
             return found
     return _narrowed(df, columns, probabilities, keys, splits)
 
 
-def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame | None:
-    """Percentiles of whole columns in two scans; None if a bracket misses its rank.
+def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float], rows: int) -> DataFrame | None:
+    """Percentiles of whole columns without moving them; None if a bracket misses its rank.
 
-    The driver holds two bounds and a count per column and percentile; the values inside a
-    bracket are about ``4 / ACCURACY`` of the rows at most, counted once per distinct value.
+    The driver holds two bounds and a count per column and percentile. A bracket holds some
+    ``4 / ACCURACY`` of the rows (``2 %`` of a table small enough for a sample), and its values are
+    counted once per distinct value.
     """
-    margin = 2.0 / ACCURACY
-    values = {n: present(df, n).cast("double") for n in columns}
-    around = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-margin, margin)]
-    sketch = df.agg(
-        *[F.percentile_approx(v, around, ACCURACY).alias(f"b_{i}") for i, v in enumerate(values.values())],
-        *[F.count(v).alias(f"n_{i}") for i, v in enumerate(values.values())],
-    ).first()
-
-    targets = []  # (id, column, probability index, low, high, rows)
+    narrow = df.select(*[present(df, n).cast("double").alias(f"v_{i}") for i, n in enumerate(columns)])
+    sampled = SKETCH_SAMPLE < rows <= SAMPLED_ROWS
+    drawn = narrow.sample(False, SKETCH_SAMPLE / rows, 42) if sampled else narrow
+    margin = 2.0 / ACCURACY + (2.5 / SKETCH_SAMPLE**0.5 if sampled else 1.5 / max(rows, 1))
+    around = [p + side for p in probabilities for side in (-margin, margin)]
+    inside_range = [min(1.0, max(0.0, p)) for p in around]
+    sketch = drawn.agg(*[F.percentile_approx(f"v_{i}", inside_range, ACCURACY) for i in range(len(columns))]).first()
+
+    targets = []  # (id, column, probability index, low, high)
     for i, n in enumerate(columns):
         for j in range(len(probabilities)):
-            if sketch[f"n_{i}"]:
-                low, high = sketch[f"b_{i}"][2 * j], sketch[f"b_{i}"][2 * j + 1]
-                targets.append((len(targets), n, j, low, high, sketch[f"n_{i}"]))
-    if not targets:
-        return df.sparkSession.createDataFrame([], "column string, q array<double>")
+            low, high = float("-inf"), float("inf")  # open when the sketch saw no value, or at an end
+            if sketch[i]:
+                low = sketch[i][2 * j] if around[2 * j] > 0 else low
+                high = sketch[i][2 * j + 1] if around[2 * j + 1] < 1 else high
+            targets.append((len(targets), n, j, low, high))
+    counts = _bracket_counts(narrow, columns, targets)
+    for _ in range(MAX_ROUNDS):
+        wide = {
+            t[0]: F.lit(SKETCH_SAMPLE / counts[f"i_{t[0]}"])
+            for t in targets
+            if counts[f"i_{t[0]}"] > INSIDE_ROWS and t[3] < t[4]
+        }
+        narrower = _narrower(narrow, columns, probabilities, targets, counts, wide) if wide else targets
+        if narrower == targets:
+            break
+        targets = narrower
+        counts = _bracket_counts(narrow, columns, targets)
 
     brackets: dict[str, list] = {}
-    for number, n, j, low, high, rows in targets:
+    for _, n, _, low, high in targets:
         brackets.setdefault(n, []).append((low, high))
-    narrow = df.select(*[values[n].alias(f"v_{columns.index(n)}") for n in brackets])
     cells = []
     for n, bounds in brackets.items():
         value = F.col(f"v_{columns.index(n)}")
@@ -104,13 +128,14 @@ def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float]) ->
         cells += [F.lit(columns.index(n)), F.when(inside, value)]
     stacked = narrow.select(F.stack(F.lit(len(brackets)), *cells)).toDF("source", "value").where("value IS NOT NULL")
     counted = stacked.groupBy("source", "value").agg(F.count(F.lit(1)).alias("rows"))
-    below = narrow.agg(
-        *[F.count_if(F.col(f"v_{columns.index(n)}") < F.lit(low)).alias(f"c_{t}") for t, n, _, low, _, _ in targets]
-    ).first()
+    totals = {n: counts[f"n_{i}"] for i, n in enumerate(columns)}
+    targets = [t for t in targets if totals[t[1]]]
+    if not targets:
+        return df.sparkSession.createDataFrame([], "column string, q array<double>")
 
     wanted = small_table(
         df.sparkSession,
-        [(t, columns.index(n), low, high, below[f"c_{t}"], (rows - 1) * probabilities[j]) for t, n, j, low, high, rows in targets],
+        [(t, columns.index(n), low, high, counts[f"c_{t}"], (totals[n] - 1) * probabilities[j]) for t, n, j, low, high in targets],
         "id int, source int, low double, high double, below bigint, position double",
     )
     inner = counted.join(F.broadcast(wanted), "source").where("value BETWEEN low AND high")  # one row per percentile
@@ -124,16 +149,58 @@ def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float]) ->
     picked = {r["id"]: (r["lo"], r["hi"]) for r in placed.groupBy("id").agg(*hits).collect()}
 
     found: dict[str, list] = {}
-    for number, n, j, _, _, rows in targets:
+    for number, n, j, _, _ in targets:
         lo, hi = picked.get(number, (None, None))
         if lo is None or hi is None:
             return None
-        position = (rows - 1) * probabilities[j]
+        position = (totals[n] - 1) * probabilities[j]
         share = position - int(position)
         found.setdefault(n, []).append(lo if share == 0 else (1 - share) * lo + share * hi)
     return small_table(df.sparkSession, list(found.items()), "column string, q array<double>")
 
 
+def _bracket_counts(narrow: DataFrame, columns: list[str], targets: list[tuple]):
+    """Per target the rows below (``c_``) and inside (``i_``) its bracket, per column all (``n_``)."""
+    value = {n: F.col(f"v_{i}") for i, n in enumerate(columns)}
+    return narrow.agg(
+        *[F.count_if(value[n] < F.lit(low)).alias(f"c_{t}") for t, n, _, low, _ in targets],
+        *[F.count_if(value[n].between(F.lit(low), F.lit(high))).alias(f"i_{t}") for t, n, _, low, high in targets],
+        *[F.count(value[n]).alias(f"n_{i}") for i, n in enumerate(columns)],
+    ).first()
+
+
+def _narrower(
+    narrow: DataFrame, columns: list[str], probabilities: list[float], targets: list[tuple], counts, shares: dict[int, Column]
+) -> list[tuple]:
+    """The brackets in ``shares`` cut to about four of ``GRID`` steps around their rank, placed by
+    a sample of the rows inside them. A bracket that would lose its rank shows in the next counts
+    and is left as it was."""
+    cells = []
+    for t, n, _, low, high in targets:
+        if t in shares:
+            value = F.col(f"v_{columns.index(n)}")
+            cells += [F.lit(t), F.when(value.between(F.lit(low), F.lit(high)) & (F.rand(42 + t) < shares[t]), value)]
+    drawn = narrow.select(F.stack(F.lit(len(shares)), *cells)).toDF("id", "value").where("value IS NOT NULL")
+    steps = [i / GRID for i in range(GRID + 1)]
+    grids = {r["id"]: r["g"] for r in drawn.groupBy("id").agg(F.percentile_approx("value", steps, ACCURACY).alias("g")).collect()}
+    proposed = []
+    for t, n, j, low, high in targets:
+        grid = grids.get(t)
+        if grid:
+            rank = (counts[f"n_{columns.index(n)}"] - 1) * probabilities[j] - counts[f"c_{t}"]
+            at = int(rank / counts[f"i_{t}"] * GRID)
+            low = grid[at - 2] if at - 2 > 0 else low
+            high = grid[at + 3] if at + 3 < GRID else high
+        proposed.append((t, n, j, low, high))
+    check = _bracket_counts(narrow, columns, proposed)
+    kept = []
+    for old, new in zip(targets, proposed):
+        rank = (check[f"n_{columns.index(new[1])}"] - 1) * probabilities[new[2]]
+        first, beyond = check[f"c_{new[0]}"], check[f"c_{new[0]}"] + check[f"i_{new[0]}"]
+        kept.append(new if first <= rank and rank + 1 < beyond else old)
+    return kept
+
+
 def _sliced(df: DataFrame, columns: list[str], keys: tuple[str, ...], splits: int) -> DataFrame:
     """``(keys…, column, slice, value)`` with slices of about equal row counts per column."""
     steps = [i / splits for i in range(1, splits)]

@@ -21,6 +21,7 @@ def build_session(app_name: str = "tabulon", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site lookup per expression
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)

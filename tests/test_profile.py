@@ -171,6 +171,26 @@ def test_hints(spark):
     assert F is not None
 
 
+def test_sampled_brackets_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SKETCH_SAMPLE", 2000)
+    values = [float((i * 7919) % 30011) for i in range(40000)]
+    df = spark.createDataFrame([(v, None if i else 3.0, None) for i, v in enumerate(values)], "x double, rare double, e double")
+    found = {r["column"]: r["q"] for r in Q.percentiles(df, ["x", "rare", "e"], [0.0, 0.25, 0.5, 1.0], direct_rows=-1).collect()}
+    assert found == {"x": expected(values, [0.0, 0.25, 0.5, 1.0]), "rare": [3.0] * 4}
+
+
+def test_wide_brackets_are_narrowed_again(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SKETCH_SAMPLE", 2000)
+    monkeypatch.setattr(Q, "INSIDE_ROWS", 300)
+    values = [float((i * 7919) % 30011) for i in range(40000)] + [15000.0] * 20000
+    df = frame(spark, values)
+    rounds = []
+    narrower = Q._narrower
+    monkeypatch.setattr(Q, "_narrower", lambda *a: rounds.append(1) or narrower(*a))
+    found = Q._bracketed(df, ["x"], [0.1, 0.25, 0.5, 0.9], 60000)
+    assert rounds and found.first()["q"] == expected(values, [0.1, 0.25, 0.5, 0.9])
+
+
 def test_brackets_decide_large_columns(spark):
     df = frame(spark, [float(i % 9973) for i in range(30000)])
-    assert Q._bracketed(df, ["x"], [0.25, 0.5]).first()["q"] == expected([i % 9973 for i in range(30000)], [0.25, 0.5])
+    assert Q._bracketed(df, ["x"], [0.25, 0.5], 30000).first()["q"] == expected([i % 9973 for i in range(30000)], [0.25, 0.5])
