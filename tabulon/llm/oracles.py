@@ -17,9 +17,9 @@ WITH sized AS (
 placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM sized),
 sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS at FROM sized GROUP BY source),
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM sized GROUP BY source),
 weighed AS (
-  SELECT source, s, {MOST}.0 * s AS most, CASE at % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM sources),
+  SELECT source, s, {MOST}.0 * s AS most, CASE pos % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM sources),
 -- Sources in the order in which they reach their cap; the level is the least one at which the rest shares the rest.
 capped AS (
   SELECT *, coalesce(sum(most) OVER o, 0) AS fixed, sum(w) OVER (ORDER BY most / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free,
