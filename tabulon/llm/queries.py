@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import hilbert, mixing, simhash
+from tabulon.llm import contamination, hilbert, mixing, perplexity, quality, simhash, site_templates, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judged(pages, url_rules.labelled_urls(pages, table(spark, sf_dir, "labels")))
+
+
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "item_windows", "share", "changed_slots")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.perplexity_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_groups(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
@@ -32,5 +54,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "quota_blocks")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

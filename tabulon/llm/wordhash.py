@@ -76,10 +76,11 @@ class Words:
         return mix(np.add.reduceat(value, first) ^ C2)
 
 
-def slices(texts: Sequence[bytes]) -> Iterator[tuple[Words, np.ndarray]]:
+def slices(texts: Sequence[bytes], overlap: int = 0) -> Iterator[tuple[Words, np.ndarray]]:
     """Words of ``texts`` in slices of about ``CHUNK`` bytes, with the number of each word's text.
 
-    A long text comes in several slices, cut at white space.
+    A text longer than that comes in several slices, cut at white space; each after the first repeats the
+    last ``overlap`` words of the one before.
     """
     block: list[bytes] = []
     of: list[int] = []
@@ -100,13 +101,18 @@ def slices(texts: Sequence[bytes]) -> Iterator[tuple[Words, np.ndarray]]:
                 while high < len(text) and not SPACE[text[high]]:
                     high += 1
             part = text[low:high]
-            low = high
             if size + len(part) > CHUNK and block:
                 yield made(block, of)
                 block, of, size = [], [], 0
             block.append(part)
             of.append(number)
             size += len(part)
+            low = high
+            if overlap and high < len(text):
+                head = part.rsplit(None, overlap)[0] if len(part.split(None, overlap)) > overlap else b""
+                low = high - (len(part) - len(head)) if head else high
+                yield made(block, of)  # repeated words are never in one slice with the words they repeat
+                block, of, size = [], [], 0
     if block:
         yield made(block, of)
 
