@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.wordhash import BYTE_CODES, C1, SPACE, Words, encoded, mix, powers, slices
+from tabulon.llm.wordhash import BYTE_CODES, SPACE, Words, encoded, mix, powers, slices
 from tabulon.session import staged
 
 WINDOW = 8
@@ -39,7 +39,7 @@ _digit[48:58] = True
 _upper = np.zeros(256, bool)
 _upper[65:91] = True
 _stop = np.isin(np.arange(256), list(b".!?:;"))
-NUMBER, UNIT, NAME = (np.uint64(k) * C1 for k in (11, 12, 13))
+NUMBER, UNIT, NAME = (mix(np.array([k], np.uint64))[0] for k in (11, 12, 13))
 
 
 def _spelled(words: Sequence[str]) -> np.ndarray:

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import contamination, hilbert, mixing, perplexity, quality, simhash, site_templates, toxicity, url_rules
+from tabulon.llm import contamination, hilbert, mixing, packing, perplexity, quality, simhash, site_templates, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judged(pages, url_rules.labelled_urls(pages, table(spark, sf_dir, "labels")))
