@@ -186,10 +186,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     which it holds ``share`` of the windows or more: ``doc_id``, ``row_key`` (a hash of doc_id and text, equal for
     repeated rows, which give one result), ``item_id``, ``windows`` found, ``item_windows``, ``share`` and ``changed_slots``
     (slots whose value is another one). Windows count only where a run of them replaces each value by one value
-    throughout. Null and empty texts on either side match nothing.
+    throughout. Null and empty texts on either side match nothing; of several texts of one item the best match counts.
     """
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
-    run, kind = _window_rows("item_id", benchmark.schema["item_id"].dataType.simpleString())
+    item = F.struct("item_id", F.xxhash64("text").alias("text_key")).alias("item")
+    items = benchmark.where("text IS NOT NULL").select(item, "text").distinct()
+    run, kind = _window_rows("item", items.schema["item"].dataType.simpleString())
     indexed = staged(items.mapInArrow(run, kind), "benchmark-windows")
     sizes = tuple(sorted(r[0] for r in indexed.select(F.size("slots")).distinct().collect()))  # 1 to WINDOW
     if not sizes:
@@ -201,20 +202,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     keyed = docs.where("text IS NOT NULL").select(F.struct("doc_id", F.xxhash64("doc_id", "text").alias("row_key")).alias("doc"), "text")
     run, kind = _window_rows("doc", keyed.schema["doc"].dataType.simpleString(), wanted, sizes)
     found = keyed.mapInArrow(run, kind)
-    totals = indexed.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
-    item = indexed.select("item_id", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"))
+    totals = indexed.groupBy("item").agg(F.countDistinct("place").alias("item_windows"))
+    item = indexed.select("item", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"))
     pairs = found.join(item, "hash").withColumn("shift", F.col("place") - F.col("item_place"))
     # Within one run of windows (one shift) each of the item's values must have become one value.
     both = F.expr("filter(arrays_zip(item_slots, slots), x -> x.item_slots <> 0)")
-    runs = pairs.groupBy("doc", "item_id", "shift").agg(
+    runs = pairs.groupBy("doc", "item", "shift").agg(
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(both))).alias("values")
     )
     consistent = runs.where(F.size("values") == F.size(F.array_distinct(F.transform("values", lambda x: x["item_slots"]))))
     changed = F.size(F.filter("values", lambda x: x["item_slots"] != x["slots"]))
-    per_item = consistent.withColumn("changed", changed).groupBy("doc", "item_id")
+    per_item = consistent.withColumn("changed", changed).groupBy("doc", "item")
     per_item = per_item.agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"), F.max("changed").alias("changed_slots"))
-    judged = per_item.join(totals, "item_id").withColumn("share", F.col("windows") / F.col("item_windows"))
-    return judged.where(F.col("share") >= share).select("doc.doc_id", "doc.row_key", "item_id", "windows", "item_windows", "share", "changed_slots")
+    judged = per_item.join(totals, "item").withColumn("share", F.col("windows") / F.col("item_windows"))
+    best = F.max(F.struct("share", "windows", "item_windows", "changed_slots")).alias("best")
+    found = judged.where(F.col("share") >= share).groupBy("doc", "item.item_id").agg(best)
+    return found.select("doc.doc_id", "doc.row_key", "item_id", "best.windows", "best.item_windows", "best.share", "best.changed_slots")
 
 
 def _parts(hashes: DataFrame, width: int = 1 << 16) -> Iterator[np.ndarray]:
