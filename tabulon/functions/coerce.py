@@ -19,6 +19,15 @@ DATE_LAYOUTS = (
     ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"),
     ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
     ("yyyyMMdd", r"^\d{8}$"),
+    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd/MM/yyyy HH:mm:ss", r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$"),
+    ("dd.MM.yyyy HH:mm", r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}$"),
+    ("dd.MM.yyyy HH:mm:ss", r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Z][a-z]{2,} \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Z][a-z]{2,} \d{1,2}, \d{4}$"),
 )
 ISO_SHAPE = r"^\s*(\d{4}(-\d|\s*$)|\d{1,2}:\d{2})"
 
@@ -46,6 +55,27 @@ def _timestamp_candidates(value: Column) -> list[Column]:
     return [iso] + [F.try_to_timestamp(F.when(value.rlike(shape), value), F.lit(p)) for p, shape in DATE_LAYOUTS]
 
 
+def layout_counts(values: dict[str, Column]) -> list[Column]:
+    """Aggregates for :func:`chosen_layouts`: per column all values, and those that each layout reads."""
+    counts = []
+    for i, value in enumerate(values.values()):
+        counts.append(F.count(value).alias(f"n_{i}"))
+        counts += [F.count(parsed).alias(f"p_{i}_{j}") for j, parsed in enumerate(_timestamp_candidates(value))]
+    return counts
+
+
+def chosen_layouts(values: dict[str, Column], found) -> dict[str, Column]:
+    """The timestamps of the columns that one layout reads throughout; the first such layout counts."""
+    casts = {}
+    for i, (name, value) in enumerate(values.items()):
+        total = found[f"n_{i}"]
+        for j, parsed in enumerate(_timestamp_candidates(value)):
+            if total and found[f"p_{i}_{j}"] == total:
+                casts[name] = parsed
+                break
+    return casts
+
+
 def coerce_datetimes(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Cast text columns to timestamp, all or nothing per column.
 
@@ -56,17 +86,6 @@ def coerce_datetimes(df: DataFrame, names: list[str] | None = None) -> DataFrame
         names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
-    counts = []
-    for i, name in enumerate(names):
-        counts.append(F.count(col(name)).alias(f"n_{i}"))
-        for j, parsed in enumerate(_timestamp_candidates(col(name))):
-            counts.append(F.count(parsed).alias(f"p_{i}_{j}"))
-    found = df.agg(*counts).first()
-    casts = {}
-    for i, name in enumerate(names):
-        total = found[f"n_{i}"]
-        for j, parsed in enumerate(_timestamp_candidates(col(name))):
-            if total and found[f"p_{i}_{j}"] == total:
-                casts[name] = parsed
-                break
+    values = {n: col(n) for n in names}
+    casts = chosen_layouts(values, df.agg(*layout_counts(values)).first())
     return df.withColumns(casts) if casts else df

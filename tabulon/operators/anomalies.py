@@ -1,4 +1,4 @@
-"""Isolation Forest: bounded samples, trees built in parallel, Arrow scoring, exact cut."""
+"""Isolation Forest: samples of the whole table, trees built in parallel, Arrow scoring, exact cut."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col
 from tabulon.operators.quantiles import percentile_values
-from tabulon.session import spread, staged
 
 # Model defaults.
 SEED = 42
@@ -21,7 +21,7 @@ SAMPLE_ROWS = 256
 EULER = 0.5772156649
 MIN_CONTAMINATION, MAX_CONTAMINATION, DEFAULT_CONTAMINATION = 0.01, 0.5, 0.06
 
-POOL_ROWS = 65_536  # rows all tree samples are drawn from, uniform over the table
+SPARE = 64  # rows drawn for a tree beyond twice its sample, so that it never falls short
 
 
 def average_path(n):
@@ -66,22 +66,58 @@ def _grow(rows: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.nd
     return feature, threshold, path
 
 
-def _pool(df: DataFrame, features: list[str], key: list[str] | None, seed: int) -> DataFrame:
-    """A uniform sample of bounded expected size, written once so every tree sees the same rows.
+def _samples(df: DataFrame, features: list[str], trees: int, sample: int, rows: int, seed: int, key: list[str] | None) -> DataFrame:
+    """``(tree, draw, features…)``: for every tree some more than ``sample`` rows, drawn from the whole table in one scan.
 
-    With ``key`` (columns that identify a row) membership is a hash of the key and does not
-    depend on how the table is partitioned; without it Spark's seeded Bernoulli sample is used.
+    Draws depend on ``seed``, the tree and the row's ``key`` alone; without a key on its values, and equal rows are
+    counted first, so that each of them has its own draw. How the table is partitioned does not matter.
     """
-    rows = df.count()
-    narrow = df.select(*[col(f).cast("double").alias(f) for f in features])
-    if rows > POOL_ROWS:
-        share = POOL_ROWS / rows
-        if key:
-            bucket = F.pmod(F.xxhash64(F.lit(seed), *[col(k) for k in key]), F.lit(2**40))
-            narrow = df.where(bucket < int(share * 2**40)).select(*[col(f).cast("double").alias(f) for f in features])
-        else:
-            narrow = narrow.sample(False, share, seed)
-    return staged(spread(narrow, min(rows, POOL_ROWS)).withColumn("row", F.monotonically_increasing_id()), "forest-pool")
+    values = [col(f).cast("double").alias(f) for f in features]
+    if key:
+        counted = df.select(F.xxhash64(F.lit(seed), *[col(k) for k in key]).alias("id"), F.lit(1).cast("bigint").alias("copies"), *values)
+    else:
+        counted = df.select(*values).groupBy(*features).agg(F.count(F.lit(1)).alias("copies"))
+        counted = counted.select(F.xxhash64(F.lit(seed), *features).alias("id"), "copies", *features)
+    share = min(1.0, (2.0 * sample + SPARE) / rows)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = np.arange(trees, dtype=np.uint64)
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64)
+            copies = batch.column("copies").to_numpy(zero_copy_only=False)
+            single = np.flatnonzero(copies == 1)
+            chance = _uniform(ids[single][:, None] ^ _spread(numbers + np.uint64(1))[None, :])
+            at, tree = np.nonzero(chance < share)
+            rows_at, trees_at, draws = [single[at]], [tree], [chance[at, tree]]
+            for i in np.flatnonzero(copies > 1).tolist():
+                rng = np.random.Generator(np.random.Philox(int(ids[i])))
+                many = rng.binomial(int(copies[i]), share, trees)
+                rows_at.append(np.full(many.sum(), i))
+                trees_at.append(np.repeat(np.arange(trees), many))
+                draws.append(rng.random(int(many.sum())) * share)
+            chosen = pa.array(np.concatenate(rows_at))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(trees_at).astype(np.int32)),
+                    pa.array(np.concatenate(draws).astype(float)),
+                    *(batch.column(f).take(chosen) for f in features),
+                ],
+                ["tree", "draw", *features],
+            )
+
+    fields = ", ".join(f"`{f}` double" for f in features)
+    return counted.mapInArrow(draw, f"tree int, draw double, {fields}")
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of unsigned numbers."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return (_spread(h) >> np.uint64(11)).astype(float) / 2.0**53
 
 
 def fit_forest(
@@ -92,26 +128,19 @@ def fit_forest(
     seed: int = SEED,
     key: list[str] | None = None,
 ) -> Forest:
-    """Trees grow in parallel Spark tasks from 256-row samples; the driver receives the cut
-    points only (at most trees x 511 numbers)."""
-    pool = _pool(df, features, key, seed)
-    size = pool.count()
+    """Trees grow in parallel Spark tasks from 256-row samples of the whole table; the driver receives the cut
+    points only (at most trees x 511 numbers). The forest does not depend on how the table is partitioned."""
+    size = df.count()
     if size == 0:
         raise ValueError("no rows to learn from")
     sample = min(sample_rows, size)
     depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
-    share = min(1.0, 2.0 * sample / size + 64.0 / size)
-    draw = F.pmod(F.xxhash64(F.col("row"), F.col("tree"), F.lit(seed)), F.lit(2**40))
-    drawn = (
-        pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("draw", draw)
-        .where(F.col("draw") <= int(share * 2**40))
-    )
-    partitions = max(1, min(trees, pool.sparkSession.sparkContext.defaultParallelism))
+    drawn = _samples(df, features, trees, sample, size, seed, key)
+    partitions = max(1, min(trees, df.sparkSession.sparkContext.defaultParallelism))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
-        rows = group.sort_values(["draw", "row"]).head(sample)[features].to_numpy(dtype=float)
+        rows = group.sort_values(["draw", *features]).head(sample)[features].to_numpy(dtype=float)
         feature, threshold, path = _grow(rows, depth, np.random.default_rng([seed, tree]))
         return pd.DataFrame({"tree": [tree], "feature": [feature.tolist()], "threshold": [threshold.tolist()], "path": [path.tolist()]})
 

@@ -9,11 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, present
-from tabulon.session import SPREAD_ROWS, spread, staged
+from tabulon.session import staged
 
 # Model defaults.
 SEED = 42
@@ -22,9 +22,9 @@ MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 MIN_CLUSTERS, MAX_CLUSTERS, DEFAULT_CLUSTERS = 2, 12, 3
 
-SEED_ROWS = 20_000  # rows the first centres are drawn from
-EXACT_SILHOUETTE_ROWS = 50_000
-BLOCK_VALUES = 2_000_000  # doubles sent to the tasks per silhouette block (16 MB)
+SEED_ROUNDS = 4  # rounds in which candidates for the first centres are drawn
+SILHOUETTE_METRIC = "squared_euclidean"
+BLOCK_ROWS = 1024  # points that are compared with as many at once
 
 
 @dataclass(frozen=True)
@@ -47,18 +47,78 @@ def _distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((rows**2).sum(1)[:, None] - 2 * cross + (centers**2).sum(1)[None, :], 0.0)
 
 
-def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: each further centre is drawn with weight = squared distance to the nearest one."""
-    chosen = [sample[rng.integers(len(sample))]]
-    nearest = _distances(sample, chosen[0][None, :])[:, 0]
+def _first_centers(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ among weighted candidates: each further centre is drawn with weight times squared distance to the nearest one."""
+    chosen = [candidates[rng.choice(len(candidates), p=weights / weights.sum())]]
+    nearest = _distances(candidates, chosen[0][None, :])[:, 0]
     while len(chosen) < k:
-        total = nearest.sum()
-        pick = rng.choice(len(sample), p=nearest / total) if total > 0 else rng.integers(len(sample))
-        chosen.append(sample[pick])
-        nearest = np.minimum(nearest, _distances(sample, chosen[-1][None, :])[:, 0])
+        pull = nearest * weights
+        pick = rng.choice(len(candidates), p=pull / pull.sum()) if pull.sum() > 0 else rng.integers(len(candidates))
+        chosen.append(candidates[pick])
+        nearest = np.minimum(nearest, _distances(candidates, chosen[-1][None, :])[:, 0])
     return np.array(chosen)
 
 
+def _draws(rows: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for every row, from its values and ``salt`` alone: draws do not depend on how a table is partitioned."""
+    h = np.full(len(rows), salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for column in (np.ascontiguousarray(rows) + 0.0).view(np.uint64).T:
+        h ^= column
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _drawn(blocks: DataFrame, features: list[str], known: dict[int, np.ndarray], many: int, salt: int) -> dict[int, np.ndarray]:
+    """``many`` further rows per start, drawn from the whole table in one scan with weight = squared distance to the nearest known
+    row (equal weights where none is known). A row's key is -log(draw) / weight, and the smallest keys win, in tasks and over all."""
+    width = len(features)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {s: (np.zeros(0), np.zeros((0, width))) for s in known}
+        for rows in (np.frombuffer(b.as_py()).reshape(-1, width) for batch in batches for b in batch.column("block")):
+            rows = np.unique(rows, axis=0)
+            for start, near in known.items():
+                weight = _distances(rows, near).min(axis=1) if len(near) else np.ones(len(rows))
+                usable = weight > 1e-12
+                with np.errstate(divide="ignore"):
+                    keys = -np.log(_draws(rows, salt + 1009 * start)) / np.where(usable, weight, 1.0)
+                key, point = np.r_[held[start][0], keys[usable]], np.r_[held[start][1], rows[usable]]
+                point, first = np.unique(point, axis=0, return_index=True)
+                order = np.argsort(key[first], kind="stable")[:many]
+                held[start] = key[first][order], point[order]
+        for start, (key, point) in held.items():
+            if len(key):
+                points = pa.array([p.tobytes() for p in point], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([start] * len(key), pa.int32()), pa.array(key), points], ["start", "key", "point"])
+
+    found = blocks.mapInArrow(best, "start int, key double, point binary").distinct()
+    rank = F.row_number().over(Window.partitionBy("start").orderBy("key", "point"))
+    rows = found.withColumn("rank", rank).where(F.col("rank") <= many).collect()
+    out: dict[int, list] = {s: [] for s in known}
+    for r in sorted(rows, key=lambda r: (r["start"], r["rank"])):
+        out[r["start"]].append(np.frombuffer(r["point"]))
+    return {s: np.array(points).reshape(-1, width) for s, points in out.items()}
+
+
+def _initial_centers(blocks: DataFrame, features: list[str], k: int, starts: int, seed: int) -> dict[int, np.ndarray]:
+    """First centres by k-means|| over the whole table, all starts in the same scans.
+
+    One row per start, then ``SEED_ROUNDS`` rounds of 2 k rows each far from those there are; rows are counted by their
+    nearest candidate, and k-means++ chooses k of the weighted candidates. The driver holds the candidates only.
+    """
+    known = {s: np.zeros((0, len(features))) for s in range(starts)}
+    for turn in range(SEED_ROUNDS + 1):
+        more = _drawn(blocks, features, known, 2 * k if turn else 1, seed + 7919 * turn)
+        known = {s: np.r_[known[s], more[s]] for s in known}
+    width = max(map(len, known.values()))
+    padded = {s: np.r_[c, np.full((width - len(c), len(features)), 1e150)] for s, c in known.items()}
+    counts = _scan(blocks, features, padded)
+    rng = np.random.default_rng(seed)
+    return {s: _first_centers(known[s], np.maximum(counts[s][0][: len(known[s])], 1e-9), k, rng) for s in known}
+
+
 def _blocks(data: DataFrame, features: list[str]) -> DataFrame:
     """The feature rows as binary blocks of doubles, one per Arrow batch: repeated scans then move
     a few large values instead of many rows."""
@@ -72,14 +132,11 @@ def _blocks(data: DataFrame, features: list[str]) -> DataFrame:
     return data.mapInArrow(pack, "block binary")
 
 
-def _scan(
-    blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray], few_tasks: bool, with_cost: bool = False
-) -> dict[int, tuple]:
+def _scan(blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray], with_cost: bool = False) -> dict[int, tuple]:
     """One scan for all starts: per (start, cluster) row count, feature sums and cost.
 
     Tasks return one row per start and cluster. Spark adds them up, so the driver receives
-    starts x clusters rows whatever the size of the data; only for a table known to be read by
-    a few tasks their rows come to the driver as they are, which saves a shuffle per scan.
+    starts x clusters rows whatever the size of the data.
     """
     starts = sorted(centers)
     k = len(next(iter(centers.values())))
@@ -120,8 +177,7 @@ def _scan(
 
     fields = ", ".join(f"{s} double" for s in sums)
     merged = blocks.mapInArrow(partial, f"start int, cluster int, n double, cost double, {fields}")
-    if not few_tasks:
-        merged = merged.groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
+    merged = merged.groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
     found: dict[int, tuple] = {s: (np.zeros(k), np.zeros((k, len(features))), np.zeros(k)) for s in starts}
     for row in merged.collect():
         counts, totals, costs = found[row["start"]]
@@ -131,6 +187,24 @@ def _scan(
     return found
 
 
+def _farthest(blocks: DataFrame, features: list[str], centers: np.ndarray, many: int) -> np.ndarray:
+    """The ``many`` different rows farthest from their nearest centre (ties by their bytes)."""
+    width = len(features)
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, points = np.zeros(0), np.zeros((0, width))
+        for rows in (np.frombuffer(b.as_py()).reshape(-1, width) for batch in batches for b in batch.column("block")):
+            points = np.unique(np.r_[points, rows], axis=0)
+            best = _distances(points, centers).min(axis=1)
+            order = np.argsort(-best, kind="stable")[:many]
+            best, points = best[order], points[order]
+        if len(best):
+            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array([p.tobytes() for p in points], pa.binary())], ["d", "point"])
+
+    top = blocks.mapInArrow(far, "d double, point binary").distinct().orderBy(F.desc("d"), "point").limit(many).collect()
+    return np.array([np.frombuffer(r["point"]) for r in top]).reshape(-1, width)
+
+
 def fit_kmeans(
     df: DataFrame,
     features: list[str],
@@ -139,43 +213,50 @@ def fit_kmeans(
     seed: int = SEED,
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
+    initial=None,
 ) -> KMeansModel:
     """Lowest-cost K-Means of ``starts`` runs; ``features`` are double columns without NULL.
 
     All unfinished starts move in the same scan. A start stops when its centres move less than
-    ``tolerance`` times the mean feature variance. Clusters are numbered by size, largest first.
+    ``tolerance`` times the mean feature variance (never, if that is negative). A centre without rows moves to a row
+    farthest from its centre; with fewer different rows than clusters it stays. Clusters are numbered by size, largest
+    first. ``initial`` gives the first centres of a single start. The packed features are written to the shared folder
+    once, and every scan reads them from there.
     """
     if not MIN_CLUSTERS <= k <= MAX_CLUSTERS:
         raise ValueError(f"k must be between {MIN_CLUSTERS} and {MAX_CLUSTERS}")
-    data = df.select(*[col(f).alias(f) for f in features])
-    n = df.count()
+    data = df.select(*[col(f).cast("double").alias(f) for f in features])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = staged(_blocks(data, features).repartition(cores), "kmeans-blocks")
+    one = _scan(blocks, features, {0: np.zeros((1, len(features)))}, with_cost=True)[0]
+    n = int(one[0][0])
     if n < k:
         raise ValueError(f"{n} rows are too few for {k} clusters")
-    few_tasks = n <= SPREAD_ROWS
-    data = spread(data, n)
-    blocks = _blocks(data, features).persist()
-    try:
-        variances = data.agg(*[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(features)]).first()
-        limit = tolerance * float(np.mean(variances))
-        drawn = data if n <= SEED_ROWS else data.sample(False, SEED_ROWS / n, seed)
-        sample = np.array([list(r) for r in drawn.collect()], dtype=float)
-        rng = np.random.default_rng(seed)
-        centers = {s: _first_centers(sample, k, rng) for s in range(starts)}
-        active = dict(centers)
-        iterations = 0
-        while active and iterations < max_iterations:
-            iterations += 1
-            for start, (counts, totals, _) in _scan(blocks, features, active, few_tasks).items():
-                moved = np.where(counts[:, None] > 0, totals / np.maximum(counts, 1)[:, None], centers[start])
-                shift = float(((moved - centers[start]) ** 2).sum())
-                centers[start] = moved
-                active[start] = moved
-                if shift <= limit:
-                    del active[start]
-        final = _scan(blocks, features, centers, few_tasks, with_cost=True)
-    finally:
-        blocks.unpersist()
-    costs = [float(final[s][2].sum()) for s in range(starts)]
+    # Mean squared deviation around the mean, from the sums of one scan around it.
+    mean = one[1][0] / n
+    limit = tolerance * float(_scan(blocks, features, {0: mean[None, :]}, with_cost=True)[0][2][0]) / n / len(features)
+    if initial is not None:
+        centers = {0: np.array(initial, dtype=float)}
+    else:
+        centers = _initial_centers(blocks, features, k, starts, seed)
+    active = dict(centers)
+    iterations = 0
+    while active and iterations < max_iterations:
+        iterations += 1
+        for start, (counts, totals, _) in _scan(blocks, features, active).items():
+            moved = np.where(counts[:, None] > 0, totals / np.maximum(counts, 1)[:, None], centers[start])
+            empty = np.flatnonzero(counts == 0)
+            if len(empty):
+                far = _farthest(blocks, features, moved[counts > 0], len(empty))
+                far = far[_distances(far, moved[counts > 0]).min(axis=1) > 0]
+                moved[empty[: len(far)]] = far
+            shift = float(((moved - centers[start]) ** 2).sum())
+            centers[start] = moved
+            active[start] = moved
+            if shift <= limit:
+                del active[start]
+    final = _scan(blocks, features, centers, with_cost=True)
+    costs = [float(final[s][2].sum()) for s in sorted(centers)]
     best = int(np.argmin(costs))
     sizes = final[best][0]
     order = sorted(range(k), key=lambda c: (-sizes[c], tuple(centers[best][c])))
@@ -208,80 +289,81 @@ def cluster_profile(df: DataFrame, columns: list[str], label: str = "cluster", d
 # --- silhouette -----------------------------------------------------------------------------
 
 
-def _distance_sums(points: DataFrame, features: list[str], shared) -> DataFrame:
-    """Add every row's distance sums per cluster over one broadcast block of points to its ``sums``."""
+def silhouette_rows(df: DataFrame, features: list[str], label: str = "cluster") -> DataFrame:
+    """Exact Euclidean silhouette per row: ``(label, silhouette)``; no rows unless 2 <= labels <= rows - 1.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others, one_hot = shared.value
-        for batch in batches:
-            rows = _matrix(batch, features)
-            sums = np.array(batch.column("sums").to_pylist(), dtype=float).reshape(len(rows), one_hot.shape[1])
-            for begin in range(0, len(rows), 256):
-                part = slice(begin, begin + 256)
-                sums[part] += np.sqrt(_distances(rows[part], others)) @ one_hot
-            kept = [batch.column(n) for n in batch.schema.names if n != "sums"]
-            names = [n for n in batch.schema.names if n != "sums"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sums.tolist(), pa.list_(pa.float64()))], names=[*names, "sums"])
-
-    ordered = points.select(*[c for c in points.columns if c != "sums"], "sums")
-    return ordered.mapInArrow(add, ordered.schema)
-
-
-def silhouette_rows(df: DataFrame, features: list[str], label: str = "cluster") -> DataFrame | None:
-    """Exact silhouette per row: ``(label, silhouette)``; None unless 2 <= labels <= rows - 1.
-
-    Mean distances need every pair, so the points travel to the rows in blocks of bounded size
-    and each row keeps one running sum per cluster; pairs are never materialised and nothing is
-    shuffled. Work still grows with the square of the rows: use
-    :func:`silhouette_squared` for large tables.
+    Mean distances need every pair. Rows are packed into blocks, each block meets each other one in a join on
+    their numbers, and a task returns one sum per row and label; pairs are never rows, and nothing passes the
+    driver. Work still grows with the square of the rows: :func:`silhouette_squared` is linear.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(col(label)).count().collect()}
-    labels = sorted(counts)
-    n = sum(counts.values())
-    if not 2 <= len(labels) <= n - 1:
-        return None
-    points = df.select(col(label).alias("label"), *[col(f).cast("double").alias(f) for f in features])
-    per_block = max(1, BLOCK_VALUES // max(1, len(features)))
-    blocks = -(-n // per_block)
-    if blocks > 1:
-        # Rows are dealt to blocks once and written, so every pass sees the same split.
-        points = staged(points.withColumn("block", (F.rand(SEED) * blocks).cast("int")), "silhouette-points")
-    rows = spread(points, n).withColumn("sums", F.array_repeat(F.lit(0.0), len(labels)))
-    for number in range(blocks):
-        part = points if blocks == 1 else points.where(F.col("block") == number)
-        table = part.select("label", *features).toPandas()
-        block = table[features].to_numpy(dtype=float)
-        members = (table["label"].to_numpy()[:, None] == np.array(labels)[None, :]).astype(float)
-        shared = df.sparkSession.sparkContext.broadcast((block, members))
-        rows = _distance_sums(rows, features, shared)
-        if blocks > 1:
-            rows = staged(rows, "silhouette-sums")
-            shared.destroy()
-    sizes = F.array(*[F.lit(float(counts[x])) for x in labels])
-    own = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
-    own_size = F.get(sizes, own.cast("int"))
-    inner = F.get("sums", own.cast("int")) / (own_size - 1)
-    others = F.transform(
-        F.arrays_zip(F.col("sums").alias("s"), sizes.alias("m")),
-        lambda pair, i: F.when(i != own, pair["s"] / pair["m"]),
+    width = len(features)
+    points = df.select(col(label).alias("label"), *[col(f).cast("double").alias(f) for f in features]).where("label IS NOT NULL")
+    kind = points.schema["label"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(low, BLOCK_ROWS)
+                block = np.ascontiguousarray(_matrix(batch, features), dtype=np.float64).tobytes()
+                labels = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("label"))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), labels], names=["block", "labels"])
+
+    packed = points.mapInArrow(pack, f"block binary, labels array<{kind}>").withColumn("id", F.monotonically_increasing_id())
+    blocks = staged(packed, "silhouette-blocks")
+    # Blocks know each other's numbers, so the pairs are dealt by an ordinary join.
+    numbers = blocks.agg(F.collect_list("id")).scalar()
+    other = blocks.select(F.col("id").alias("other"), F.col("block").alias("other_block"), F.col("labels").alias("other_labels"))
+    pairs = blocks.withColumn("other", F.explode(numbers)).join(other, "other").drop("other")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, others = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, width) for c in ("block", "other_block"))
+                own, names = batch.column("labels")[i].values, batch.column("other_labels")[i].values.dictionary_encode()
+                codes = names.indices.to_numpy()
+                members = (codes[:, None] == np.arange(len(names.dictionary))[None, :]).astype(float)
+                total = np.sqrt(_distances(rows, others)) @ members
+                place = np.arange(len(rows)) + batch.column("id")[i].as_py() * BLOCK_ROWS
+                many = len(names.dictionary)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(place, many)),
+                        own.take(pa.array(np.repeat(np.arange(len(rows)), many))),
+                        names.dictionary.take(pa.array(np.tile(np.arange(many), len(rows)))),
+                        pa.array(total.ravel()),
+                    ],
+                    names=["row", "label", "other", "distance"],
+                )
+
+    each = pairs.mapInArrow(sums, f"row bigint, label {kind}, other {kind}, distance double")
+    summed = each.groupBy("row", "label", "other").agg(F.sum("distance").alias("distance"))
+    sizes = points.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("size"))
+    same = F.col("label") == F.col("other")
+    means = summed.join(sizes, "other").groupBy("row", "label").agg(
+        F.max(F.when(same, F.col("size"))).alias("own"),
+        F.max(F.when(same, F.try_divide(F.col("distance"), F.col("size") - 1))).alias("inner"),
+        F.min(F.when(~same, F.col("distance") / F.col("size"))).alias("outer"),
+    )
+    score = F.when(F.col("own") == 1, 0.0).otherwise(
+        F.coalesce(F.try_divide(F.col("outer") - F.col("inner"), F.greatest("inner", "outer")), F.lit(0.0))
     )
-    outer = F.array_min(others)
-    score = F.when(own_size == 1, 0.0).otherwise(F.coalesce(F.try_divide(outer - inner, F.greatest(inner, outer)), F.lit(0.0)))
-    return rows.select("label", score.alias("silhouette"))
+    usable = sizes.agg((F.count(F.lit(1)) >= 2) & (F.count(F.lit(1)) < F.sum("size"))).scalar()
+    return means.where(usable).select("label", score.alias("silhouette"))
 
 
 def silhouette_squared(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:
-    """Silhouette with squared distances: linear in the rows, a different number."""
-    bounds = df.agg(F.min(col(label)).alias("a"), F.max(col(label)).alias("b")).first()
-    if bounds["a"] == bounds["b"]:
+    """Silhouette with squared distances: linear in the rows, a different number. None unless 2 <= labels <= rows - 1."""
+    found = df.agg(F.count_distinct(col(label)).alias("labels"), F.count(F.lit(1)).alias("rows")).first()
+    if not 2 <= found["labels"] <= found["rows"] - 1:
         return None
     vectors = VectorAssembler(inputCols=features, outputCol="v").transform(df).select("v", col(label).cast("int").alias("p"))
     return ClusteringEvaluator(featuresCol="v", predictionCol="p").evaluate(vectors)
 
 
-def silhouette(df: DataFrame, features: list[str], label: str = "cluster", exact_rows: int = EXACT_SILHOUETTE_ROWS) -> tuple[float | None, str]:
-    """``(score, metric)``: plain Euclidean up to ``exact_rows`` rows, squared beyond, named as such."""
-    if df.count() > exact_rows:
-        return silhouette_squared(df, features, label), "squared_euclidean"
-    rows = silhouette_rows(df, features, label)
-    return (None if rows is None else rows.agg(F.avg("silhouette")).first()[0]), "euclidean"
+def silhouette(df: DataFrame, features: list[str], label: str = "cluster", metric: str = SILHOUETTE_METRIC) -> float | None:
+    """The mean silhouette by ``metric``: ``squared_euclidean`` (linear work) or ``euclidean`` (every pair of rows)."""
+    if metric == "squared_euclidean":
+        return silhouette_squared(df, features, label)
+    if metric != "euclidean":
+        raise ValueError(f"unknown metric {metric!r}")
+    return silhouette_rows(df, features, label).agg(F.avg("silhouette")).first()[0]

@@ -15,11 +15,12 @@ from tabulon.operators.clustering import (
     cluster_profile,
     cluster_sizes,
     fit_kmeans,
+    SILHOUETTE_METRIC,
     silhouette,
 )
 from tabulon.operators.features import default_features, prepared
 from tabulon.operators.projection import project_2d
-from tabulon.session import spread, staged
+from tabulon.session import staged
 
 
 @dataclass(frozen=True)
@@ -34,14 +35,19 @@ class ClusterReport:
     model: KMeansModel
 
 
-def cluster(df: DataFrame, columns: list[str] | None = None, k: int = DEFAULT_CLUSTERS, starts: int = 10) -> ClusterReport:
-    """Clean, impute, scale, group by K-Means and describe the groups."""
+def cluster(
+    df: DataFrame, columns: list[str] | None = None, k: int = DEFAULT_CLUSTERS, starts: int = 10, metric: str = SILHOUETTE_METRIC, **options
+) -> ClusterReport:
+    """Clean, impute, scale, group by K-Means and describe the groups.
+
+    ``metric`` is the one of the silhouette; ``options`` go to ``fit_kmeans``.
+    """
     columns = default_features(df) if columns is None else columns
     require_columns(df, columns, at_least=2, numeric=True)
     wide, features, sources = prepared(df, columns)
-    model = fit_kmeans(wide, features, k, starts)
+    model = fit_kmeans(wide, features, k, starts, **options)
     labelled = assign_clusters(wide, features, model.centers)
-    score, metric = silhouette(labelled, features)
+    score = silhouette(labelled, features, metric=metric)
     points, explained = project_2d(labelled, features)
     rows = labelled.drop(*features)
     return ClusterReport(
@@ -78,7 +84,7 @@ def anomalies(
     require_columns(df, columns, at_least=1, numeric=True)
     wide, features, _ = prepared(df, columns)
     forest = fit_forest(wide, features, key=key)
-    scored = staged(score_rows(spread(wide, wide.count()), forest), "scored-rows")
+    scored = staged(score_rows(wide, forest), "scored-rows")
     flagged = contamination_cut(scored, "score", contamination)
     points, explained = project_2d(flagged, features)
     rows = flagged.drop("score", *features)

@@ -13,7 +13,7 @@ from tabulon.functions.coerce import coerce_datetimes, coerce_numeric
 from tabulon.operators import adhoc, anomalies, clustering, conversations, features, profile, projection
 from tabulon.plans import models
 from tabulon.plans.answer import answer
-from tabulon.session import scratch_path, spread
+from tabulon.session import scratch_path
 from tabulon.sources import chat_store, files
 from tabulon.streaming import autosave
 
@@ -338,7 +338,7 @@ def contamination_cut(spark, d):
 def forest_scores(spark, d):
     rows, names, _ = features.prepared(table(spark, d, "lineitem"), FEATURES)
     forest = anomalies.fit_forest(rows, names)
-    return anomalies.score_rows(spread(rows, rows.count()), forest).drop(*names)
+    return anomalies.score_rows(rows, forest).drop(*names)
 
 
 def anomaly_rows(spark, d):
@@ -579,7 +579,7 @@ def append_rows(spark, d):
 
 
 _NAMES = {"forest_scores": "iforest_scores", "anomaly_rows": "anomalies"}
-_HELPERS = {"table", "injected", "vectors", "turns", "timestamp", "answer", "scratch_path", "spread"}
+_HELPERS = {"table", "injected", "vectors", "turns", "timestamp", "answer", "scratch_path"}
 
 
 def registry() -> dict:

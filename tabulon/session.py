@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if context.applicationId not in _local_dirs:
         _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tabulon-")
@@ -62,19 +63,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SPREAD_ROWS = 5_000_000
-ROWS_PER_TASK = 10_000
-
-
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """Deal a small table (``rows`` is its known size) over all cores before Python work.
-
-    A small file is one row group and would keep one core busy. Larger tables come with enough
-    partitions of their own and are not shuffled.
-    """
-    if rows > SPREAD_ROWS:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(cores, rows // ROWS_PER_TASK)))

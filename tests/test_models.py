@@ -62,10 +62,26 @@ def test_kmeans_finds_the_groups(groups):
     assert np.allclose(model.centers, again.centers)
 
 
-def test_kmeans_sums_tasks_either_way(groups, monkeypatch):
-    small = K.fit_kmeans(groups, ["a", "b"], 3)
-    monkeypatch.setattr(K, "SPREAD_ROWS", 0)
-    assert np.allclose(small.centers, K.fit_kmeans(groups, ["a", "b"], 3).centers)
+def test_kmeans_does_not_depend_on_partitions(groups):
+    one, many = (K.fit_kmeans(groups.repartition(n), ["a", "b"], 3, starts=2) for n in (1, 7))
+    assert np.allclose(one.centers, many.centers) and one.sizes == many.sizes
+
+
+def test_kmeans_empty_centers_move(spark, groups):
+    start = [[0.0, 0.0], [1e6, 1e6], [2e6, 2e6]]
+    assert min(K.fit_kmeans(groups, ["a", "b"], 3, initial=start).sizes) > 0
+    two = spark.createDataFrame([(0.0, 0.0), (5.0, 5.0)] * 500, "a double, b double")
+    assert sorted(K.fit_kmeans(two, ["a", "b"], 4, starts=2).sizes) == [0, 0, 500, 500]
+
+
+def test_kmeans_from_given_centers(groups):
+    start = np.array([[0.0, 0.0], [3.0, 1.0], [4.0, 70.0]])
+    model = K.fit_kmeans(groups, ["a", "b"], 3, initial=start, max_iterations=2, tolerance=-1.0)
+    points = np.array([[r["a"], r["b"]] for r in groups.collect()])
+    for _ in range(2):
+        nearest = ((points[:, None] - start[None]) ** 2).sum(-1).argmin(1)
+        start = np.array([points[nearest == c].mean(0) for c in range(3)])
+    assert np.allclose(sorted(map(tuple, model.centers)), sorted(map(tuple, start)))
 
 
 def test_kmeans_guards(groups):
@@ -76,24 +92,28 @@ def test_kmeans_guards(groups):
         K.fit_kmeans(groups.limit(2), ["a", "b"], 3)
 
 
-def test_silhouette_exact_in_one_and_many_blocks(spark, groups, monkeypatch):
+def test_silhouette_in_one_and_many_blocks(spark, groups, monkeypatch):
     extra = spark.createDataFrame([(9, 0, 200.0, 200.0, 0.0)], groups.schema)  # a cluster of one row
     df = groups.unionByName(extra)
     rows = df.collect()
     points, labels = np.array([[r["a"], r["b"], r["c"]] for r in rows]), np.array([r["g"] for r in rows])
     wanted = sorted(silhouette(points, labels))
-    found = sorted(r["silhouette"] for r in K.silhouette_rows(df, ["a", "b", "c"], "g").collect())
-    assert found == pytest.approx(wanted, abs=1e-6)
-    monkeypatch.setattr(K, "BLOCK_VALUES", 90)
-    assert sorted(r["silhouette"] for r in K.silhouette_rows(df, ["a", "b", "c"], "g").collect()) == pytest.approx(wanted, abs=1e-6)
-    assert K.silhouette(df, ["a", "b", "c"], "g")[1] == "euclidean"
-    assert K.silhouette(df, ["a", "b", "c"], "g", exact_rows=10)[1] == "squared_euclidean"
+    named = df.withColumn("g", df["g"].cast("string"))  # labels of any type
+    for size, frame in ((1024, df), (17, df), (50, named.repartition(3))):
+        monkeypatch.setattr(K, "BLOCK_ROWS", size)
+        found = sorted(r["silhouette"] for r in K.silhouette_rows(frame, ["a", "b", "c"], "g").collect())
+        assert found == pytest.approx(wanted, abs=1e-6)
+    assert K.silhouette(df, ["a", "b", "c"], "g", metric="euclidean") == pytest.approx(np.mean(wanted), abs=1e-6)
+    assert K.silhouette(df, ["a", "b", "c"], "g") == K.silhouette_squared(df, ["a", "b", "c"], "g")
+    with pytest.raises(ValueError):
+        K.silhouette(df, ["a"], "g", metric="other")
 
 
 def test_silhouette_needs_labels(groups):
-    assert K.silhouette_rows(groups.where("g = 0"), ["a", "b"], "g") is None
     single = groups.where("g = 2").limit(4)
-    assert K.silhouette_rows(single.withColumn("g", single["i"]), ["a", "b"], "g") is None
+    for df in (groups.where("g = 0"), single.withColumn("g", single["i"]), groups.limit(0)):
+        assert K.silhouette_rows(df, ["a", "b"], "g").collect() == []
+        assert K.silhouette(df, ["a", "b"], "g") is None and K.silhouette(df, ["a", "b"], "g", metric="euclidean") is None
 
 
 def test_cluster_report(groups):
@@ -136,13 +156,27 @@ def test_forest_ranks_planted_rows_lowest(planted):
     assert [r["score"] for r in scored] == [r["score"] for r in again]
 
 
-def test_forest_pool_of_a_larger_table(planted, monkeypatch):
-    monkeypatch.setattr(A, "POOL_ROWS", 300)
+def same(one, other):
+    return all(np.array_equal(getattr(one, n), getattr(other, n)) for n in ("feature", "threshold", "path"))
+
+
+@pytest.mark.parametrize("rows", [300, 70_000])
+def test_forest_does_not_depend_on_files(spark, rows, tmp_path):
+    """Below and above the size at which samples were once drawn from a part of the table."""
+    df = spark.range(rows).selectExpr("id", "CAST(id % 251 AS DOUBLE) AS x", "CAST(hash(id) % 1000 AS DOUBLE) AS y")
+    for n in (1, 6):
+        df.repartition(n).write.parquet(str(tmp_path / str(n)))
+    files = [spark.read.parquet(str(tmp_path / str(n))) for n in (1, 6)]
     for key in (None, ["id"]):
-        forest = A.fit_forest(planted, ["x", "y"], trees=20, sample_rows=64, key=key)
-        assert forest.sample_rows == 64
-        lowest = A.score_rows(planted, forest).orderBy("score").limit(5).collect()
-        assert {r["id"] for r in lowest} == set(range(500, 505))
+        one, other = (A.fit_forest(f, ["x", "y"], trees=7, key=key) for f in files)
+        assert same(one, other) and one.sample_rows == 256 if rows > 256 else True
+
+
+def test_forest_of_many_equal_rows(spark):
+    """A row that is half of the table is half of a sample, not all of it."""
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 2 = 0 THEN 0.0D ELSE CAST(id AS DOUBLE) END AS x")
+    drawn = A._samples(df, ["x"], 10, 256, 20_000, 1, None).groupBy("tree").agg({"*": "count", "x": "avg"}).collect()
+    assert all(400 < r["count(1)"] < 800 for r in drawn) and all(3500 < r["avg(x)"] < 6500 for r in drawn)
 
 
 def test_forest_of_identical_rows(spark):
