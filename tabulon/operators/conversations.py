@@ -71,21 +71,18 @@ def chat_records(messages: DataFrame, source_name: Column, now: Column, autosave
     )
 
 
-HOT_MESSAGES = 1_000_000  # a chat with more messages is ranked in parts
-PARTS = 256
+PARTS = 256  # of a chat, each of which is ranked by itself first
 
 
 def _leading(messages: DataFrame, order: Column, k: int) -> DataFrame:
     """The first ``k`` messages of every chat in ``order``, with their ``rank``.
 
-    Spark limits each task's rows per chat before the shuffle. If a chat is so long that even
-    those rows are many, chats are ranked in parts first and the parts' winners ranked again.
+    Spark limits each task's rows per chat before the shuffle; chats are ranked in parts first and the parts'
+    winners ranked again, so a chat of any length is no single task's work.
     """
-    counts = messages.groupBy("chat_id").count()
-    if not counts.where(F.col("count") > HOT_MESSAGES).isEmpty():
-        part = F.pmod(F.xxhash64("turn"), F.lit(PARTS))
-        within = F.row_number().over(Window.partitionBy("chat_id", "part").orderBy(order))
-        messages = messages.withColumn("part", part).withColumn("rank", within).where(F.col("rank") <= k).drop("part", "rank")
+    part = F.pmod(F.xxhash64("turn"), F.lit(PARTS))
+    within = F.row_number().over(Window.partitionBy("chat_id", "part").orderBy(order))
+    messages = messages.withColumn("part", part).withColumn("rank", within).where(F.col("rank") <= k).drop("part", "rank")
     rank = F.row_number().over(Window.partitionBy("chat_id").orderBy(order))
     return messages.withColumn("rank", rank).where(F.col("rank") <= k)
 

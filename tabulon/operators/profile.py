@@ -162,12 +162,11 @@ def number_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
     return filled.groupBy("ordinal", "whole", "real").agg(F.count(F.lit(1)).alias("n"))
 
 
-def text_frequencies(df: DataFrame, names: list[str], digest: bool = False) -> DataFrame:
-    """``(ordinal, value, n)`` over values in text form; ``digest`` replaces long texts."""
+def text_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(ordinal, value, n)`` over values in text form; long texts by their key (see :func:`_keyed`)."""
 
     def slots(name: str) -> list[Column]:
-        value = as_text(df, name)
-        return [F.when(F.length(value) > SHORT_TEXT, F.sha2(value, 256)).otherwise(value) if digest else value]
+        return [_keyed(as_text(df, name))]
 
     cells = _stacked(df, names, slots).toDF("ordinal", "value")
     return cells.where("value IS NOT NULL").groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -177,7 +176,7 @@ def _split_by_slot(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """Column names by frequency table: plain numbers and dates, decimals, everything as text."""
     plain, decimals, text = [], [], []
     for f in df.schema:
-        if isinstance(f.dataType, T.DecimalType) and f.dataType.scale <= 10:
+        if isinstance(f.dataType, T.DecimalType) and f.dataType.scale <= 10 and f.dataType.precision - f.dataType.scale <= 28:
             decimals.append(f.name)
         elif (is_numeric(f.dataType) and not isinstance(f.dataType, T.DecimalType)) or isinstance(
             f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -194,22 +193,18 @@ def _named(df: DataFrame, counts: DataFrame) -> DataFrame:
     return counts.select("*", F.element_at(names, F.col("ordinal") + 1).alias("column"))
 
 
-SHORT_TEXT = 60  # longer texts are told apart by their SHA-256 (64 characters, so never mistaken for a short one)
-
+SHORT_TEXT = 60  # longer texts are told apart by their beginning and SHA-256
 
-def distinct_by_column(df: DataFrame, approx: bool = False, shared_values: bool = False) -> DataFrame:
-    """``(ordinal, column, distinct)`` without missing values; exact unless ``approx``.
 
-    Long texts are shuffled as digests. With ``shared_values`` they are shuffled as they are:
-    the plan part is then the one of :func:`top_values`, and a query with both runs it once.
-    """
+def distinct_by_column(df: DataFrame, approx: bool = False) -> DataFrame:
+    """``(ordinal, column, distinct)`` without missing values; exact unless ``approx``."""
     if approx:
         wide = df.agg(*[F.approx_count_distinct(present(df, n)).alias(f"distinct_{i}") for i, n in enumerate(df.columns)])
         return rows_per_column(wide, df.columns, ["distinct"])
     plain, decimals, text = _split_by_slot(df)
     tables = [number_frequencies(df, part) for part in (plain, decimals) if part]
     if text:
-        tables.append(text_frequencies(df, text, digest=not shared_values))
+        tables.append(text_frequencies(df, text))
     return _with_empty_columns(df, [t.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct")) for t in tables])
 
 
@@ -220,11 +215,30 @@ def _with_empty_columns(df: DataFrame, counts: list[DataFrame]) -> DataFrame:
     return _named(df, merged).select("ordinal", "column", "distinct")
 
 
-def _top(frequencies: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values per column. Spark limits every task's output to k rows per
-    column before the shuffle (window group limit), so no task holds a column's values."""
+def _keyed(value: Column) -> Column:
+    """What a text is counted by: its first ``SHORT_TEXT`` characters, and the SHA-256 of a longer one."""
+    return F.when(F.length(value) > SHORT_TEXT, F.concat(F.left(value, F.lit(SHORT_TEXT)), F.sha2(value, 256))).otherwise(value)
+
+
+def _top(df: DataFrame, frequencies: DataFrame, names: list[str], k: int) -> DataFrame:
+    """The k most frequent values per column; equal counts by their first characters, then by digest.
+
+    Spark limits every task's output to k rows per column before the shuffle (window group limit), so no task
+    holds a column's values. Only then the texts behind the k keys are looked up: a long text is no grouping key.
+    """
     rank = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.desc("n"), "value"))
-    return frequencies.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = frequencies.withColumn("rank", rank).where(F.col("rank") <= k)
+    short = best.where(F.length("value") <= SHORT_TEXT)
+    long = best.where(F.length("value") > SHORT_TEXT).withColumnRenamed("value", "key")
+
+    def slots(name: str) -> list[Column]:
+        value = as_text(df, name)
+        return [F.when(F.length(value) > SHORT_TEXT, value)]
+
+    cells = _stacked(df, names, slots).toDF("ordinal", "value").where("value IS NOT NULL")
+    found = cells.join(F.broadcast(long), (cells["ordinal"] == long["ordinal"]) & (_keyed(cells["value"]) == long["key"]))
+    texts = found.groupBy(long["ordinal"], "n", "rank", "key").agg(F.first("value").alias("value"))
+    return short.select("ordinal", "value", "n", "rank").unionByName(texts.select("ordinal", "value", "n", "rank"))
 
 
 def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
@@ -232,7 +246,7 @@ def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> D
     names = categorical_columns(df) if columns is None else columns
     if not names:
         return df.sparkSession.createDataFrame([], "ordinal int, column string, rank int, value string, n bigint")
-    return _named(df, _top(text_frequencies(df, names), k)).select("ordinal", "column", "rank", "value", "n")
+    return _named(df, _top(df, text_frequencies(df, names), names, k)).select("ordinal", "column", "rank", "value", "n")
 
 
 def top_values_text(
@@ -302,21 +316,23 @@ def describe_numeric(
 def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(ordinal, column, count, unique, top, freq)`` per text, boolean or nested column."""
     names = categorical_columns(df) if columns is None else columns
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, count bigint, unique bigint, top string, freq bigint")
     frequencies = text_frequencies(df, names)
     totals = frequencies.groupBy("ordinal").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"))
-    first = _top(frequencies, 1).select("ordinal", F.col("value").alias("top"), F.col("n").alias("freq"))
+    first = _top(df, frequencies, names, 1).select("ordinal", F.col("value").alias("top"), F.col("n").alias("freq"))
     return _named(df, totals.join(first, "ordinal")).select("ordinal", "column", "count", "unique", "top", "freq")
 
 
 # --- combined profiles ----------------------------------------------------------------------
 
 
-def column_profile(df: DataFrame, shared_values: bool = False) -> DataFrame:
+def column_profile(df: DataFrame) -> DataFrame:
     """``(ordinal, column, type, family, missing, percent, share_text, distinct)``."""
     return (
         schema_overview(df)
         .join(missing_by_column(df).drop("column"), "ordinal")
-        .join(distinct_by_column(df, shared_values=shared_values).drop("column"), "ordinal")
+        .join(distinct_by_column(df).drop("column"), "ordinal")
         .select("ordinal", "column", "type", "family", "missing", "percent", "share_text", "distinct")
     )
 
@@ -347,16 +363,32 @@ def table_facts(df: DataFrame) -> DataFrame:
     return rows.select("rows", duplicate_rows(df).scalar().alias("duplicate_rows"), *[v.alias(n) for n, v in counts.items()])
 
 
-def data_profile(df: DataFrame, source_name: str, k: int = 5, digits: int = 4, max_categorical: int = 30) -> DataFrame:
+SAMPLE_ROWS = 8  # fixed value: rows that a profile shows
+
+
+def sample_rows(df: DataFrame, order: list[str] | None = None, n: int = SAMPLE_ROWS) -> DataFrame:
+    """``(ordinal, row, text)``: ``n`` rows of the table cell by cell as text, the first by ``order`` (as they come if None); missing values are NULL."""
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "ordinal int, row int, text string")
+    first = (df.orderBy(*[col(c) for c in order]) if order else df).limit(n)
+    place = Window.orderBy(*[col(c) for c in order]) if order else Window.orderBy(F.monotonically_increasing_id())
+    numbered = first.select(F.row_number().over(place).alias("row"), *[as_text(df, c).alias(f"t_{i}") for i, c in enumerate(df.columns)])
+    cells = [x for i in range(len(df.columns)) for x in (F.lit(i), F.col(f"t_{i}"))]
+    return numbered.select("row", F.stack(F.lit(len(df.columns)), *cells).alias("ordinal", "text")).select("ordinal", "row", "text")
+
+
+def data_profile(
+    df: DataFrame, source_name: str, k: int = 5, digits: int = 4, max_categorical: int | None = None, order: list[str] | None = None
+) -> DataFrame:
     """The whole profile as one long table ``(source, section, ordinal, column, metric, value, text)``.
 
-    Sections: ``table`` (counts, ordinal -1), ``column`` (missing, distinct, type), ``statistics``
-    and ``top_values``.
+    Sections: ``table`` (counts, ordinal -1), ``column`` (missing, distinct, type), ``statistics``, ``top_values``
+    and ``sample`` (the first rows by ``order``, one metric ``row n`` per cell). ``max_categorical`` limits the columns with top values.
     """
     facts = table_facts(df).select("*", F.lit(-1).alias("ordinal"), F.lit(None).cast("string").alias("column"))
     facts = _long(facts, "table", {m: F.col(m) for m in ("rows", "columns", "duplicate_rows", "numeric_columns", "categorical_columns")}, {})
     columns = _long(
-        column_profile(df, shared_values=True),
+        column_profile(df),
         "column",
         {"missing": F.col("missing"), "missing_percent": F.col("percent"), "distinct": F.col("distinct")},
         {"family": F.col("family")},
@@ -367,12 +399,19 @@ def data_profile(df: DataFrame, source_name: str, k: int = 5, digits: int = 4, m
     names = categorical_columns(df)[:max_categorical]
     if names:
         parts.append(_long(top_values_text(df, k, "%s: %d", "; ", names), "top_values", {}, {"top": F.col("top")}))
+    cells = _named(df, sample_rows(df, order))
+    parts.append(
+        cells.select(
+            F.lit("sample").alias("section"), "ordinal", "column", F.concat(F.lit("row "), F.col("row")).alias("metric"),
+            F.lit(None).cast("double").alias("value"), "text",
+        )
+    )
     return reduce(DataFrame.unionByName, parts).select(F.lit(source_name).alias("source"), "*")
 
 
-def overview(df: DataFrame, source_name: str) -> DataFrame:
-    """The short profile: three top values for the first twelve columns, three digits, plus hints."""
-    profile = data_profile(df, source_name, k=3, digits=3, max_categorical=12)
+def overview(df: DataFrame, source_name: str, max_categorical: int | None = None) -> DataFrame:
+    """The short profile: three top values per column, three digits, no sample rows, plus hints."""
+    profile = data_profile(df, source_name, k=3, digits=3, max_categorical=max_categorical).where("section <> 'sample'")
     notes = overview_hints(df).select(
         F.lit(source_name).alias("source"),
         F.lit("hint").alias("section"),
@@ -433,13 +472,19 @@ def numeric_if_any(df: DataFrame, column: str) -> bool:
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, factor: float = 1.5) -> DataFrame:
     """``(ordinal, column, lower, upper, outliers)``: values outside the quartile fences.
 
-    The fences come from one quartile pass; the second pass counts against plain numbers.
+    The fences come from one quartile pass; the second pass counts against plain numbers. A column without
+    values has no fences and 0 outliers.
     """
     names = numeric_columns(df) if columns is None else columns
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, lower double, upper double, outliers bigint")
     found = {r["column"]: r["q"] for r in percentiles(df, names, [0.25, 0.75]).collect()}
-    names = [n for n in names if n in found]
     aggregates = []
     for i, n in enumerate(names):
+        if n not in found:
+            none = F.first(F.lit(None).cast("double"))
+            aggregates += [none.alias(f"lower_{i}"), none.alias(f"upper_{i}"), F.first(F.lit(0).cast("bigint")).alias(f"outliers_{i}")]
+            continue
         q1, q3 = found[n]
         lower, upper = F.lit(q1 - factor * (q3 - q1)), F.lit(q3 + factor * (q3 - q1))
         value = present(df, n).cast("double")

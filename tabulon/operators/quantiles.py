@@ -14,10 +14,11 @@ Grouped columns (:func:`_narrowed`) are cut into slices:
 1. ``percentile_approx`` gives per-column split points that cut the values into ``SPLITS`` slices;
 2. one aggregate counts rows per (group, column, slice), which tells in which slice each wanted
    rank lies;
-3. only the rows of those slices are grouped by value, and the wanted ranks are read off a running
+3. the rows of those slices are grouped by value, and the wanted ranks are read off a running
    count inside the slice.
 
-A value that fills a third of the table collapses to one counted row before any shuffle.
+Rows are counted by value in the tasks before they are shuffled, so a value that fills a third of a
+group is one row per task; the slices reach the tasks by a broadcast of checked size, or the join follows the count.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, present, small_table
+from tabulon.session import staged
 
 DIRECT_ROWS = 100_000
 DIRECT_GROUPED_ROWS = 2_000_000
@@ -39,6 +41,7 @@ SAMPLED_ROWS = 50_000_000
 INSIDE_ROWS = 5_000_000  # a bracket with more rows is narrowed again
 GRID = 200
 MAX_ROUNDS = 6
+BROADCAST_SLICES = 200_000  # (group, column, slice) rows; with more, values are counted before the join
 
 
 def percentile_expr(value: Column, probabilities: list[float], approx: bool = False) -> Column:
@@ -240,8 +243,12 @@ def _narrowed(
         F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("upto")))
     )
 
-    needed = sliced.join(wanted.select(*by_group, "slice", "before", "total"), [*group, "slice"])
-    counted = needed.groupBy(*by_group, "slice", "before", "total", "value").agg(F.count(F.lit(1)).alias("rows"))
+    wanted = staged(wanted.select(*by_group, "slice", "before", "total"), "percentile-slices")
+    cell = [*by_group, F.col("slice"), F.col("value")]
+    if wanted.count() <= BROADCAST_SLICES:
+        # Rows of other slices go before anything is shuffled; equal values are counted in the tasks.
+        sliced = sliced.join(F.broadcast(wanted.select(*by_group, "slice")), [*group, "slice"], "left_semi")
+    counted = sliced.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows")).join(wanted, [*group, "slice"])
     running = Window.partitionBy(*by_group, "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("upto", F.col("before") + F.sum("rows").over(running))
     placed = placed.withColumn("from", F.col("upto") - F.col("rows"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabulon.functions import questions
-from tabulon.plans.queries import CENTERS, INJECTED, LOG, PROMPT, SAVED_AT, STORED_AT
+from tabulon.plans.queries import CENTERS, INJECTED, LOG, PROMPT, SAVED_AT, SMALL_FOREST, STORED_AT
 
 COLUMNS = {
     "orders": {
@@ -87,9 +87,11 @@ def categories(table: str) -> list[str]:
 def counted(table: str, names) -> str:
     """(ordinal, column, value, n, rank) of category columns."""
     ordinals = list(COLUMNS[table]) if table in COLUMNS else list(names)
+    # Equal counts are ordered by the first 60 characters and then by the digest of longer texts.
+    key = "CASE WHEN length({0}) > 60 THEN left({0}, 60) || sha256({0}) ELSE {0} END"
     return union(
         f"SELECT {ordinals.index(n)} AS ordinal, '{n}' AS \"column\", {n} AS value, count(*) AS n, "
-        f"row_number() OVER (ORDER BY count(*) DESC, {n}) AS rank FROM {table} WHERE {n} IS NOT NULL GROUP BY {n}"
+        f"row_number() OVER (ORDER BY count(*) DESC, {key.format(n)}) AS rank FROM {table} WHERE {n} IS NOT NULL GROUP BY {n}"
         for n in names
     )
 
@@ -213,6 +215,51 @@ def silhouette() -> str:
     )
 
 
+def sample(source: str, table: str, key: str) -> str:
+    """The first eight rows of a table, cell by cell."""
+    first = f"(SELECT *, row_number() OVER (ORDER BY {key}) AS place FROM {table} ORDER BY {key} LIMIT 8)"
+    return union(
+        f"SELECT '{source}', 'sample', {i}, '{n}', 'row ' || place, CAST(NULL AS DOUBLE), CAST({n} AS VARCHAR) FROM {first}"
+        for i, n in enumerate(COLUMNS[table])
+    )
+
+
+def silhouette_squared() -> str:
+    """With squared distances a row's mean distance to a cluster needs the cluster's size, sums and squares only."""
+    norm = "x * x + y * y"
+    return (
+        "WITH p AS (SELECT row_number() OVER () AS i, l_linenumber AS l, l_quantity AS x, l_extendedprice AS y FROM lineitem), "
+        f"c AS (SELECT l, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum({norm}) AS sq FROM p GROUP BY l), "
+        f"d AS (SELECT p.i, p.l, c.l AS o, c.n, c.n * ({norm}) - 2 * (x * sx + y * sy) + sq AS s FROM p, c), "
+        "m AS (SELECT i, max(CASE WHEN l = o THEN s / (n - 1) END) AS a, min(CASE WHEN l <> o THEN s / n END) AS b FROM d GROUP BY i) "
+        "SELECT count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM m"
+    )
+
+
+def lloyd(steps: int) -> str:
+    """Steps of K-Means from the given centres, written out; then sizes and means, largest cluster first."""
+    start = ", ".join(f"CAST({x} AS DOUBLE) AS x{i}, CAST({y} AS DOUBLE) AS y{i}" for i, (x, y) in enumerate(CENTERS))
+    parts = [f"s0 AS (SELECT {start})"]
+    for k in range(steps + 1):
+        far = ", ".join(f"(q - x{i}) * (q - x{i}) + (p - y{i}) * (p - y{i}) AS d{i}" for i in range(3))
+        label = "CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END"
+        parts.append(f"l{k} AS (SELECT q, p, {label} AS l FROM (SELECT q, p, {far} FROM (SELECT l_quantity AS q, l_extendedprice AS p FROM lineitem), s{k}))")
+        means = ", ".join(f"avg(q) FILTER (l = {i}) AS x{i}, avg(p) FILTER (l = {i}) AS y{i}" for i in range(3))
+        parts.append(f"s{k + 1} AS (SELECT {means} FROM l{k})")
+    found = f"SELECT l, count(*) AS n, round(avg(q), 4) AS l_quantity, round(avg(p), 4) AS l_extendedprice FROM l{steps} GROUP BY l"
+    return f"WITH {', '.join(parts)} SELECT CAST(row_number() OVER (ORDER BY n DESC) - 1 AS INT) AS cluster, n, l_quantity, l_extendedprice FROM ({found})"
+
+
+def forest_given() -> str:
+    names = ("l_quantity", "l_extendedprice")
+    paths = []
+    for feature, cut, path in zip(*SMALL_FOREST):
+        above = [f"{names[f]} > {c}" for f, c in zip(feature, cut)]
+        paths.append(f"CASE WHEN NOT {above[0]} THEN CASE WHEN {above[1]} THEN {path[1]} ELSE {path[0]} END WHEN {above[2]} THEN {path[3]} ELSE {path[2]} END")
+    usual = "(2.0 * (ln(CAST(255 AS DOUBLE)) + 0.5772156649) - 2.0 * 255 / 256)"
+    return f"SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, round(-pow(2, -(CAST({paths[0]} AS DOUBLE) + {paths[1]}) / 2 / {usual}), 9) AS score FROM lineitem"
+
+
 def statements() -> dict[str, str]:
     routes = {w: texts(getattr(questions, w)) for w in ("OVERVIEW_PHRASES", "DATA_WORDS", "CODE_WORDS", "MISSING_WORDS", "MOST_WORDS", "MAX_WORDS", "MIN_WORDS", "ROW_WORDS")}
     missing_route = f"({routes['MISSING_WORDS']} AND {routes['MOST_WORDS']})"
@@ -241,14 +288,14 @@ def statements() -> dict[str, str]:
         "describe_categorical": WITH_INJECTED
         + f"SELECT ordinal, \"column\", CAST(sum(n) AS BIGINT) AS count, count(*) AS \"unique\", max(CASE WHEN rank = 1 THEN value END) AS top, max(n) AS freq FROM ({counted('injected', categories('injected'))}) GROUP BY ordinal, \"column\"",
         "top_values": f"SELECT ordinal, \"column\", CAST(rank AS INT) AS rank, value, n FROM ({counted('orders', categories('orders'))}) WHERE rank <= 5",
-        "top_values_text": top_text("documents", ["lang", "source"], 3, "%s (%d)", ", "),
+        "top_values_text": "SELECT ordinal + 1 AS ordinal, \"column\", top FROM (" + top_text("documents", ["text", "lang", "source"], 3, "%s (%d)", ", ") + ")",
         "column_profile": column_profile("orders"),
         "basic_analysis": f"SELECT p.ordinal, p.\"column\", p.family, p.missing, p.\"distinct\", coalesce(s.count, 0) AS count, s.mean, s.std, s.min, s.p25, s.p50, s.p75, s.max FROM ({column_profile('customer')}) p LEFT JOIN ({describe('customer', numbers('customer'), 3)}) s ON s.\"column\" = p.\"column\"",
-        "data_profile": profile_rows("customer", "customer", list(COLUMNS["customer"]), 5, 4),
+        "data_profile": profile_rows("customer", "customer", list(COLUMNS["customer"]), 5, 4) + " UNION ALL " + sample("customer", "customer", "c_custkey"),
         "overview": WITH_INJECTED
-        + profile_rows("lineitem", "injected", ["qty_null", "flag_null"], 3, 3)
+        + profile_rows("lineitem", "injected", list(COLUMNS["injected"]), 3, 3)
         + " UNION ALL SELECT 'lineitem', 'hint', -1, \"column\", hint, CAST(value AS DOUBLE), NULL FROM ("
-        + hints("injected", ["qty_null", "flag_null"])
+        + hints("injected", list(COLUMNS["injected"]))
         + ")",
         "overview_hints": WITH_INJECTED + hints("injected", list(COLUMNS["injected"])),
         "extreme_rows_max": "SELECT * FROM part WHERE p_retailprice = (SELECT max(p_retailprice) FROM part)",
@@ -286,6 +333,9 @@ def statements() -> dict[str, str]:
         "cluster_sizes": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
         "cluster_profile": WITH_INJECTED + f"SELECT flag_null, round(avg(qty_null), 3) AS qty_null, round(avg({present('price_nan')}), 3) AS price_nan FROM injected WHERE flag_null IS NOT NULL GROUP BY flag_null",
         "silhouette_euclidean": silhouette(),
+        "silhouette_squared": silhouette_squared(),
+        "kmeans_lloyd": lloyd(5),
+        "forest_given": forest_given(),
         "contamination_cut": f"SELECT l_orderkey, l_linenumber, -l_extendedprice AS score, round(-l_extendedprice - {price_cut}, 4) AS anomaly_score, -l_extendedprice - {price_cut} < 0 AS is_anomaly, CASE WHEN -l_extendedprice - {price_cut} < 0 THEN -1 ELSE 1 END AS anomaly_prediction FROM lineitem",
         "conv_clean": f"SELECT chat_id, turn, trim(role) AS role, trim(content) AS content FROM ({TURNS}) WHERE trim(role) <> '' AND trim(content) <> ''",
         "conv_load_clean": f"SELECT chat_id, turn, trim(role) AS role, trim(content) AS content FROM ({TURNS}) WHERE trim(role) IN ('user', 'assistant') AND trim(content) <> ''",
@@ -323,8 +373,12 @@ def statements() -> dict[str, str]:
         "code_screen": "SELECT conv_id, turn, turn > 5 AS ok, CASE turn WHEN 0 THEN 'import' WHEN 1 THEN 'call' WHEN 2 THEN 'method' WHEN 3 THEN 'root' WHEN 4 THEN 'dunder' WHEN 5 THEN 'syntax' END AS rule, "
         "CASE turn WHEN 0 THEN 'os' WHEN 1 THEN 'open' WHEN 2 THEN 'to_csv' WHEN 3 THEN 'os' WHEN 4 THEN '__class__' END AS detail FROM conversations",
         "csv_round_trip": "SELECT * FROM orders",
+        "csv_round_trip_documents": "SELECT * FROM documents",
+        "csv_round_trip_conversations": "SELECT * FROM conversations",
+        "csv_blanks": "SELECT conv_id, turn, '  ' || text || ' ' AS text FROM conversations",
+        "json_arrays": "SELECT * FROM customer",
         "csv_missing_tokens": WITH_INJECTED + f"SELECT l_orderkey, l_linenumber, qty_null AS q, flag_null AS f, {present('price_nan')} AS p FROM injected",
         "json_round_trip": "SELECT * FROM customer",
         "chat_store_round_trip": TURNS,
-        "append_rows": "SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT o_orderkey, o_totalprice FROM orders",
+        "append_rows": "SELECT * FROM orders UNION ALL SELECT * FROM orders",
     }

@@ -4,6 +4,7 @@ tables hold none."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,13 @@ LOG = (
 )
 REPLY = (
     "CASE turn % 3 WHEN 0 THEN 'Antwort:' || chr(10) || '```python' || chr(10) || '  1. x = 1' || chr(10) || '  2) y = \"' || role || '\"' "
-    "|| chr(10) || '```' || chr(10) || text WHEN 1 THEN '```' || chr(10) || 'z = ' || CAST(conv_id AS STRING) || '   ' || chr(10) || '```' "
+    "|| chr(10) || '```' || chr(10) || text WHEN 1 THEN '```' || chr(10) || 'z = ' || CAST(conv_id AS STRING) || '   ' || chr(10) || '```' || chr(10) || text "
     "ELSE 'Code: ' || chr(10) || 'n = ' || CAST(turn AS STRING) || chr(10) || 'print(n)' END"
 )
 SNIPPET = (
     "CASE turn WHEN 0 THEN 'import os' WHEN 1 THEN 'x = open(\"' || role || '\")' WHEN 2 THEN 'df.to_csv(\"a\")' "
-    "WHEN 3 THEN 'os.getcwd()' WHEN 4 THEN 'x.__class__' WHEN 5 THEN 'if a:' ELSE 'x = ' || CAST(conv_id AS STRING) END"
+    "WHEN 3 THEN 'os.getcwd()' WHEN 4 THEN 'x.__class__' WHEN 5 THEN 'if a:' ELSE 'x = ' || CAST(conv_id AS STRING) END "
+    "|| '  # ' || replace(text, chr(10), ' ')"
 )
 PAYLOAD = (
     "'{\"data\":[{\"id\":\"' || event_type || '\"},{\"id\":\"\",\"model\":\"m' || CAST(user_id AS STRING) || '\"},"
@@ -55,6 +57,12 @@ PAYLOAD = (
 SAVED_AT = "2024-05-01 12:00:00"
 STORED_AT = "2024-01-01 08:00:00"
 CENTERS = [[10.0, 20000.0], [25.0, 50000.0], [40.0, 80000.0]]
+#: Two trees of two levels: the feature and the threshold of each inner node, the path of each leaf.
+SMALL_FOREST = (
+    [[0, 1, 1], [1, 0, 0]],
+    [[20.0, 15000.0, 60000.0], [40000.0, 10.0, 45.0]],
+    [[2.0, 5.5, 6.25, 1.5], [3.0, 4.0, 7.5, 2.25]],
+)
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 DIMENSIONS = 64
 
@@ -136,7 +144,7 @@ def top_values(spark, d):
 
 
 def top_values_text(spark, d):
-    return profile.top_values_text(table(spark, d, "documents").select("lang", "source"), 3)
+    return profile.top_values_text(table(spark, d, "documents"), 3)
 
 
 def column_profile(spark, d):
@@ -148,11 +156,11 @@ def basic_analysis(spark, d):
 
 
 def data_profile(spark, d):
-    return profile.data_profile(table(spark, d, "customer"), "customer")
+    return profile.data_profile(table(spark, d, "customer"), "customer", order=["c_custkey"])
 
 
 def overview(spark, d):
-    return profile.overview(injected(spark, d).select("qty_null", "flag_null"), "lineitem")
+    return profile.overview(injected(spark, d), "lineitem")
 
 
 def overview_hints(spark, d):
@@ -310,6 +318,26 @@ def silhouette_euclidean(spark, d):
     return scores.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("silhouette"), 5).alias("silhouette"))
 
 
+def silhouette_squared(spark, d):
+    score = clustering.silhouette_squared(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], "l_linenumber")
+    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.round(F.lit(score), 6).alias("silhouette"))
+
+
+def kmeans_lloyd(spark, d):
+    """Five steps from given centres, then the sizes and means of the clusters."""
+    rows, names = table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]
+    model = clustering.fit_kmeans(rows, names, 3, max_iterations=5, tolerance=-1.0, initial=CENTERS)
+    means = [F.round(F.avg(n), 4).alias(n) for n in names]
+    return clustering.assign_clusters(rows, names, model.centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *means)
+
+
+def forest_given(spark, d):
+    """The scores of a small forest whose cuts are given."""
+    forest = anomalies.Forest(["l_quantity", "l_extendedprice"], *(np.array(x) for x in SMALL_FOREST), 2, 256)
+    rows = anomalies.score_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), forest)
+    return rows.withColumn("score", F.round("score", 9))
+
+
 def kmeans_fit(spark, d):
     rows, names, _ = features.prepared(table(spark, d, "lineitem"), FEATURES)
     model = clustering.fit_kmeans(rows, names, 3)
@@ -557,6 +585,36 @@ def csv_missing_tokens(spark, d):
     return files.load_table(spark, path, "csv")
 
 
+def csv_round_trip_documents(spark, d):
+    """All columns, with the line breaks and quotes of the texts."""
+    path = scratch_path(spark, "documents.csv")
+    files.save_csv(table(spark, d, "documents"), path)
+    return files.load_table(spark, path, "csv")
+
+
+def csv_round_trip_conversations(spark, d):
+    path = scratch_path(spark, "conversations.csv")
+    files.save_csv(table(spark, d, "conversations"), path)
+    return files.load_table(spark, path, "csv")
+
+
+def csv_blanks(spark, d):
+    """Blanks at the ends of texts stay."""
+    path = scratch_path(spark, "blanks.csv")
+    files.save_csv(table(spark, d, "conversations").selectExpr("conv_id", "turn", "'  ' || text || ' ' AS text"), path)
+    return files.load_table(spark, path, "csv")
+
+
+def json_arrays(spark, d):
+    """Files that hold one array of up to 1000 records each."""
+    path = scratch_path(spark, "arrays.json")
+    rows = table(spark, d, "customer")
+    record = F.struct(*rows.columns)
+    arrays = rows.groupBy(F.floor(F.col("c_custkey") / 1000)).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.load_json(spark, path)
+
+
 def json_round_trip(spark, d):
     path = scratch_path(spark, "customer.json")
     table(spark, d, "customer").write.json(path)
@@ -572,9 +630,9 @@ def chat_store_round_trip(spark, d):
 
 def append_rows(spark, d):
     path = scratch_path(spark, "appended")
-    regions = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    rows = table(spark, d, "orders")
     for _ in range(2):
-        regions.write.mode("append").parquet(path)
+        rows.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

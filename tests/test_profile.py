@@ -62,7 +62,6 @@ def test_distinct_of_all_types(spark):
     )
     found = {r["column"]: r["distinct"] for r in P.distinct_by_column(df).collect()}
     assert found == {"i": 2, "d": 1, "s": 2, "b": 2, "n": 1, "t": 1, "a": 2}
-    assert found == {r["column"]: r["distinct"] for r in P.distinct_by_column(df, shared_values=True).collect()}
 
 
 def test_large_integers_stay_distinct(spark):
