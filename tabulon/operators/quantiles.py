@@ -1,13 +1,12 @@
 """Exact linear-interpolated percentiles whose state stays bounded.
 
-Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is
-the shortest plan while the row count is known to be small; larger tables are narrowed first.
+Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer. The plans here narrow the table
+first, at every size.
 
-Whole columns (:func:`_bracketed`) take a few scans and move next to nothing: a sketch gives a
+Whole columns (:func:`_bracketed`) take a few scans and move next to nothing: a sketch of the whole column gives a
 bracket around each wanted rank, then the rows below each bracket are counted and the few values
 inside it are grouped. The result is exact: should a rank lie outside its bracket, the slices below
-decide. The sketch reads the whole column when the table is large, and a sample while the wider
-brackets of a sample still hold few rows.
+decide.
 
 Grouped columns (:func:`_narrowed`) are cut into slices:
 
@@ -32,12 +31,9 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import col, present, small_table
 from tabulon.session import staged
 
-DIRECT_ROWS = 100_000
-DIRECT_GROUPED_ROWS = 2_000_000
 SPLITS = 4096
 ACCURACY = 10_000
-SKETCH_SAMPLE = 100_000  # rows that place the brackets of a table of up to SAMPLED_ROWS rows
-SAMPLED_ROWS = 50_000_000
+SKETCH_SAMPLE = 100_000  # rows inside a wide bracket that place a narrower one
 INSIDE_ROWS = 5_000_000  # a bracket with more rows is narrowed again
 GRID = 200
 MAX_ROUNDS = 6
@@ -51,15 +47,9 @@ def percentile_expr(value: Column, probabilities: list[float], approx: bool = Fa
     return F.percentile(value, wanted)
 
 
-def fits_direct(df: DataFrame, direct_rows: int | None = None, keys: tuple[str, ...] | list[str] = ()) -> bool:
-    """Whether the row count (a metadata read for Parquet) allows the one-buffer plan."""
-    return df.count() <= _direct_limit(direct_rows, keys)
-
-
-def _direct_limit(direct_rows: int | None, keys) -> int:
-    if direct_rows is not None:
-        return direct_rows
-    return DIRECT_GROUPED_ROWS if keys else DIRECT_ROWS
+def fits_direct(df: DataFrame, direct_rows: int | None = None) -> bool:
+    """Whether the caller allows the one-buffer plan and the table has no more than ``direct_rows`` rows."""
+    return direct_rows is not None and df.count() <= direct_rows
 
 
 def percentiles(
@@ -70,16 +60,19 @@ def percentiles(
     direct_rows: int | None = None,
     splits: int = SPLITS,
 ) -> DataFrame:
-    """``(keys…, column, q array<double>)``, one row per group and column that has values."""
-    rows = df.count()
-    if rows <= _direct_limit(direct_rows, keys):
+    """``(keys…, column, q array<double>)``, one row per group and column that has values.
+
+    The plan is the same at every size. A caller who knows that a table is small may allow Spark's own ``percentile``, which
+    keeps all distinct values of a group in one buffer, for up to ``direct_rows`` rows.
+    """
+    if fits_direct(df, direct_rows):
         wide = df.groupBy(*[col(k) for k in keys]).agg(
             *[percentile_expr(present(df, n).cast("double"), probabilities).alias(f"q_{i}") for i, n in enumerate(columns)]
         )
         pairs = [F.struct(F.lit(n).alias("column"), F.col(f"q_{i}").alias("q")) for i, n in enumerate(columns)]
         return wide.select(*[col(k) for k in keys], F.inline(F.array(*pairs))).where("q IS NOT NULL")
     if not keys:
-        found = _bracketed(df, columns, probabilities, rows)
+        found = _bracketed(df, columns, probabilities, df.count())
         if found is not None:
             return found
     return _narrowed(df, columns, probabilities, keys, splits)
@@ -89,16 +82,13 @@ def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float], ro
     """Percentiles of whole columns without moving them; None if a bracket misses its rank.
 
     The driver holds two bounds and a count per column and percentile. A bracket holds some
-    ``4 / ACCURACY`` of the rows (``2 %`` of a table small enough for a sample), and its values are
-    counted once per distinct value.
+    ``4 / ACCURACY`` of the rows, and its values are counted once per distinct value.
     """
     narrow = df.select(*[present(df, n).cast("double").alias(f"v_{i}") for i, n in enumerate(columns)])
-    sampled = SKETCH_SAMPLE < rows <= SAMPLED_ROWS
-    drawn = narrow.sample(False, SKETCH_SAMPLE / rows, 42) if sampled else narrow
-    margin = 2.0 / ACCURACY + (2.5 / SKETCH_SAMPLE**0.5 if sampled else 1.5 / max(rows, 1))
+    margin = 2.0 / ACCURACY + 1.5 / max(rows, 1)
     around = [p + side for p in probabilities for side in (-margin, margin)]
     inside_range = [min(1.0, max(0.0, p)) for p in around]
-    sketch = drawn.agg(*[F.percentile_approx(f"v_{i}", inside_range, ACCURACY) for i in range(len(columns))]).first()
+    sketch = narrow.agg(*[F.percentile_approx(f"v_{i}", inside_range, ACCURACY) for i in range(len(columns))]).first()
 
     targets = []  # (id, column, probability index, low, high)
     for i, n in enumerate(columns):

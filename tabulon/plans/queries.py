@@ -426,7 +426,11 @@ def _shown(chats: DataFrame) -> DataFrame:
 
 
 def conv_upsert(spark, d):
-    return _shown(conversations.upsert_chats(_stored(spark, d), _incoming(spark, d), turns(spark, d), timestamp(SAVED_AT)))
+    """Known chats are save 0, all incoming ones save 1; the store is read as it is then."""
+    path = scratch_path(spark, "chats")
+    chat_store.append_save(_stored(spark, d), path, 0)
+    chat_store.save_chats(spark, path, 1, _incoming(spark, d), turns(spark, d), timestamp(SAVED_AT))
+    return _shown(chat_store.current(spark, path, chat_store.CHATS))
 
 
 def conv_upsert_messages(spark, d):
@@ -434,7 +438,10 @@ def conv_upsert_messages(spark, d):
     stored = turns(spark, d)
     known = stored.where("role = 'system'").select("chat_id").distinct()
     again = stored.join(known, "chat_id", "left_semi").where("role <> 'system'")
-    return conversations.upsert_messages(stored, again).drop("figure_b64")
+    path = scratch_path(spark, "messages")
+    chat_store.append_save(stored, path, 0)
+    chat_store.append_save(conversations.clean_for_storage(again), path, 1)
+    return chat_store.current(spark, path, chat_store.MESSAGES).drop("figure_b64")
 
 
 def conv_list(spark, d):
@@ -443,7 +450,10 @@ def conv_list(spark, d):
 
 def conv_delete(spark, d):
     stored = turns(spark, d)
-    return conversations.delete_chats(stored, stored.where("role = 'system'")).drop("figure_b64")
+    path = scratch_path(spark, "messages")
+    chat_store.append_save(stored, path, 0)
+    chat_store.append_save(stored.limit(0), path, 1, removed=stored.where("role = 'system'"))
+    return chat_store.current(spark, path, chat_store.MESSAGES).drop("figure_b64")
 
 
 def conv_load(spark, d):

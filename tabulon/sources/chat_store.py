@@ -1,9 +1,16 @@
-"""Stored chat tables: Parquet folders with fixed schemas."""
+"""Stored chat tables: Parquet folders with fixed schemas.
+
+A store is a folder per save. A save writes the chats it brings, whatever the store holds; readers take each
+chat from its latest save, and :func:`compact` writes what they would see to a new store.
+"""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulon.operators.conversations import upsert_chats
 
 CHATS = "chat_id bigint, title string, source_name string, created_at timestamp, updated_at timestamp, autosaved boolean"
 MESSAGES = "chat_id bigint, turn bigint, role string, content string, figure_b64 string"
@@ -23,3 +30,33 @@ def write_new_version(df: DataFrame, path: str) -> None:
     """A changed table goes to a new folder: the old one is still being read while it is built,
     and stays whole if the job is lost."""
     df.write.mode("errorifexists").parquet(path)
+
+
+def append_save(rows: DataFrame, path: str, save: int, removed: DataFrame | None = None) -> None:
+    """Store ``rows`` (with ``chat_id``) as save number ``save``; the chats of ``removed`` are gone from then on.
+
+    A repeated save replaces itself.
+    """
+    marked = rows.withColumn("removed", F.lit(False))
+    if removed is not None:
+        marked = marked.unionByName(removed.select("chat_id").distinct().withColumn("removed", F.lit(True)), allowMissingColumns=True)
+    marked.write.mode("overwrite").parquet(f"{path}/save={save}")
+
+
+def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of every chat's latest save, without removed chats."""
+    stored = read_or_empty(spark, path, f"{schema}, removed boolean, save bigint")
+    latest = stored.groupBy("chat_id").agg(F.max("save").alias("latest"))
+    kept = stored.join(latest, "chat_id").where("save = latest AND NOT removed")
+    return kept.drop("latest", "save", "removed")
+
+
+def save_chats(spark: SparkSession, path: str, save: int, incoming: DataFrame, incoming_messages: DataFrame, now: Column) -> None:
+    """Add or change the ``incoming`` chats (see ``upsert_chats``): only their stored rows are joined, only they are written."""
+    known = current(spark, path, CHATS).join(incoming.select("chat_id").distinct(), "chat_id", "left_semi")
+    append_save(upsert_chats(known, incoming, incoming_messages, now), path, save)
+
+
+def compact(spark: SparkSession, path: str, new_path: str, schema: str) -> None:
+    """A new store of one save with what readers of the old one see."""
+    append_save(current(spark, path, schema), new_path, 0)

@@ -45,10 +45,10 @@ def autosave(
 
 
 def stored_messages(spark: SparkSession, store: str) -> DataFrame:
-    """The current messages; a turn that came twice counts once, as last saved."""
+    """The current messages; a turn that came twice counts once, as last saved (twice in one batch: the larger text)."""
     table = read_or_empty(spark, store, f"{STORED}, batch bigint")
     body = F.struct("role", "content", "figure_b64")
-    latest = table.groupBy("chat_id", "turn").agg(F.max_by(body, "batch").alias("m"))
+    latest = table.groupBy("chat_id", "turn").agg(F.max_by(body, F.struct("batch", "content", "role")).alias("m"))
     return latest.select("chat_id", "turn", "m.role", "m.content", "m.figure_b64")
 
 

@@ -63,9 +63,7 @@ def test_preview(messages, limit):
 
 
 @pytest.mark.parametrize("last,limit", [(8, 3000), (3, 3000), (2, 10), (8, 500)])
-@pytest.mark.parametrize("hot", [10**6, 3])
-def test_context(messages, last, limit, hot, monkeypatch):
-    monkeypatch.setattr(C, "HOT_MESSAGES", hot)
+def test_context(messages, last, limit):
     rows = messages.orderBy("turn").collect()
     found = {r["chat_id"]: r["context"] for r in C.recent_context(messages, last, limit).collect()}
     for chat in (1, 2, 3):
@@ -143,3 +141,18 @@ def test_autosave_is_idempotent_and_independent_of_batches(spark, tmp_path):
     run("c2", NOW)  # a lost checkpoint replays everything into the same folders
     again = autosave.stored_messages(spark, store).count()
     assert again == 4
+
+
+def test_store_of_saves(spark, messages, tmp_path):
+    path = str(tmp_path / "store")
+    rows = messages.select("chat_id", "turn", "role", "content", "figure_b64")
+    chat_store.append_save(rows, path, 0)
+    newer = rows.where("chat_id = 1").limit(2)
+    chat_store.append_save(newer, path, 1, removed=rows.where("chat_id = 2"))
+    chat_store.append_save(newer, path, 1, removed=rows.where("chat_id = 2"))  # a repeat
+    got = chat_store.current(spark, path, chat_store.MESSAGES)
+    wanted = {1: 2, 3: rows.where("chat_id = 3").count()}
+    assert {r["chat_id"]: r["n"] for r in got.groupBy("chat_id").agg(F.count("*").alias("n")).collect()} == wanted
+    chat_store.compact(spark, path, path + "-2", chat_store.MESSAGES)
+    assert sorted(map(str, chat_store.current(spark, path + "-2", chat_store.MESSAGES).collect())) == sorted(map(str, got.collect()))
+    assert chat_store.current(spark, path + "-none", chat_store.MESSAGES).count() == 0

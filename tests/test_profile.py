@@ -7,6 +7,7 @@ import pytest
 from conftest import plan
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tabulon.operators import profile as P
 from tabulon.operators import quantiles as Q
@@ -178,6 +179,7 @@ def test_sampled_brackets_are_exact(spark, monkeypatch):
 
 def test_wide_brackets_are_narrowed_again(spark, monkeypatch):
     monkeypatch.setattr(Q, "SKETCH_SAMPLE", 2000)
+    monkeypatch.setattr(Q, "ACCURACY", 50)
     monkeypatch.setattr(Q, "INSIDE_ROWS", 300)
     values = [float((i * 7919) % 30011) for i in range(40000)] + [15000.0] * 20000
     df = frame(spark, values)
@@ -191,3 +193,40 @@ def test_wide_brackets_are_narrowed_again(spark, monkeypatch):
 def test_brackets_decide_large_columns(spark):
     df = frame(spark, [float(i % 9973) for i in range(30000)])
     assert Q._bracketed(df, ["x"], [0.25, 0.5], 30000).first()["q"] == expected([i % 9973 for i in range(30000)], [0.25, 0.5])
+
+
+def test_empty_and_wide_columns(spark):
+    from decimal import Decimal
+
+    empty = spark.createDataFrame([(None, 1.0), (None, 2.0)], "e double, x double")
+    assert [tuple(r) for r in P.iqr_outliers(empty, ["e"]).collect()] == [(0, "e", None, None, 0)]
+    assert P.iqr_outliers(empty, []).collect() == [] and P.describe_categorical(empty).collect() == []
+    wide = spark.createDataFrame([(Decimal(10) ** 36, "a"), (Decimal(10) ** 36, "b"), (None, "a")], "d decimal(38,0), s string")
+    assert {r["column"]: r["distinct"] for r in P.distinct_by_column(wide).collect()} == {"d": 1, "s": 2}
+
+
+def test_top_values_of_long_texts(spark):
+    start = "x" * 70
+    rows = [(start + "b",)] * 3 + [(start + "a",)] * 3 + [("short",)] * 3 + [(start + "c",)] * 5 + [(None,)]
+    top = P.top_values(spark.createDataFrame(rows, "t string"), 3).orderBy("rank").collect()
+    assert (top[0]["value"], top[0]["n"], top[1]["value"]) == (start + "c", 5, "short")
+    assert top[2]["value"] in (start + "a", start + "b") and len(top) == 3
+    frequencies = plan(P.text_frequencies(spark.createDataFrame(rows, "t string"), ["t"]))
+    assert "sha2" in frequencies
+
+
+def test_grouped_percentiles_with_one_value_in_a_third(spark, monkeypatch):
+    df = spark.range(9000).selectExpr(
+        "CASE WHEN id % 3 < 2 THEN 'hot' ELSE CAST(id % 5 AS STRING) END AS k", "CASE WHEN id % 9 < 3 THEN 7.0D ELSE CAST(id AS DOUBLE) END AS x"
+    )
+    exact = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("x", [0.2, 0.3, 0.9]).alias("q")).collect()}
+    for most in (10**6, 0):
+        monkeypatch.setattr(Q, "BROADCAST_SLICES", most)
+        got = {r["k"]: r["q"] for r in Q.percentiles(df, ["x"], [0.2, 0.3, 0.9], ("k",)).collect()}
+        assert got == {k: pytest.approx(v) for k, v in exact.items()}
+
+
+def test_sample_rows(spark):
+    df = spark.range(20).selectExpr("id", "CASE WHEN id = 1 THEN NULL ELSE 'v' || id END AS t")
+    cells = {(r["row"], r["ordinal"]): r["text"] for r in P.sample_rows(df, ["id"]).collect()}
+    assert len(cells) == 16 and cells[1, 0] == "0" and cells[2, 1] is None and cells[8, 1] == "v7"

@@ -122,3 +122,32 @@ def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert staged(spark.range(5), "t").count() == 5
+
+
+def test_csv_keeps_everything(spark, tmp_path):
+    rows = [("  a b ", 'say "x", y'), ("\ttab ", "two\nlines\n"), ("NA", " ")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    files.save_csv(df.repartition(2), str(tmp_path / "t"), file_records=1)
+    got = {tuple(r) for r in files.load_table(spark, str(tmp_path / "t"), "csv").collect()}
+    assert got == {(None if a == "NA" else a, b) for a, b in rows}
+    given = files.load_csv(spark, str(tmp_path / "t"), schema="a string, b string")
+    assert {tuple(r) for r in given.collect()} == set(rows)
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_csv_rows_of_other_lengths(spark, tmp_path, multiline):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b,c\n1,2,3\n4,5\n")
+    assert [tuple(r) for r in files.load_csv(spark, str(path), multiline=multiline).collect()] == [(1, 2, 3), (4, 5, None)]
+    long = tmp_path / "y.csv"
+    long.write_text('a,b\n1,2\n"3",4,5\n')
+    with pytest.raises(ValueError, match="more fields"):
+        files.load_csv(spark, str(long), multiline=multiline)
+
+
+@pytest.mark.parametrize("text", ["31/12/2024", "3 Jan 2024", "January 4, 2024", "31.12.2024 10:30", "2024/05/06 07:08:09"])
+def test_date_layouts(spark, text):
+    from tabulon.functions.coerce import coerce_datetimes
+
+    df = coerce_datetimes(spark.createDataFrame([(text,), (None,)], "d string"))
+    assert df.dtypes == [("d", "timestamp")] and df.where("d IS NOT NULL").count() == 1
