@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.components import components
+from tabulon.llm.wordhash import parts_of
 from tabulon.session import staged
 
 BITS = 64
@@ -30,20 +31,31 @@ def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
     A-Z are lower-cased, words are runs of characters other than ASCII white space, a text of fewer words
     is one shingle. A bit is set if it is set in over half of the shingles' XXH64 hashes (repeats count).
     """
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
-    if not tokens:
-        return 0
-    line = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    k = min(words, len(tokens))
-    begin, end = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for low in range(0, len(begin), PIECE):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begin[low : low + PIECE], end[low : low + PIECE], strict=True)], np.uint64)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.flatnonzero(2 * counts > len(begin)).tolist()
+    digest, counts, shingles = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0
+
+    def add(tokens: list[bytes], k: int) -> None:
+        nonlocal counts, shingles
+        line = b" ".join(tokens)
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        starts = np.r_[0, ends[:-1] + 1]
+        begin, end = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
+        for low in range(0, len(begin), PIECE):
+            hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begin[low : low + PIECE], end[low : low + PIECE], strict=True)], np.uint64)
+            bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
+        shingles += len(begin)
+
+    held: list[bytes] = []  # a long text comes in parts; the last words of one begin the next
+    for part in parts_of((text or "").encode("utf-8", "surrogatepass").translate(NORMAL)):
+        held += part.split()
+        if len(held) >= words:
+            add(held, words)
+            held = held[len(held) - words + 1 :]
+    if not shingles:
+        if not held:
+            return 0
+        add(held, len(held))
+    set_bits = np.flatnonzero(2 * counts > shingles).tolist()
     return sum(1 << b for b in set_bits)
 
 

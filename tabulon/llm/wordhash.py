@@ -76,6 +76,17 @@ class Words:
         return mix(np.add.reduceat(value, first) ^ C2)
 
 
+def parts_of(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about ``CHUNK`` bytes, cut before white space."""
+    low = 0
+    while low < len(text):
+        high = min(len(text), low + CHUNK)
+        while high < len(text) and not SPACE[text[high]]:
+            high += 1
+        yield text[low:high]
+        low = high
+
+
 def slices(texts: Sequence[bytes], overlap: int = 0) -> Iterator[tuple[Words, np.ndarray]]:
     """Words of ``texts`` in slices of about ``CHUNK`` bytes, with the number of each word's text.
 

@@ -28,6 +28,15 @@ def test_fingerprints_by_hand():
         assert simhash.fingerprint_of(text) == plain_fingerprint(text)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 30])
+def test_long_texts_in_parts(monkeypatch, chunk):
+    from tabulon.llm import wordhash
+
+    monkeypatch.setattr(wordhash, "CHUNK", chunk)
+    for text in ("a b c d e f g h", "One two  three\nfour five\tsix", "x", "x y", "", "long" * 30 + " w x y z " * 9):
+        assert simhash.fingerprint_of(text) == plain_fingerprint(text)
+
+
 def test_whole_table_against_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     prints = {r.doc_id: plain_fingerprint(r.text) for r in rows}

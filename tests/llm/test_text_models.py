@@ -115,6 +115,18 @@ def test_base_counts(text):
     assert perplexity.base_counts(text) == plain_base(text)
 
 
+def test_long_texts_in_parts(monkeypatch):
+    from tabulon.llm import wordhash
+
+    text = "Ein Satz  mit é\nund\tx y z x y z mehr # |\n\n x y z"
+    whole = next(perplexity.runs(text))
+    grams = [tuple(whole[i : i + 3]) for i in range(len(whole) - 2)]
+    for chunk in (1, 5, 11):
+        monkeypatch.setattr(wordhash, "CHUNK", chunk)
+        assert [tuple(r[i : i + 3]) for r in perplexity.runs(text) for i in range(len(r) - 2)] == grams
+        assert perplexity.base_counts(text) == plain_base(text)
+
+
 def test_base_rules_of_the_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op6_perplexity(spark, SF).collect()
