@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tabulon.llm.mixing import BLOCK_WORDS, MOST, SEED
+from tabulon.llm.url_rules import LEAST_CONFIDENCE, LEAST_ROWS, LEAST_SUPPORT
 
-#: Quota, block choice and prefix sums in plain windows; the levels are resolved by six rounds of sharing again.
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -25,7 +25,7 @@ capped AS (
   SELECT *, coalesce(sum(most) OVER o, 0) AS fixed, sum(w) OVER (ORDER BY most / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free,
          sum(s) OVER () AS total FROM weighed
   WINDOW o AS (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT min((total - fixed) / free) AS l FROM capped WHERE (total - fixed) / free * w <= most),
+level AS (SELECT (total - fixed) / free AS l FROM capped WHERE (total - fixed) / free * w <= most ORDER BY most / w, source LIMIT 1),
 targets AS (SELECT source, s, CAST(least(w * coalesce((SELECT l FROM level), 1e300), most) AS DOUBLE) AS t FROM weighed),
 planned AS (
   SELECT p.*, s, t, CAST(floor(t / {BLOCK_WORDS} + 0.5) AS BIGINT) AS q, CAST(ceil(s / {BLOCK_WORDS}.0) AS BIGINT) AS n,
@@ -39,5 +39,48 @@ SELECT doc_id, size, s AS source_size, t AS target, q AS quota_blocks,
 FROM cut"""
 
 
+def _url_rules() -> str:
+    """All sets of tokens of each labelled url are counted; the given rules are written out."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fits = lambda h, p: f"(host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%'"
+    rules = [
+        ("example.net/en/", "allow", fits("example.net", "/en/")),
+        ("example.com/de/", "block", fits("example.com", "/de/")),
+        ("org/fr/", "allow", fits("org", "/fr/")),
+        ("net/", "block", fits("net", "/")),
+    ]
+    case = lambda k: " ".join(f"WHEN {r[2]} THEN '{r[k]}'" for r in rules)
+    prefixed = lambda name, items: f"list_transform(list_filter({items}, lambda x: x <> ''), lambda x: '{name}:' || x)"
+    tokens = "list_distinct(list_concat(" + ", ".join(
+        [
+            prefixed("scheme", "[lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))]"),
+            prefixed("host", "[host]"),
+            prefixed("label", "string_split(host, '.')"),
+            prefixed("path", "list_filter(string_split(path, '/'), lambda x: NOT regexp_full_match(x, '[0-9]+'))"),
+            prefixed("argument", "list_transform(string_split(regexp_extract(url, '(?s)[?]([^#]*)', 1), '&'), lambda x: regexp_extract(x, '^([^=]*)', 1))"),
+            "CASE WHEN contains(url, '#') THEN ['part:fragment'] ELSE [] END",
+        ]
+    ) + "))"
+    return f"""
+WITH split AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{upper}', '{upper.lower()}') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+known AS (SELECT *, {tokens} AS tokens, TRY_CAST(regexp_extract(path, '/([0-9]+)/?$', 1) AS BIGINT) AS number FROM split),
+bad AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+labelled AS (SELECT tokens, bad FROM known JOIN bad ON doc_id = number WHERE url IS NOT NULL),
+chosen AS (SELECT tokens, bad, unnest(range(1, CAST(pow(2, len(tokens)) AS BIGINT))) AS mask FROM labelled),
+sets AS (SELECT list_sort(list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS rule, bad FROM chosen),
+counted AS (SELECT rule, sum(bad) AS hits, sum(bad) / count(*) AS confidence FROM sets GROUP BY rule),
+frequent AS (
+  SELECT * FROM counted WHERE confidence >= {LEAST_CONFIDENCE} AND (SELECT count(*) FROM labelled) >= {LEAST_ROWS}
+    AND hits >= greatest({LEAST_ROWS}, {LEAST_SUPPORT} * (SELECT count(*) FROM labelled))),
+mined AS (
+  SELECT rule FROM frequent f WHERE NOT EXISTS (
+    SELECT 1 FROM frequent g WHERE len(g.rule) < len(f.rule) AND list_has_all(f.rule, g.rule) AND g.confidence >= f.confidence)),
+judged AS (SELECT *, CAST((SELECT count(*) FROM mined m WHERE list_has_all(tokens, m.rule)) AS INT) AS mined FROM known)
+SELECT page_id, host, path, CASE {case(0)} END AS rule,
+       coalesce(CASE {case(1)} END, CASE WHEN mined > 0 THEN 'block' ELSE 'allow' END) AS verdict, mined FROM judged"""
+
+
 def statements() -> dict[str, str]:
-    return {"op9_mixing": _mixing()}
+    return {"op2_url_rules": _url_rules(), "op9_mixing": _mixing()}
