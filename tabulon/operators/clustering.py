@@ -78,16 +78,17 @@ def _drawn(blocks: DataFrame, features: list[str], known: dict[int, np.ndarray],
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {s: (np.zeros(0), np.zeros((0, width))) for s in known}
         for rows in (np.frombuffer(b.as_py()).reshape(-1, width) for batch in batches for b in batch.column("block")):
-            rows = np.unique(rows, axis=0)
             for start, near in known.items():
                 weight = _distances(rows, near).min(axis=1) if len(near) else np.ones(len(rows))
                 usable = weight > 1e-12
-                with np.errstate(divide="ignore"):
-                    keys = -np.log(_draws(rows, salt + 1009 * start)) / np.where(usable, weight, 1.0)
-                key, point = np.r_[held[start][0], keys[usable]], np.r_[held[start][1], rows[usable]]
-                point, first = np.unique(point, axis=0, return_index=True)
-                order = np.argsort(key[first], kind="stable")[:many]
-                held[start] = key[first][order], point[order]
+                key = -np.log(_draws(rows[usable], salt + 1009 * start)) / weight[usable]
+                # Equal rows have equal keys and count once.
+                key, first = np.unique(np.r_[held[start][0], key], return_index=True)
+                first, count = first[:many], len(held[start][0])
+                new = rows[usable][first[first >= count] - count]
+                point = np.empty((len(first), width))
+                point[first < count], point[first >= count] = held[start][1][first[first < count]], new
+                held[start] = key[:many], point
         for start, (key, point) in held.items():
             if len(key):
                 points = pa.array([p.tobytes() for p in point], pa.binary())
