@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabulon.functions import questions
-from tabulon.plans.queries import CENTERS, INJECTED, LOG, PROMPT, SAVED_AT, SMALL_FOREST, STORED_AT
+from tabulon.plans.queries import CENTERS, FEATURES, INJECTED, LOG, PROMPT, SAVED_AT, SCALED_CENTERS, SMALL_FOREST, STORED_AT
 
 COLUMNS = {
     "orders": {
@@ -236,18 +236,58 @@ def silhouette_squared() -> str:
     )
 
 
-def lloyd(steps: int) -> str:
-    """Steps of K-Means from the given centres, written out; then sizes and means, largest cluster first."""
-    start = ", ".join(f"CAST({x} AS DOUBLE) AS x{i}, CAST({y} AS DOUBLE) AS y{i}" for i, (x, y) in enumerate(CENTERS))
-    parts = [f"s0 AS (SELECT {start})"]
+def lloyd(points: str, centers, steps: int) -> str:
+    """CTEs: steps of K-Means on ``points`` (with q and p) from given centres, written out; ``labelled`` has the label l after them."""
+    start = ", ".join(f"CAST({x} AS DOUBLE) AS x{i}, CAST({y} AS DOUBLE) AS y{i}" for i, (x, y) in enumerate(centers))
+    parts = [f"points AS ({points})", f"s0 AS (SELECT {start})"]
     for k in range(steps + 1):
         far = ", ".join(f"(q - x{i}) * (q - x{i}) + (p - y{i}) * (p - y{i}) AS d{i}" for i in range(3))
         label = "CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END"
-        parts.append(f"l{k} AS (SELECT q, p, {label} AS l FROM (SELECT q, p, {far} FROM (SELECT l_quantity AS q, l_extendedprice AS p FROM lineitem), s{k}))")
+        name = "labelled" if k == steps else f"l{k}"
+        parts.append(f"{name} AS (SELECT *, {label} AS l FROM (SELECT points.*, {far} FROM points, s{k}))")
         means = ", ".join(f"avg(q) FILTER (l = {i}) AS x{i}, avg(p) FILTER (l = {i}) AS y{i}" for i in range(3))
-        parts.append(f"s{k + 1} AS (SELECT {means} FROM l{k})")
-    found = f"SELECT l, count(*) AS n, round(avg(q), 4) AS l_quantity, round(avg(p), 4) AS l_extendedprice FROM l{steps} GROUP BY l"
-    return f"WITH {', '.join(parts)} SELECT CAST(row_number() OVER (ORDER BY n DESC) - 1 AS INT) AS cluster, n, l_quantity, l_extendedprice FROM ({found})"
+        parts.append(f"s{k + 1} AS (SELECT {means} FROM {name})")
+    # Clusters are numbered by size, largest first.
+    parts.append("numbered AS (SELECT l, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC) - 1 AS INT) AS cluster FROM labelled GROUP BY l)")
+    return "WITH " + ", ".join(parts) + " "
+
+
+def kmeans_lloyd() -> str:
+    points = "SELECT l_quantity AS q, l_extendedprice AS p FROM lineitem"
+    return lloyd(points, CENTERS, 5) + (
+        "SELECT cluster, count(*) AS n, round(avg(q), 4) AS l_quantity, round(avg(p), 4) AS l_extendedprice "
+        "FROM labelled JOIN numbered USING (l) GROUP BY cluster"
+    )
+
+
+def cluster_report_given() -> str:
+    scaled = ", ".join(f"(c.{n} - avg(c.{n}) OVER ()) / stddev_pop(c.{n}) OVER () AS {v}" for n, v in (("c_acctbal", "q"), ("c_nationkey", "p")))
+    points = f"SELECT c_custkey, c_acctbal, c_nationkey, {scaled} FROM customer c"
+    return lloyd(points, SCALED_CENTERS, 4) + "SELECT c_custkey, c_acctbal, c_nationkey, cluster FROM labelled JOIN numbered USING (l)"
+
+
+def pca_lineitem() -> str:
+    """The eigenvalues of a symmetric 3 x 3 matrix in closed form, the axes as cross products; an axis' largest loading is positive."""
+    z = [f"(l.{n} - avg(l.{n}) OVER ()) / stddev_pop(l.{n}) OVER () AS z{i}" for i, n in enumerate(FEATURES)]
+    pairs = {"a": (0, 0), "b": (1, 1), "c": (2, 2), "d": (0, 1), "e": (0, 2), "f": (1, 2)}
+    cov = ", ".join(f"covar_samp(z{i}, z{j}) AS {k}" for k, (i, j) in pairs.items())
+    axes = []
+    for k, value in (("u", "big"), ("w", "middle")):
+        axes.append(f"d * f - e * (b - {value}) AS {k}0, e * d - (a - {value}) * f AS {k}1, (a - {value}) * (b - {value}) - d * d AS {k}2")
+    scale = lambda k: (
+        f"(sqrt({k}0 * {k}0 + {k}1 * {k}1 + {k}2 * {k}2) * sign(CASE WHEN abs({k}0) >= abs({k}1) AND abs({k}0) >= abs({k}2) THEN {k}0 "
+        f"WHEN abs({k}1) >= abs({k}2) THEN {k}1 ELSE {k}2 END))"
+    )
+    return (
+        f"WITH z AS (SELECT l_orderkey, l_linenumber, {', '.join(z)} FROM lineitem l), m AS (SELECT {cov} FROM z), "
+        "q AS (SELECT *, (a + b + c) / 3 AS t FROM m), "
+        "p AS (SELECT *, sqrt(((a - t) * (a - t) + (b - t) * (b - t) + (c - t) * (c - t) + 2 * (d * d + e * e + f * f)) / 6) AS s FROM q), "
+        "r AS (SELECT *, ((a - t) * ((b - t) * (c - t) - f * f) - d * (d * (c - t) - f * e) + e * (d * f - (b - t) * e)) / (2 * s * s * s) AS h FROM p), "
+        "g AS (SELECT *, t + 2 * s * cos(acos(h) / 3) AS big, t + 2 * s * cos(acos(h) / 3 + 2 * pi() / 3) AS small FROM r), "
+        f"v AS (SELECT {', '.join(axes)} FROM (SELECT *, 3 * t - big - small AS middle FROM g)) "
+        f"SELECT l_orderkey, l_linenumber, round((z0 * u0 + z1 * u1 + z2 * u2) / {scale('u')}, 4) AS x, "
+        f"round((z0 * w0 + z1 * w1 + z2 * w2) / {scale('w')}, 4) AS y FROM z, v"
+    )
 
 
 def forest_given() -> str:
@@ -334,7 +374,9 @@ def statements() -> dict[str, str]:
         "cluster_profile": WITH_INJECTED + f"SELECT flag_null, round(avg(qty_null), 3) AS qty_null, round(avg({present('price_nan')}), 3) AS price_nan FROM injected WHERE flag_null IS NOT NULL GROUP BY flag_null",
         "silhouette_euclidean": silhouette(),
         "silhouette_squared": silhouette_squared(),
-        "kmeans_lloyd": lloyd(5),
+        "kmeans_lloyd": kmeans_lloyd(),
+        "cluster_report_given": cluster_report_given(),
+        "pca_lineitem": pca_lineitem(),
         "forest_given": forest_given(),
         "contamination_cut": f"SELECT l_orderkey, l_linenumber, -l_extendedprice AS score, round(-l_extendedprice - {price_cut}, 4) AS anomaly_score, -l_extendedprice - {price_cut} < 0 AS is_anomaly, CASE WHEN -l_extendedprice - {price_cut} < 0 THEN -1 ELSE 1 END AS anomaly_prediction FROM lineitem",
         "conv_clean": f"SELECT chat_id, turn, trim(role) AS role, trim(content) AS content FROM ({TURNS}) WHERE trim(role) <> '' AND trim(content) <> ''",

@@ -63,6 +63,7 @@ SMALL_FOREST = (
     [[20.0, 15000.0, 60000.0], [40000.0, 10.0, 45.0]],
     [[2.0, 5.5, 6.25, 1.5], [3.0, 4.0, 7.5, 2.25]],
 )
+SCALED_CENTERS = [[-1.0, -0.5], [0.2, 0.1], [1.0, 1.0]]
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 DIMENSIONS = 64
 
@@ -353,6 +354,20 @@ def pca_2d(spark, d):
     return projection.project_2d(features.standardize(rows, names), names)[0].select("vec_id", "x", "y")
 
 
+def pca_lineitem(spark, d):
+    """Three standardised features on their two principal axes."""
+    rows = features.standardize(table(spark, d, "lineitem"), FEATURES)
+    return projection.project_2d(rows, FEATURES)[0].select("l_orderkey", "l_linenumber", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+def cluster_report_given(spark, d):
+    """The report's rows after four steps from given (standardised) centres."""
+    report = models.cluster(
+        table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], 3, max_iterations=4, tolerance=-1.0, initial=SCALED_CENTERS
+    )
+    return report.rows.select("c_custkey", "c_acctbal", "c_nationkey", "cluster")
+
+
 def cluster_plot_frame(spark, d):
     rows, names = vectors(spark, d)
     return projection.plot_frame(features.standardize(rows, names), names, "label")
