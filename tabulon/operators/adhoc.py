@@ -191,16 +191,17 @@ def apply_to_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFr
     return df.mapInPandas(run, schema)
 
 
-def apply_by_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int = 1_000_000) -> DataFrame:
+def apply_by_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int | None = None) -> DataFrame:
     """A user function that needs a whole group in memory.
 
-    The largest group is counted first and must stay within ``max_rows``; bigger groups belong
-    in :func:`group_aggregate` or :func:`combine_by_group`.
+    Groups without a bound belong in :func:`group_aggregate` or :func:`combine_by_group`; with ``max_rows`` the
+    largest group is counted first and must stay within it.
     """
     df = with_keys(df, keys)
-    largest = df.groupBy(*[col(k) for k in keys]).count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if largest > max_rows:
-        raise ValueError(f"a group holds {largest} rows (limit {max_rows}); use combine_by_group")
+    if max_rows is not None:
+        largest = df.groupBy(*[col(k) for k in keys]).count().agg(F.max("count").alias("n")).first()["n"] or 0
+        if largest > max_rows:
+            raise ValueError(f"a group holds {largest} rows (limit {max_rows}); use combine_by_group")
     return df.groupBy(*[col(k) for k in keys]).applyInPandas(function, schema)
 
 

@@ -364,6 +364,7 @@ def statements() -> dict[str, str]:
         "SELECT CAST(b.bin AS INT) AS bin, round(low + (b.bin - 1) * ((high - low) / 10), 4) AS lower, round(low + b.bin * ((high - low) / 10), 4) AS upper, coalesce(c.n, 0) AS n FROM b LEFT JOIN c ON c.bin = b.bin, e",
         "scatter_points": WITH_INJECTED + "SELECT qty_null AS x, price_nan AS y FROM injected WHERE qty_null IS NOT NULL AND NOT isnan(price_nan)",
         "apply_user_function": "SELECT o_orderkey, CAST(floor(o_totalprice / 10000) AS BIGINT) AS price_class FROM orders",
+        "apply_whole_groups": "SELECT o_custkey, count(*) AS n, max(gap) AS gap FROM (SELECT o_custkey, coalesce(date_diff('day', lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate), CAST(o_orderdate AS DATE)), 0) AS gap FROM orders) GROUP BY o_custkey",
         "apply_group_function": "SELECT o_orderpriority, CAST(sum(o_custkey * o_custkey) AS BIGINT) AS squares, count(*) AS n FROM orders GROUP BY o_orderpriority",
         "drop_empty_columns": WITH_INJECTED + "SELECT l_orderkey, l_linenumber, qty_null, const_col FROM injected",
         "clean_features": WITH_INJECTED + f"SELECT l_orderkey, l_linenumber, {cleaned} FROM injected",

@@ -264,6 +264,17 @@ def apply_user_function(spark, d):
     )
 
 
+def apply_whole_groups(spark, d):
+    """A function that needs all orders of a customer at once: the longest gap between two of them, in days."""
+
+    def gaps(orders: pd.DataFrame) -> pd.DataFrame:
+        days = orders["day"].sort_values()
+        return pd.DataFrame({"o_custkey": [orders["o_custkey"].iloc[0]], "n": [len(days)], "gap": [int(days.diff().fillna(0).max())]})
+
+    days = table(spark, d, "orders").select("o_custkey", F.unix_date(F.to_date("o_orderdate")).cast("bigint").alias("day"))
+    return adhoc.apply_by_group(days, ["o_custkey"], gaps, "o_custkey long, n long, gap long")
+
+
 def apply_group_function(spark, d):
     def partial(batch: pd.DataFrame) -> pd.DataFrame:
         squares = batch.assign(sq=(batch["o_custkey"] ** 2), n=1)
