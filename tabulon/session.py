@@ -58,8 +58,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
-    Cuts the lineage: a lost executor costs a re-read, not a re-run of the steps before.
+    Cuts the lineage: a lost executor costs a re-read, not a re-run of the steps before. The table
+    goes when the driver ends.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
