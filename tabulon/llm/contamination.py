@@ -16,6 +16,7 @@ WINDOW = 8
 LITERALS = 5  # of the words in a window at least; windows with fewer match word by word only
 SHARE = 0.5  # of an item's windows that a document holds, from which on it leaks the item
 OVERLAP = 4 * WINDOW
+BROADCAST_ROWS = 2_000_000  # hashes of leaking documents (32 MB); more are joined by a shuffle
 
 #: Words that are numbers or units.
 NUMBER_WORDS = (
@@ -234,8 +235,10 @@ def _parts(hashes: DataFrame, width: int = 1 << 16) -> Iterator[np.ndarray]:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that hold no benchmark item, with their columns as they are."""
     found = staged(leaks(docs.select("doc_id", "text"), benchmark, share).select("row_key").distinct(), "leaks")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     own = F.xxhash64(docs["doc_id"], docs["text"])
-    return docs.join(found, own == found["row_key"], "left_anti")
+    return docs.join(found.withColumnRenamed("row_key", "__leak"), own == F.col("__leak"), "left_anti")
 
 
 __all__ = ["SPACE", "Filter", "clean_documents", "leaks", "windows"]

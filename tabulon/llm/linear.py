@@ -60,11 +60,25 @@ class Ftrl:
     l2: float = 0.1
     passes: int = 4
 
-    def fit(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], dims: int = DIMS) -> np.ndarray:
-        """Weights (float32; index 0 is the bias) from rows of indices and values in the given order; no rows: all zero."""
+    def fit(
+        self,
+        rows: Sequence[tuple[np.ndarray, np.ndarray]],
+        labels: Sequence[int],
+        dims: int = DIMS,
+        more: tuple[np.ndarray, np.ndarray] | None = None,
+        skip: np.ndarray | None = None,
+    ) -> np.ndarray:
+        """Weights (float32; index 0 is the bias) from rows of indices and values in the given order; no rows: all zero.
+
+        ``more`` are further features: their indices, and a row of values for each row. Rows in ``skip`` are left out.
+        """
         z, n = np.zeros(dims), np.zeros(dims)
         for _ in range(self.passes):
-            for (index, value), label in zip(rows, labels, strict=True):
+            for i, ((index, value), label) in enumerate(zip(rows, labels, strict=True)):
+                if skip is not None and skip[i]:
+                    continue
+                if more is not None and len(more[0]):
+                    index, value = np.r_[index, more[0]], np.r_[value, more[1][i]]
                 root, state = np.sqrt(n[index]), z[index]
                 w = self._weights(state, root, index)
                 p = sigmoid(float(w @ value))
@@ -115,18 +129,28 @@ def fitted(rows: DataFrame, train: Callable[[dict], list[bytes]], names: Sequenc
     """Weights by name from ``train`` over the drawn rows, run as one task on an executor (the rows are bounded by ``sample``)."""
 
     def run(batches):
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        got = train(table.to_pydict() if table else {})
-        yield pa.RecordBatch.from_arrays([pa.array(list(names)), pa.array(got, pa.binary())], ["name", "weights"])
+        batches = list(batches)
+        got = {}
+        if batches:
+            table = pa.Table.from_batches(batches).combine_chunks()
+            for name in table.column_names:
+                column = table.column(name)
+                # Views of the Arrow buffers, not a Python object per row.
+                got[name] = [_bytes(column[i]) for i in range(len(column))] if pa.types.is_binary(column.type) else column.to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(list(names)), pa.array(train(got), pa.binary())], ["name", "weights"])
 
     found = {r["name"]: np.frombuffer(r["weights"], "<f4") for r in rows.mapInArrow(run, "name string, weights binary").collect()}
     return {n: found.get(n, np.zeros(DIMS, np.float32)) for n in names}
 
 
+def _bytes(scalar: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(scalar.as_buffer(), np.uint8)
+
+
 def unpacked(rows: dict) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows of ``sample`` as pairs of indices and values."""
+    """Rows of ``sample`` as pairs of indices and values, without copies."""
     pairs = zip(rows.get("index", []), rows.get("value", []), strict=True)
-    return [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in pairs]
+    return [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for i, v in pairs]
 
 
 def in_parts(texts, width: int = 256) -> Iterator[list[bytes]]:

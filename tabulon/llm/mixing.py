@@ -14,6 +14,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 16
 SHARDS = 16
+BROADCAST_ROWS = 100_000  # sources; more are joined by a shuffle
 SEED = "mix-1"
 
 
@@ -70,7 +71,12 @@ def shard_quotas(targets: DataFrame, shards: int = SHARDS, block_words: int = BL
     return each.select("source", "shard", (upto(F.col("shard") + 1) - upto(F.col("shard"))).alias("blocks"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block_words: int = BLOCK_WORDS, seed: str = SEED, keep: Sequence[str] | None = None) -> DataFrame:
+def draw_of(seed: str) -> Column:
+    """A document's place in the order of its source: drawn from the seed, ``doc_id`` and ``text``."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block_words: int = BLOCK_WORDS, seed: str = SEED, keep: Sequence[str] | None = None, places: bool = False) -> DataFrame:
     """``docs`` plus ``size``, ``source_size``, ``target``, ``quota_blocks`` and ``taken``; own columns of these names go.
 
     The documents of a source, in an order drawn from ``seed``, ``doc_id`` and the text, are one stream of
@@ -78,12 +84,13 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOS
     then ``q % n`` neighbouring blocks, from a block drawn by ``seed`` on, over the end to the start. ``taken``
     counts a document's words in them, repeats included: 3 times its size at most. Documents without
     words (null or empty text) have size and ``taken`` 0. ``keep`` names the columns to carry along (all of
-    them if None). An empty table gives no rows.
+    them if None), ``places`` adds ``__draw``, the key of that order. An empty table gives no rows.
     """
     own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("size", "source_size", "target", "quota_blocks", "taken")]
-    sized = replaced(docs, {"size": word_count(F.col("text"))})
-    drawn = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    sized = sized.withColumn("__draw", drawn).select(*(F.col(f"`{c}`") for c in own), F.col("source").alias("__by"), "size", "__draw")
+    sized = replaced(docs, {"size": word_count(F.col("text"))}).withColumn("__draw", draw_of(seed))
+    sized = sized.select(*(F.col(f"`{c}`") for c in own), F.col("source").alias("__by"), "size", "__draw")
+    if keep is not None:
+        sized = staged(sized, "mix-sizes")  # texts are read once
     # Only the last block of a stream can be short, so blocks have equal numbers of words.
     placed = running(sized, ["__draw"], "size", "__at", by="__by", label="mix")
     targets = source_targets(placed.select(F.col("__by").alias("source"), "size"), weights, most)
@@ -106,16 +113,41 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOS
         F.col("__target").alias("target"),
         q.alias("quota_blocks"),
         taken.alias("taken"),
+        *([F.col("__draw")] if places else []),
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix as whole documents: each as many times as its ``taken`` words, rounded to whole copies.
 
-    Only the documents at the two ends of a source's taken stretch are rounded. Documents without words stay once.
-    Columns as in ``docs``.
+    Only the documents at the two ends of a source's taken stretch are rounded. Documents without words stay once; rows equal
+    in doc_id and text are taken alike. Columns as in ``docs``. A source's further copies are a run of its order, so its two
+    ends say which documents they are, and texts are neither shuffled nor written.
     """
+    rows = mixed(docs.select("doc_id", "text", "source"), seed=seed, keep=["source"], places=True, **options).where("size > 0")
+    rows = staged(rows.withColumn("copies", F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")), "mix-copies")
+    least = F.min("copies").alias("least")
+    by_source = rows.groupBy("source").agg(least, F.max("copies").alias("most")).withColumnRenamed("source", "__source")
+    placed = rows.join(by_source, F.col("source").eqNullSafe(F.col("__source")))
+    high, low = F.col("copies") > F.col("least"), F.col("copies") == F.col("least")
+    found = placed.groupBy("__source", "least", "most").agg(
+        F.min("__draw").alias("first"),
+        F.min(F.when(high, F.col("__draw"))).alias("high_a"),
+        F.max(F.when(high, F.col("__draw"))).alias("high_b"),
+        F.min(F.when(low, F.col("__draw"))).alias("low_a"),
+        F.max(F.when(low, F.col("__draw"))).alias("low_b"),
+        F.max("__draw").alias("last"),
+    )
+    # Over the end of the order and on from its start, the run is what lies outside the others' run.
+    over = (F.col("high_a") == F.col("first")) & (F.col("high_b") == F.col("last"))
+    ends = staged(found.withColumn("over", over & F.col("low_a").isNotNull()), "mix-runs")
+    if ends.count() <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)
     document = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
-    table = mixed(docs.select(document, "doc_id", "text", "source"), keep=["document"], **options)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
-    return table.select("document", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("document.*")
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    told = docs.select(document, F.col("source").alias("__own"), draw_of(seed).alias("draw"), empty.alias("empty"))
+    joined = told.join(ends, F.col("__own").eqNullSafe(F.col("__source")), "left")
+    draw = F.col("draw")
+    inside = F.when(F.col("over"), ~draw.between(F.col("low_a"), F.col("low_b"))).otherwise(draw.between(F.col("high_a"), F.col("high_b")))
+    times = F.when(F.col("empty"), 1).when(inside, F.col("most")).otherwise(F.coalesce("least", F.lit(0)))
+    return joined.select("document", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("document.*")

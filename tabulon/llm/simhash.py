@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.components import components
+from tabulon.llm.ordering import unique_name
 from tabulon.llm.wordhash import parts_of
 from tabulon.session import staged
 
@@ -20,6 +21,7 @@ BITS = 64
 SEED = 42
 DISTANCE = 4
 SHINGLE = 4
+BROADCAST_ROWS = 2_000_000  # hashes of documents (32 MB); more are joined by a shuffle
 PIECE = 1 << 16  # shingles whose hashes are held at once
 
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -216,14 +218,26 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, keep: Sequence[str] |
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component of ``near_groups``: that with the smallest doc_id (then the first row); columns as in ``docs``."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), F.col("doc_id"), F.col("text"))
-    made = staged(
-        whole.select("document", "doc_id", fingerprint(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("row")), "simhash"
-    )
+    """One document of each component of ``near_groups``: that with the smallest doc_id; columns as in ``docs``.
+
+    Rows are known by a hash of doc_id and text; of rows equal in both, that with the smallest JSON form stays. Texts are
+    neither shuffled nor written, as long as the hashes of the documents that go fit a broadcast (``BROADCAST_ROWS``).
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    slim = staged(docs.select("doc_id", key.alias("row"), fingerprint(F.col("text")).alias("fp")), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    nodes = staged(made.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
+    nodes = staged(slim.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
     member = components(links(nodes.select("fp"), distance))
     grouped = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    keepers = staged(grouped.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "simhash-kept")
-    return made.join(keepers, "row", "left_semi").select("document.*")
+    keepers = grouped.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    counted = slim.groupBy("row").agg(F.count("*").alias("copies")).join(keepers, "row", "left")
+    judged = staged(counted.where("stays IS NULL OR copies > 1"), "simhash-judged")  # the others stay as they are
+    if judged.count() <= BROADCAST_ROWS:
+        judged = F.broadcast(judged)
+    name = unique_name(docs, "row")
+    marked = docs.withColumn(name, key).join(judged.withColumnsRenamed({"row": "__row", "copies": "__copies", "stays": "__stays"}), F.col(name) == F.col("__row"), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    single = marked.where("__row IS NULL").select(*own)
+    repeated = marked.where("__stays").select(name, F.struct(*own).alias("document"))
+    once = repeated.groupBy(name).agg(F.min_by("document", F.to_json("document")).alias("document"))
+    return single.unionByName(once.select("document.*"))

@@ -39,13 +39,6 @@ def features(texts: Sequence[bytes]) -> Features:
     return key // DIMS, key % DIMS, np.log2(1.0 + count)
 
 
-def chained(row: tuple[np.ndarray, np.ndarray], earlier: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-    """A row with the probabilities of earlier categories as further features."""
-    index, value = row
-    places = DIMS - CHAIN + np.arange(len(earlier))
-    return np.r_[index, places], np.r_[value, np.asarray(earlier, float)]
-
-
 def fit_chain(got: dict, categories: Sequence[str], settings: Ftrl = SETTINGS, folds: int = FOLDS) -> list[np.ndarray]:
     """One weight vector per category, in order.
 
@@ -54,18 +47,19 @@ def fit_chain(got: dict, categories: Sequence[str], settings: Ftrl = SETTINGS, f
     """
     rows = linear.unpacked(got)
     fold = np.arange(len(rows)) % folds
-    earlier = np.zeros((len(rows), 0))
+    earlier = np.zeros((len(rows), 0), np.float32)
     models = []
     for place, name in enumerate(categories):
-        labels = np.asarray(got.get(name, []), int)
-        given = [chained(r, e) for r, e in zip(rows, earlier, strict=True)]
-        models.append(settings.fit(given, labels))
+        labels = got.get(name, [])
+        more = (DIMS - CHAIN + np.arange(place), earlier)
+        models.append(settings.fit(rows, labels, more=more))
         if place + 1 < len(categories):
-            unseen = np.zeros(len(rows))
+            unseen = np.zeros(len(rows), np.float32)
             for f in range(folds):
-                own = settings.fit([r for r, k in zip(given, fold, strict=True) if k != f], labels[fold != f])
+                own = settings.fit(rows, labels, more=more, skip=fold == f)
                 for i in np.flatnonzero(fold == f):
-                    unseen[i] = linear.sigmoid(own[given[i][0]] @ given[i][1])
+                    index, value = rows[i]
+                    unseen[i] = linear.sigmoid(own[index] @ value + own[more[0]] @ earlier[i])
             earlier = np.c_[earlier, unseen]
     return models
 
