@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm import shingles
 from tabulon.llm.components import components
 from tabulon.llm.ordering import unique_name
 from tabulon.llm.wordhash import parts_of
@@ -217,17 +218,22 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, keep: Sequence[str] |
     return joined.select(*(F.col(f"`{c}`") for c in carried), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component of ``near_groups``: that with the smallest doc_id; columns as in ``docs``.
+def deduplicated(docs: DataFrame, words: int = shingles.SHINGLE, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id; columns as in ``docs``.
+
+    Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more are linked, and groups are what
+    links connect; texts without words are one group. Fingerprints within few bits would miss most such pairs, so candidates come
+    from the exact prefix filter of ``shingles``.
 
     Rows are known by a hash of doc_id and text; of rows equal in both, that with the smallest JSON form stays. Texts are
     neither shuffled nor written, as long as the hashes of the documents that go fit a broadcast (``BROADCAST_ROWS``).
     """
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    slim = staged(docs.select("doc_id", key.alias("row"), fingerprint(F.col("text")).alias("fp")), "simhash")
+    keyed = docs.select("doc_id", key.alias("row"), "text")
+    slim = staged(shingles.prefixes(keyed, words, similarity), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    nodes = staged(slim.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
-    member = components(links(nodes.select("fp"), distance))
+    nodes = staged(slim.groupBy("fp").agg(first.alias("first")), "shingle-nodes")
+    member = shingles.alike_components(keyed, nodes.select("fp", "first.row"), slim, words, similarity)
     grouped = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     keepers = grouped.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
     counted = slim.groupBy("row").agg(F.count("*").alias("copies")).join(keepers, "row", "left")

@@ -128,3 +128,61 @@ def test_deduplicated_keeps_one(odd, clashing, none):
     assert len(kept) == groups and kept.count(7) == 1 and 1 in kept and 2 not in kept and 4 in kept and 5 not in kept
     assert simhash.deduplicated(none).collect() == []
     assert simhash.deduplicated(odd.where("doc_id IS NULL").select(*odd.columns, F.lit(1).alias("row"))).count() == 2
+
+
+def jaccard_groups(rows, k=5, least=0.8):
+    """Brute force: groups of doc_ids, and the pairs of different sets that link them."""
+    sets = {}
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[doc] = frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+    ids = sorted(sets)
+    pairs = []
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if x == y or (min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y)):
+                pairs.append((a, b))
+    return groups_of(ids, pairs), [(a, b) for a, b in pairs if sets[a] != sets[b]]
+
+
+def test_deduplicated_recall_against_jaccard(spark, monkeypatch):
+    """Every pair of similarity 0.8 is found, also in groups larger than the keys whose pairs are compared at once."""
+    from tabulon.llm import shingles
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = []
+    passage = [word() for _ in range(40)]
+    for size in [3, 6, 12, 40, 120, 400] * 4:
+        base = [word() for _ in range(size)]
+        for edits in (0, 0, 1, 2, 3, size // 50, size // 30, size // 20):
+            other = list(base)
+            for _ in range(edits):
+                other[rng.randrange(size)] = word()
+            texts.append(" ".join(other))
+        texts.append(" ".join(base + passage))
+    hot = [word() for _ in range(200)]
+    for _ in range(60):  # a chain: each from the one before, so that its ends are far apart
+        hot[rng.randrange(200)] = word()
+        texts.append(" ".join(hot))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    expected, pairs = jaccard_groups(rows)
+    assert sum(bin(plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).count("1") > 4 for a, b in pairs) > 20
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(expected.values())
+    monkeypatch.setattr(shingles, "SMALL", 2)
+    monkeypatch.setattr(shingles, "ROUNDS", 2)
+    monkeypatch.setattr(shingles, "SAMPLE", 1)
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(expected.values())
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    from tabulon.llm import shingles, wordhash
+
+    texts = [b"", b" \n", b"One", b"a b c d", b"a B c d e f g", b"x y\tz\nq r\x0bs " * 9, b"long" * 30 + b" w x y z"]
+    whole = shingles.shingle_sets(texts)
+    assert [len(x) for x in whole] == [0, 0, 1, 1, 3, 6, 1]
+    monkeypatch.setattr(wordhash, "CHUNK", 7)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, shingles.shingle_sets(texts), strict=True))
