@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tabulon.llm.maxscore import BEST
 from tabulon.llm.mixing import BLOCK_WORDS, MOST, SEED
+from tabulon.llm.reply_trees import CONTROL, END, ESCAPE, SEPARATOR, START
 from tabulon.llm.url_rules import LEAST_CONFIDENCE, LEAST_ROWS, LEAST_SUPPORT
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -82,5 +84,44 @@ SELECT page_id, host, path, CASE {case(0)} END AS rule,
        coalesce(CASE {case(1)} END, CASE WHEN mined > 0 THEN 'block' ELSE 'allow' END) AS verdict, mined FROM judged"""
 
 
+def _reply_trees() -> str:
+    """The template is written out: what its escapes and marks add to the texts."""
+    safe = "replace(%s, '\\', '\\\\')"
+    for c in CONTROL:
+        safe = f"replace({safe}, '{c}', '{c[0]}{ESCAPE}{c[1:]}')"
+    marks = len(START + SEPARATOR + END)
+    return f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+told AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role), '') AS trained,
+         CAST(sum(length({safe % "role"}) + length({safe % "text"}) + {marks}) AS BIGINT) AS formatted_chars
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(trained) AS BIGINT) AS loss_chars, sha256(trained) AS loss_sha256,
+       formatted_chars, CAST(1 AS INTEGER) AS branch FROM told"""
+
+
+def _maxscore() -> str:
+    """All documents are scored for all items."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH cut AS (SELECT doc_id, row_number() OVER () AS id, {terms} AS terms FROM documents),
+docs AS (SELECT doc_id, id, terms, CAST(len(terms) AS BIGINT) AS n FROM cut WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM docs),
+wanted AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+held AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, doc_id, id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l)))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN docs USING (id), total GROUP BY item_id, doc_id, id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {BEST}"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_url_rules": _url_rules(), "op9_mixing": _mixing()}
+    return {"op2_url_rules": _url_rules(), "op9_mixing": _mixing(), "op11_reply_trees": _reply_trees(), "op13_maxscore": _maxscore()}
