@@ -98,7 +98,7 @@ class Segment:
 
     def __init__(self, **arrays):
         self.__dict__.update(arrays)
-        self.run = {t: (a, b) for t, a, b in zip(self.terms.tolist(), [0, *self.ends[:-1].tolist()], self.ends.tolist(), strict=True)}
+        self.run = {t: (a, b) for t, a, b in zip(self.terms.tolist(), [0, *self.ends.tolist()], self.ends.tolist(), strict=False)}
 
     @classmethod
     def read(cls, batch: pa.RecordBatch, i: int) -> Segment:

@@ -25,7 +25,7 @@ SHIFT = 1_000_000
 COMPONENTS = 16
 LEAST_SHARE = 1e-12  # of the largest eigenvalue: directions with less are flat and can't be whitened
 ROWS = 4096  # worked on at once
-DIGIT = 24
+DIGIT, DIGITS = 24, 8
 LARGEST = 2.0**46  # entries beyond are no embeddings; 64 times as much still is a whole number in a double
 
 
@@ -64,7 +64,7 @@ def centred(x: np.ndarray, n: int, s: np.ndarray) -> np.ndarray:
 
 
 def square_sums(x: np.ndarray, n: int, s: np.ndarray, digits: np.ndarray) -> None:
-    """Adds the squares of y_i (i = j) and y_i + y_j (i < j) of the rows ``x`` to ``digits`` (pairs x 3, the last one open)."""
+    """Adds the squares of y_i (i = j) and y_i + y_j (i < j) of the rows ``x`` to ``digits`` (pairs x 8, the last one open)."""
     y = centred(x, n, s)
     at = 0
     for i in range(y.shape[1]):
@@ -75,7 +75,7 @@ def square_sums(x: np.ndarray, n: int, s: np.ndarray, digits: np.ndarray) -> Non
         if y.dtype == object or most >= 1 << 47:
             for k in range(z.shape[1]):
                 total = sum(int(v) * int(v) for v in z[:, k])
-                digits[at + k] += (total & (1 << DIGIT) - 1, total >> DIGIT & (1 << DIGIT) - 1, total >> 2 * DIGIT)
+                digits[at + k] += np.array([total >> DIGIT * p & (1 << DIGIT) - 1 for p in range(DIGITS - 1)] + [total >> DIGIT * (DIGITS - 1)])
         elif most < 1 << 25:  # 4096 squares fit a long
             digits[at:end, 0] += np.einsum("rk,rk->k", z, z)
         else:
@@ -83,7 +83,7 @@ def square_sums(x: np.ndarray, n: int, s: np.ndarray, digits: np.ndarray) -> Non
             for k, (a, b, times) in enumerate(((low, low, 1), (low, high, 2), (high, high, 1))):
                 digits[at:end, k] += times * np.einsum("rk,rk->k", a, b)
         at = end
-    for k in (0, 1):
+    for k in range(DIGITS - 1):
         digits[:, k + 1] += digits[:, k] >> DIGIT
         digits[:, k] &= (1 << DIGIT) - 1
 
@@ -115,15 +115,17 @@ def fit(embeddings: DataFrame) -> tuple[Whitening, DataFrame] | None:
         return None
     n, s, d = rows[0]["n"], np.array([int(r["s"]) for r in rows], object), len(rows)
 
+    places = [f"p{k}" for k in range(DIGITS)]
+
     def squares(batches):
-        digits = np.zeros((d * (d + 1) // 2, 3), np.int64)
+        digits = np.zeros((d * (d + 1) // 2, DIGITS), np.int64)
         for x in _arrays(batches):
             square_sums(x, n, s, digits)
         if digits.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(digits))), *(pa.array(digits[:, k]) for k in range(3))], ["pair", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(digits))), *(pa.array(digits[:, k]) for k in range(DIGITS))], ["pair", *places])
 
-    total = vectors.mapInArrow(squares, "pair long, a long, b long, c long").groupBy("pair").agg(*(F.sum(k).alias(k) for k in "abc")).collect()
-    square = dict.fromkeys(range(d * (d + 1) // 2), 0) | {r["pair"]: r["a"] + (r["b"] << DIGIT) + (r["c"] << 2 * DIGIT) for r in total}
+    total = vectors.mapInArrow(squares, f"pair long, {' long, '.join(places)} long").groupBy("pair").agg(*(F.sum(k).alias(k) for k in places)).collect()
+    square = dict.fromkeys(range(d * (d + 1) // 2), 0) | {r["pair"]: sum(r[k] << DIGIT * i for i, k in enumerate(places)) for r in total}
     first = np.cumsum([0] + [d - i for i in range(d)])
     covariance = np.zeros((d, d))
     for i in range(d):

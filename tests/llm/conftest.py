@@ -1,9 +1,7 @@
-import random
-
 import pytest
 from pyspark.sql import types as T
 
-WORDS = [a + b + c for a in ("ba", "ko", "ti", "re", "mu", "sa") for b in ("lo", "ne", "ri", "du") for c in ("n", "s", "ta", "")]
+from llm_helpers import prose
 
 #: Extra columns whose names operators use themselves.
 CLASHING = (
@@ -13,11 +11,6 @@ CLASHING = (
 ).split()
 
 
-def prose(seed, words=80, capital=True):
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) for _ in range(words))
-
-
 def odd_rows():
     long = prose(99, 60_000)
     return [

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from helpers import groups_of
+from llm_helpers import groups_of
 from pyspark.sql import functions as F
 
 from tabulon.llm import simhash

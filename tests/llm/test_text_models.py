@@ -194,7 +194,7 @@ def test_kneser_ney_against_dictionaries(spark):
 def test_bands_reject_both_ends(spark):
     import random
 
-    from conftest import prose
+    from llm_helpers import prose
 
     rng = random.Random(0)
     noise = " ".join("".join(rng.choice("qxzjvwkyQXZJ#9") for _ in range(7)) for _ in range(80))
