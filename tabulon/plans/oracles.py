@@ -417,6 +417,8 @@ def statements() -> dict[str, str]:
         "CASE turn WHEN 0 THEN 'os' WHEN 1 THEN 'open' WHEN 2 THEN 'to_csv' WHEN 3 THEN 'os' WHEN 4 THEN '__class__' END AS detail FROM conversations",
         "csv_round_trip": "SELECT * FROM orders",
         "csv_round_trip_documents": "SELECT * FROM documents",
+        "csv_single_file": "SELECT * FROM documents",
+        "csv_schema_round_trip": "SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority) FROM orders",
         "csv_round_trip_conversations": "SELECT * FROM conversations",
         "csv_blanks": "SELECT conv_id, turn, '  ' || text || ' ' AS text FROM conversations",
         "json_arrays": "SELECT * FROM customer",

@@ -628,6 +628,21 @@ def csv_round_trip_documents(spark, d):
     return files.load_table(spark, path, "csv")
 
 
+def csv_single_file(spark, d):
+    """All documents in one file: quoted line breaks, and byte ranges that begin inside values."""
+    path = scratch_path(spark, "one.csv")
+    files.save_csv(table(spark, d, "documents"), path, single_file=True)
+    return files.load_table(spark, path, "csv")
+
+
+def csv_schema_round_trip(spark, d):
+    """Injected texts that mean "missing", read with a given schema."""
+    path = scratch_path(spark, "given.csv")
+    rows = table(spark, d, "orders").withColumn("o_orderpriority", F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'NA' WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE o_orderpriority END"))
+    files.save_csv(rows, path)
+    return files.load_csv(spark, path, schema=table(spark, d, "orders").schema)
+
+
 def csv_round_trip_conversations(spark, d):
     path = scratch_path(spark, "conversations.csv")
     files.save_csv(table(spark, d, "conversations"), path)

@@ -2,7 +2,7 @@ import math
 
 import pandas as pd
 import pytest
-from conftest import plan
+from plan_texts import plan
 from pyspark.sql import functions as F
 
 from tabulon.operators import adhoc

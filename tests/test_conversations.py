@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import plan
+from plan_texts import plan
 from pyspark.sql import functions as F
 
 from tabulon.operators import conversations as C

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
-from conftest import plan
+from plan_texts import plan
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
