@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, numeric_columns, present, require_columns
-from tabulon.operators.quantiles import fits_direct, percentile_expr, percentile_values, percentiles
+from tabulon.operators.quantiles import fits_direct, percentile_expr, percentile_values, percentiles, sketches
+from tabulon.session import staged
 
 
 def filter_rows(df: DataFrame, predicate: str) -> DataFrame:
@@ -84,13 +85,15 @@ def group_aggregate(
                     columns.append(F.get(middle, F.lit(0)).alias(f"median_{name}"))
             else:
                 columns.append(_aggregate(df, "" if name == "*" else name, function))
-    grouped = df.groupBy(*[col(k) for k in keys]).agg(*(columns or [F.count(F.lit(1)).alias("size")]))
+    grouped = df.groupBy(*[col(k) for k in keys])
     if direct:
-        return grouped
+        return grouped.agg(*(columns or [F.count(F.lit(1)).alias("size")]))
     if not keys:
         middle = percentile_values(df, medians, 0.5, direct_rows=-1)
-        return grouped.withColumns({f"median_{m}": F.lit(middle.get(m)).cast("double") for m in medians}).select(*order)
-    middle = percentiles(df, medians, [0.5], tuple(keys), direct_rows=-1)
+        return grouped.agg(*(columns or [F.count(F.lit(1)).alias("size")])).withColumns({f"median_{m}": F.lit(middle.get(m)).cast("double") for m in medians}).select(*order)
+    # The sketches that the medians start from come out of the same scan.
+    grouped = staged(grouped.agg(*columns, *sketches(df, medians, [0.5])), "grouped")
+    middle = percentiles(df, medians, [0.5], tuple(keys), direct_rows=-1, sketch=grouped)
     wide = middle.groupBy(*[col(k) for k in keys]).pivot("column", medians).agg(F.first(F.get("q", F.lit(0))))
     wide = wide.withColumnsRenamed({m: f"median_{m}" for m in medians})
     return grouped.join(wide, keys, "left").select(*order)

@@ -32,7 +32,8 @@ from tabulon.functions.columns import (
     rows_per_column,
     small_table,
 )
-from tabulon.operators.quantiles import fits_direct, percentile_expr, percentiles
+from tabulon.operators.quantiles import fits_direct, percentile_expr, percentiles, sketches
+from tabulon.session import staged
 
 QUARTILES = [0.25, 0.5, 0.75]
 NO_VALUES = "keine Werte"  # fixed value: text shown for a column without any value
@@ -301,13 +302,24 @@ def describe_numeric(
         ]
         if direct:
             aggregates.append(percentile_expr(value, QUARTILES, approx).alias(f"q_{i}"))
-    wide = df.groupBy(*[col(k) for k in keys]).agg(*aggregates)
     metrics = ["count", "mean", "std", "min", "max"]
     if direct:
+        wide = df.groupBy(*[col(k) for k in keys]).agg(*aggregates)
         rows = rows_per_column(wide, names, [*metrics, "q"], keys)
     else:
-        quartiles = percentiles(df, names, QUARTILES, keys, direct_rows=-1)
-        rows = rows_per_column(wide, names, metrics, keys).join(quartiles, [*keys, "column"], "left")
+        # The sketches that the percentiles start from come out of the same scan.
+        wide = df.groupBy(*[col(k) for k in keys]).agg(*aggregates, *sketches(df, names, QUARTILES))
+        if keys:
+            sketch = wide = staged(wide, "described")
+        else:
+            sketch = wide.first()
+            figures = [(i, n, *(sketch[f"{m}_{i}"] for m in metrics)) for i, n in enumerate(names)]
+        quartiles = percentiles(df, names, QUARTILES, keys, direct_rows=-1, sketch=sketch)
+        if keys:
+            rows = rows_per_column(wide, names, metrics, keys)
+        else:
+            rows = small_table(df.sparkSession, figures, "ordinal int, column string, count bigint, mean double, std double, min double, max double")
+        rows = rows.join(quartiles, [*keys, "column"], "left")
     rows = rows.withColumns({f"p{int(p * 100)}": F.get("q", F.lit(i)) for i, p in enumerate(QUARTILES)})
     shown = [F.col("count")] + [(F.round(m, digits) if digits is not None else F.col(m)).alias(m) for m in DESCRIBE[1:]]
     return rows.select(*[col(k) for k in keys], "ordinal", "column", *shown)

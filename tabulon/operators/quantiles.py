@@ -8,36 +8,29 @@ bracket around each wanted rank, then the rows below each bracket are counted an
 inside it are grouped. The result is exact: should a rank lie outside its bracket, the slices below
 decide.
 
-Grouped columns (:func:`_narrowed`) are cut into slices:
-
-1. ``percentile_approx`` gives per-column split points that cut the values into ``SPLITS`` slices;
-2. one aggregate counts rows per (group, column, slice), which tells in which slice each wanted
-   rank lies;
-3. the rows of those slices are grouped by value, and the wanted ranks are read off a running
-   count inside the slice.
+Groups (:func:`_by_group`) do the same with a row of brackets per group: one aggregate sketches every group (callers add
+their own statistics to it), a second scan counts below the brackets, a third groups the values inside.
 
 Rows are counted by value in the tasks before they are shuffled, so a value that fills a third of a
-group is one row per task; the slices reach the tasks by a broadcast of checked size, or the join follows the count.
+group is one row per task; the brackets of groups reach the tasks by a broadcast of checked size, or by a join that Spark can split.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, present, small_table
 from tabulon.session import staged
 
-SPLITS = 4096
 ACCURACY = 10_000
 SKETCH_SAMPLE = 100_000  # rows inside a wide bracket that place a narrower one
 INSIDE_ROWS = 5_000_000  # a bracket with more rows is narrowed again
 GRID = 200
 MAX_ROUNDS = 6
-BROADCAST_SLICES = 200_000  # (group, column, slice) rows; with more, values are counted before the join
+BROADCAST_BRACKETS = 1_000_000  # of groups, columns and probabilities (32 MB); more are joined by a shuffle
 
 
 def percentile_expr(value: Column, probabilities: list[float], approx: bool = False) -> Column:
@@ -52,52 +45,69 @@ def fits_direct(df: DataFrame, direct_rows: int | None = None) -> bool:
     return direct_rows is not None and df.count() <= direct_rows
 
 
+def _margins() -> list[tuple[float, float]]:
+    """Shares on either side of a probability, each with the number of values from which on it is two ranks or more beyond what a sketch errs by (1 / ACCURACY)."""
+    least = 3.0 / ACCURACY
+    return [(3 / least, least), (200, max(least, 0.01)), (20, max(least, 0.1))]
+
+
+def sketches(df: DataFrame, columns: list[str], probabilities: list[float]) -> list[Column]:
+    """Aggregates from which :func:`percentiles` starts, to be taken along with others in one scan."""
+    points = [min(1.0, max(0.0, p + side * share)) for p in probabilities for _, share in _margins() for side in (-1, 1)]
+    found = []
+    for i, n in enumerate(columns):
+        value = present(df, n).cast("double")
+        found += [F.count(value).alias(f"sketch_n_{i}"), F.percentile_approx(value, points, ACCURACY).alias(f"sketch_{i}")]
+    return found
+
+
+def _bracket(sketch: list[float] | None, n: int, j: int, p: float) -> tuple[float, float]:
+    """The bracket around probability ``j`` by a sketch of ``n`` values; open where it has no value on that side."""
+    for k, (least, share) in enumerate(_margins()):
+        if sketch and n >= least:
+            at = 2 * (j * len(_margins()) + k)
+            return sketch[at] if p - share > 0 else float("-inf"), sketch[at + 1] if p + share < 1 else float("inf")
+    return float("-inf"), float("inf")
+
+
 def percentiles(
     df: DataFrame,
     columns: list[str],
     probabilities: list[float],
     keys: tuple[str, ...] = (),
     direct_rows: int | None = None,
-    splits: int = SPLITS,
+    sketch=None,
 ) -> DataFrame:
     """``(keys…, column, q array<double>)``, one row per group and column that has values.
 
     The plan is the same at every size. A caller who knows that a table is small may allow Spark's own ``percentile``, which
-    keeps all distinct values of a group in one buffer, for up to ``direct_rows`` rows.
+    keeps all distinct values of a group in one buffer, for up to ``direct_rows`` rows. ``sketch`` is the result of
+    :func:`sketches` where the caller has it already: a row, or with ``keys`` a table with a row per group. Rows with a missing key belong to no group.
     """
-    if fits_direct(df, direct_rows):
+    if sketch is None and fits_direct(df, direct_rows):
         wide = df.groupBy(*[col(k) for k in keys]).agg(
             *[percentile_expr(present(df, n).cast("double"), probabilities).alias(f"q_{i}") for i, n in enumerate(columns)]
         )
         pairs = [F.struct(F.lit(n).alias("column"), F.col(f"q_{i}").alias("q")) for i, n in enumerate(columns)]
         return wide.select(*[col(k) for k in keys], F.inline(F.array(*pairs))).where("q IS NOT NULL")
-    if not keys:
-        found = _bracketed(df, columns, probabilities, df.count())
-        if found is not None:
-            return found
-    return _narrowed(df, columns, probabilities, keys, splits)
+    if keys:
+        return _by_group(df, columns, probabilities, keys, sketch)
+    return _bracketed(df, columns, probabilities, sketch)
 
 
-def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float], rows: int) -> DataFrame | None:
-    """Percentiles of whole columns without moving them; None if a bracket misses its rank.
+def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float], sketch=None) -> DataFrame:
+    """Percentiles of whole columns without moving them.
 
     The driver holds two bounds and a count per column and percentile. A bracket holds some
-    ``4 / ACCURACY`` of the rows, and its values are counted once per distinct value.
+    ``6 / ACCURACY`` of the rows, and its values are counted once per distinct value.
     """
+    if sketch is None:
+        sketch = df.agg(*sketches(df, columns, probabilities)).first()
     narrow = df.select(*[present(df, n).cast("double").alias(f"v_{i}") for i, n in enumerate(columns)])
-    margin = 2.0 / ACCURACY + 1.5 / max(rows, 1)
-    around = [p + side for p in probabilities for side in (-margin, margin)]
-    inside_range = [min(1.0, max(0.0, p)) for p in around]
-    sketch = narrow.agg(*[F.percentile_approx(f"v_{i}", inside_range, ACCURACY) for i in range(len(columns))]).first()
-
     targets = []  # (id, column, probability index, low, high)
     for i, n in enumerate(columns):
-        for j in range(len(probabilities)):
-            low, high = float("-inf"), float("inf")  # open when the sketch saw no value, or at an end
-            if sketch[i]:
-                low = sketch[i][2 * j] if around[2 * j] > 0 else low
-                high = sketch[i][2 * j + 1] if around[2 * j + 1] < 1 else high
-            targets.append((len(targets), n, j, low, high))
+        for j, p in enumerate(probabilities):
+            targets.append((len(targets), n, j, *_bracket(sketch[f"sketch_{i}"], sketch[f"sketch_n_{i}"], j, p)))
     counts = _bracket_counts(narrow, columns, targets)
     for _ in range(MAX_ROUNDS):
         wide = {
@@ -145,7 +155,7 @@ def _bracketed(df: DataFrame, columns: list[str], probabilities: list[float], ro
     for number, n, j, _, _ in targets:
         lo, hi = picked.get(number, (None, None))
         if lo is None or hi is None:
-            return None
+            raise RuntimeError(f"a rank of column {n} lies outside its bracket")
         position = (totals[n] - 1) * probabilities[j]
         share = position - int(position)
         found.setdefault(n, []).append(lo if share == 0 else (1 - share) * lo + share * hi)
@@ -194,67 +204,55 @@ def _narrower(
     return kept
 
 
-def _sliced(df: DataFrame, columns: list[str], keys: tuple[str, ...], splits: int) -> DataFrame:
-    """``(keys…, column, slice, value)`` with slices of about equal row counts per column."""
-    steps = [i / splits for i in range(1, splits)]
-    values = {f"v_{i}": present(df, n).cast("double") for i, n in enumerate(columns)}
-    narrow = df.select(*[col(k) for k in keys], *[v.alias(n) for n, v in values.items()])
-    sketch = narrow.agg(*[F.percentile_approx(n, steps, max(10_000, splits)).alias(n) for n in values]).first()
-    inner = [sorted({x for x in sketch[n] or [] if abs(x) != float("inf")}) for n in values]
-    narrow = narrow.withColumns({n: F.coalesce(n, F.lit(float("nan"))) for n in values})
-    narrow = Bucketizer(
-        splitsArray=[[float("-inf"), *points, float("inf")] if points else [float("-inf"), 0.0, float("inf")] for points in inner],
-        inputCols=list(values),
-        outputCols=[f"s_{i}" for i in range(len(columns))],
-        handleInvalid="keep",
-    ).transform(narrow)
-    entries = [
-        F.struct(F.lit(n).alias("column"), F.col(f"s_{i}").cast("int").alias("slice"), F.col(f"v_{i}").alias("value"))
-        for i, n in enumerate(columns)
-    ]
-    return narrow.select(*[col(k) for k in keys], F.inline(F.array(*entries))).where(~F.isnan("value"))
-
-
-def _narrowed(
-    df: DataFrame, columns: list[str], probabilities: list[float], keys: tuple[str, ...], splits: int
-) -> DataFrame:
-    group = [*keys, "column"]
-    by_group = [col(g) for g in group]
-    sliced = _sliced(df, columns, keys, splits)
-
-    per_slice = sliced.groupBy(*by_group, "slice").agg(F.count(F.lit(1)).alias("rows"))
-    in_order = Window.partitionBy(*by_group).orderBy("slice")
-    whole = Window.partitionBy(*by_group)
-    ends = per_slice.withColumns({"upto": F.sum("rows").over(in_order), "total": F.sum("rows").over(whole)})
-    ends = ends.withColumn("before", F.col("upto") - F.col("rows"))
-    positions = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
-    ranks = [r for pos in positions for r in (F.floor(pos), F.ceil(pos))]
-    wanted = ends.withColumn("ranks", F.array_distinct(F.array(*ranks))).where(
-        F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("upto")))
-    )
-
-    wanted = staged(wanted.select(*by_group, "slice", "before", "total"), "percentile-slices")
-    cell = [*by_group, F.col("slice"), F.col("value")]
-    if wanted.count() <= BROADCAST_SLICES:
-        # Rows of other slices go before anything is shuffled; equal values are counted in the tasks.
-        sliced = sliced.join(F.broadcast(wanted.select(*by_group, "slice")), [*group, "slice"], "left_semi")
-    counted = sliced.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows")).join(wanted, [*group, "slice"])
-    running = Window.partitionBy(*by_group, "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("upto", F.col("before") + F.sum("rows").over(running))
-    placed = placed.withColumn("from", F.col("upto") - F.col("rows"))
-
+def _by_group(df: DataFrame, columns: list[str], probabilities: list[float], keys: tuple[str, ...], sketch: DataFrame | None) -> DataFrame:
+    """Percentiles per group: brackets by a sketch of each group, ranks below them, values inside them."""
+    if sketch is None:
+        sketch = df.groupBy(*[col(k) for k in keys]).agg(*sketches(df, columns, probabilities))
+    names = [f"key_{i}" for i in range(len(keys))]
+    renamed = [col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    narrow = df.select(*renamed, *[present(df, c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)])
+    every = [(i, j) for i in range(len(columns)) for j in range(len(probabilities))]
+    bounds = []
+    for i, j in every:
+        low, high, n = F.lit(float("-inf")), F.lit(float("inf")), F.col(f"sketch_n_{i}")
+        for k, (least, share) in reversed(list(enumerate(_margins()))):
+            at = 2 * (j * len(_margins()) + k)
+            low = F.when(n >= least, F.get(f"sketch_{i}", F.lit(at)) if probabilities[j] - share > 0 else F.lit(float("-inf"))).otherwise(low)
+            high = F.when(n >= least, F.get(f"sketch_{i}", F.lit(at + 1)) if probabilities[j] + share < 1 else F.lit(float("inf"))).otherwise(high)
+        bounds += [low.alias(f"low_{i}_{j}"), high.alias(f"high_{i}_{j}")]
+    brackets = staged(sketch.select(*renamed, *[F.col(f"sketch_n_{i}").alias(f"n_{i}") for i in range(len(columns))], *bounds), "percentile-brackets")
+    few = brackets.count() * len(every) <= BROADCAST_BRACKETS
+    joined = narrow.join(F.broadcast(brackets) if few else brackets, names)
+
+    below = joined.groupBy(*names).agg(*[F.count_if(F.col(f"v_{i}") < F.col(f"low_{i}_{j}")).alias(f"below_{i}_{j}") for i, j in every])
+    per_target = [
+        F.struct(
+            F.lit(i).alias("source"), F.lit(j).alias("j"), F.col(f"low_{i}_{j}").alias("low"), F.col(f"high_{i}_{j}").alias("high"),
+            F.col(f"below_{i}_{j}").alias("below"), ((F.col(f"n_{i}") - 1) * F.lit(float(probabilities[j]))).alias("position"),
+        )
+        for i, j in every
+    ]
+    targets = brackets.join(below, names).select(*names, F.inline(F.array(*per_target)))
+
+    inside = {i: reduce(Column.__or__, [F.col(f"v_{i}").between(F.col(f"low_{i}_{j}"), F.col(f"high_{i}_{j}")) for j in range(len(probabilities))]) for i in range(len(columns))}
+    hit = joined.where(reduce(Column.__or__, inside.values()))
+    cells = [c for i in inside for c in (F.lit(i), F.when(inside[i], F.col(f"v_{i}")))]
+    stacked = hit.select(*names, F.stack(F.lit(len(columns)), *cells).alias("source", "value")).where("value IS NOT NULL")
+    counted = stacked.groupBy(*names, "source", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+    inner = counted.join(targets, [*names, "source"]).where("value BETWEEN low AND high")
+    running = Window.partitionBy(*names, "source", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = inner.withColumn("upto", F.col("below") + F.sum("rows").over(running)).withColumn("from", F.col("upto") - F.col("rows"))
     picks = []
-    for i, pos in enumerate(positions):
-        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (rank >= F.col("from")) & (rank < F.col("upto"))
-            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"{side}_{i}"))
-    found = placed.groupBy(*by_group).agg(F.max("total").alias("total"), *picks)
-    blended = []
-    for i, pos in enumerate(positions):
-        share = pos - F.floor(pos)
-        lo, hi = F.col(f"lo_{i}"), F.col(f"hi_{i}")
-        blended.append(F.when(share == 0, lo).otherwise((1 - share) * lo + share * hi))
-    return found.select(*by_group, F.array(*blended).alias("q"))
+    for side, rank in (("lo", F.floor("position")), ("hi", F.ceil("position"))):
+        picks.append(F.max(F.when((rank >= F.col("from")) & (rank < F.col("upto")), F.col("value"))).alias(side))
+    found = placed.groupBy(*names, "source", "j").agg(F.first("position").alias("position"), *picks)
+    share = F.col("position") - F.floor("position")
+    missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    blended = F.when(F.col("lo").isNull() | F.col("hi").isNull(), missed).when(share == 0, F.col("lo")).otherwise((1 - share) * F.col("lo") + share * F.col("hi"))
+    each = found.groupBy(*names, "source").agg(F.sort_array(F.collect_list(F.struct("j", blended.alias("q"))))["q"].alias("q"))
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("source") + 1).alias("column")
+    return each.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], named, "q")
 
 
 def percentile_values(df: DataFrame, columns: list[str], probability: float, direct_rows: int | None = None) -> dict:

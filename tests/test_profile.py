@@ -112,7 +112,8 @@ def test_percentile_plans_agree(spark, values):
     wanted = pytest.approx(expected(values, probabilities), rel=1e-12)
     assert Q.percentiles(df, ["x"], probabilities).first()["q"] == wanted
     assert Q.percentiles(df, ["x"], probabilities, direct_rows=-1).first()["q"] == wanted
-    assert Q._narrowed(df, ["x"], probabilities, (), 16).first()["q"] == wanted
+    grouped = df.withColumn("k", F.lit("one"))
+    assert Q.percentiles(grouped, ["x"], probabilities, ("k",)).first()["q"] == wanted
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -121,14 +122,14 @@ def test_percentiles_of_any_values(spark, values):
     df = frame(spark, values)
     wanted = pytest.approx(expected(values, [0.25, 0.5]), rel=1e-9, abs=1e-9)
     assert Q.percentiles(df, ["x"], [0.25, 0.5], direct_rows=-1).first()["q"] == wanted
-    assert Q._narrowed(df, ["x"], [0.25, 0.5], (), 4).first()["q"] == wanted
+    assert Q.percentiles(df.withColumn("k", F.lit(1)), ["x"], [0.25, 0.5], ("k",)).first()["q"] == wanted
 
 
 def test_grouped_percentiles_with_a_hot_group(spark):
     rows = [("hot", float(i % 50)) for i in range(3000)] + [("small", 1.0), ("small", 4.0), ("empty", None)]
     df = spark.createDataFrame(rows, "k string, x double")
-    direct = {r["k"]: r["q"] for r in Q.percentiles(df, ["x"], [0.25, 0.5], ("k",)).collect()}
-    narrowed = {r["k"]: r["q"] for r in Q.percentiles(df, ["x"], [0.25, 0.5], ("k",), direct_rows=-1, splits=8).collect()}
+    direct = {r["k"]: r["q"] for r in Q.percentiles(df, ["x"], [0.25, 0.5], ("k",), direct_rows=10**6).collect()}
+    narrowed = {r["k"]: r["q"] for r in Q.percentiles(df, ["x"], [0.25, 0.5], ("k",), direct_rows=-1).collect()}
     assert direct == narrowed
     assert narrowed["small"] == [1.75, 2.5] and "empty" not in narrowed
     by_size = {}
@@ -186,13 +187,13 @@ def test_wide_brackets_are_narrowed_again(spark, monkeypatch):
     rounds = []
     narrower = Q._narrower
     monkeypatch.setattr(Q, "_narrower", lambda *a: rounds.append(1) or narrower(*a))
-    found = Q._bracketed(df, ["x"], [0.1, 0.25, 0.5, 0.9], 60000)
+    found = Q._bracketed(df, ["x"], [0.1, 0.25, 0.5, 0.9])
     assert rounds and found.first()["q"] == expected(values, [0.1, 0.25, 0.5, 0.9])
 
 
 def test_brackets_decide_large_columns(spark):
     df = frame(spark, [float(i % 9973) for i in range(30000)])
-    assert Q._bracketed(df, ["x"], [0.25, 0.5], 30000).first()["q"] == expected([i % 9973 for i in range(30000)], [0.25, 0.5])
+    assert Q._bracketed(df, ["x"], [0.25, 0.5]).first()["q"] == expected([i % 9973 for i in range(30000)], [0.25, 0.5])
 
 
 def test_empty_and_wide_columns(spark):
@@ -221,11 +222,24 @@ def test_grouped_percentiles_with_one_value_in_a_third(spark, monkeypatch):
     )
     exact = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("x", [0.2, 0.3, 0.9]).alias("q")).collect()}
     for most in (10**6, 0):
-        monkeypatch.setattr(Q, "BROADCAST_SLICES", most)
+        monkeypatch.setattr(Q, "BROADCAST_BRACKETS", most)
         got = {r["k"]: r["q"] for r in Q.percentiles(df, ["x"], [0.2, 0.3, 0.9], ("k",)).collect()}
         assert got == {k: pytest.approx(v) for k, v in exact.items()}
 
 
+def test_grouped_percentiles_of_all_sizes(spark):
+    """Groups of one to many thousand values, several columns and keys, one group with a third of all rows, values that repeat, infinities."""
+    df = spark.range(90_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN 1 + id % 7 ELSE 100 + CAST(log2(1 + id % 30000) * 40 AS BIGINT) END AS v_0", "CAST(id % 2 AS STRING) AS k",
+        "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN DOUBLE('inf') ELSE (id * 7919 % 30011) / 7 END AS x", "id % 50 AS y", "CASE WHEN id < 10 THEN id END AS rare",
+    )
+    probabilities = [0.0, 0.01, 0.5, 0.77, 1.0]
+    exact = df.groupBy("v_0", "k").agg(*[F.percentile(c, probabilities).alias(c) for c in ("x", "y", "rare")])
+    want = {(r["v_0"], r["k"], c): r[c] for r in exact.collect() for c in ("x", "y", "rare") if r[c] is not None}
+    got = {(r["v_0"], r["k"], r["column"]): r["q"] for r in Q.percentiles(df, ["x", "y", "rare"], probabilities, ("v_0", "k")).collect()}
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g], nan_ok=True) for g in got)
+
+
 def test_sample_rows(spark):
     df = spark.range(20).selectExpr("id", "CASE WHEN id = 1 THEN NULL ELSE 'v' || id END AS t")
     cells = {(r["row"], r["ordinal"]): r["text"] for r in P.sample_rows(df, ["id"]).collect()}
