@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import col, present
+from tabulon.functions.columns import col, present, small_table
 from tabulon.session import staged
 
 # Model defaults.
@@ -25,6 +26,8 @@ MIN_CLUSTERS, MAX_CLUSTERS, DEFAULT_CLUSTERS = 2, 12, 3
 SEED_ROUNDS = 4  # rounds in which candidates for the first centres are drawn
 SILHOUETTE_METRIC = "squared_euclidean"
 BLOCK_ROWS = 1024  # points that are compared with as many at once
+GROUP_BLOCKS = 16  # blocks that meet another one in the same task
+BROADCAST_NEEDED = 1_000_000  # pairs of groups and labels (12 MB); more are joined by a shuffle
 
 
 @dataclass(frozen=True)
@@ -290,66 +293,160 @@ def cluster_profile(df: DataFrame, columns: list[str], label: str = "cluster", d
 # --- silhouette -----------------------------------------------------------------------------
 
 
-def silhouette_rows(df: DataFrame, features: list[str], label: str = "cluster") -> DataFrame:
-    """Exact Euclidean silhouette per row: ``(label, silhouette)``; no rows unless 2 <= labels <= rows - 1.
+@dataclass(frozen=True)
+class SilhouetteBlocks:
+    """Rows in blocks of one label and one set of candidate clusters, and which groups of blocks have to meet which label.
 
-    Mean distances need every pair. Rows are packed into blocks, each block meets each other one in a join on
-    their numbers, and a task returns one sum per row and label; pairs are never rows, and nothing passes the
-    driver. Work still grows with the square of the rows: :func:`silhouette_squared` is linear.
+    ``blocks``: ``code`` (of the label), ``grp``, ``candidates`` (a bit per code), ``block`` (rows as doubles). ``needed``: ``grp``, ``code``.
     """
-    width = len(features)
-    points = df.select(col(label).alias("label"), *[col(f).cast("double").alias(f) for f in features]).where("label IS NOT NULL")
-    kind = points.schema["label"].dataType.simpleString()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    labels: list
+    sizes: np.ndarray
+    blocks: DataFrame
+    needed: DataFrame
+
+    def pairs(self) -> tuple[int, int]:
+        """Pairs of blocks that are compared, and all there are."""
+        both = self.blocks.groupBy("grp").count().join(self.needed, "grp").join(self.blocks.groupBy("code").agg(F.count("*").alias("targets")), "code")
+        return both.agg(F.sum(F.col("count") * F.col("targets"))).first()[0] or 0, self.blocks.count() ** 2
+
+
+def _candidates(rows: np.ndarray, own: np.ndarray, centers: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Which clusters may be the nearest other one of each row (rows x clusters).
+
+    The mean distance from a row to a cluster is at least the distance d to its centre and at most sqrt(d^2 + spread), where spread is the cluster's
+    mean squared distance to its centre. A cluster whose least value lies above another one's largest can't be the nearest.
+    """
+    squared = np.stack([((rows - c) ** 2).sum(axis=1) for c in centers], axis=1)
+    least, most = np.sqrt(squared), np.sqrt(squared + spread)
+    most[np.arange(len(rows)), own] = np.inf
+    possible = ~(least > most.min(axis=1)[:, None] * (1 + 1e-9))  # NaN: possible
+    possible[np.arange(len(rows)), own] = False
+    return possible
+
+
+def silhouette_blocks(df: DataFrame, features: list[str], label: str = "cluster") -> SilhouetteBlocks:
+    """The plan of :func:`silhouette_rows`; one scan for the clusters' centres (they are collected: labels x features), one to pack the rows."""
+    width = len(features)
+    points = df.select(col(label).alias("label"), *[col(f).cast("double").alias(f"x_{i}") for i, f in enumerate(features)]).where("label IS NOT NULL")
+    moments = [F.struct(F.avg(f"x_{i}").alias("mean"), F.var_pop(f"x_{i}").alias("var")).alias(f"m_{i}") for i in range(width)]
+    found = points.groupBy("label").agg(F.count(F.lit(1)).alias("size"), *moments).orderBy("label").collect()
+    labels, sizes = [r["label"] for r in found], np.array([r["size"] for r in found], np.int64)
+    # A missing feature leaves its clusters without bounds, so that they stay candidates.
+    number = lambda v: np.nan if v is None else v
+    centers = np.array([[number(r[f"m_{i}"]["mean"]) for i in range(width)] for r in found]).reshape(len(found), width)
+    spread = np.array([sum(number(r[f"m_{i}"]["var"]) for i in range(width)) for r in found])
+    codes = small_table(df.sparkSession, [(v, i) for i, v in enumerate(labels)], f"label {points.schema['label'].dataType.simpleString()}, code int")
+    columns = [f"x_{i}" for i in range(width)]
+    coded = points.join(F.broadcast(codes), "label").select("code", *columns)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(low, BLOCK_ROWS)
-                block = np.ascontiguousarray(_matrix(batch, features), dtype=np.float64).tobytes()
-                labels = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("label"))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), labels], names=["block", "labels"])
+                own = batch.column("code").to_numpy()
+                bits = np.packbits(_candidates(_matrix(batch, columns), own, centers, spread), axis=1, bitorder="little")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.tobytes() for b in bits], pa.binary())], [*batch.schema.names, "candidates"])
+
+    schema = f"code int, {', '.join(f'{c} double' for c in columns)}, candidates binary"
+    judged = coded.mapInArrow(judge, schema).withColumn("draw", F.xxhash64(*columns))
+    order = judged.repartitionByRange("code", "candidates", "draw").sortWithinPartitions("code", "candidates")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, blocks, key, held, count = TaskContext.get().partitionId() << 33, 0, None, [], 0
 
-    packed = points.mapInArrow(pack, f"block binary, labels array<{kind}>").withColumn("id", F.monotonically_increasing_id())
-    blocks = staged(packed, "silhouette-blocks")
-    # Blocks know each other's numbers, so the pairs are dealt by an ordinary join.
-    numbers = blocks.agg(F.collect_list("id")).scalar()
-    other = blocks.select(F.col("id").alias("other"), F.col("block").alias("other_block"), F.col("labels").alias("other_labels"))
-    pairs = blocks.withColumn("other", F.explode(numbers)).join(other, "other").drop("other")
+        def block():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.int32()), pa.array([number]), pa.array([key[1]], pa.binary()), pa.array([np.concatenate(held).tobytes()], pa.binary())],
+                names=["code", "grp", "candidates", "block"],
+            )
+
+        for batch in batches:
+            rows, code, bits = _matrix(batch, columns), batch.column("code").to_numpy(), batch.column("candidates").to_pylist()
+            low = 0
+            while low < len(rows):
+                this = (int(code[low]), bits[low])
+                if this != key or count == BLOCK_ROWS:
+                    if count:
+                        yield block()
+                        blocks += 1
+                        if this != key or blocks == GROUP_BLOCKS:
+                            number, blocks = number + 1, 0
+                    key, held, count = this, [], 0
+                high = low
+                while high < len(rows) and high - low < BLOCK_ROWS - count and (int(code[high]), bits[high]) == key:
+                    high += 1
+                held.append(rows[low:high])
+                count, low = count + high - low, high
+        if count:
+            yield block()
+
+    blocks = staged(order.drop("draw").mapInArrow(pack, "code int, grp bigint, candidates binary, block binary"), "silhouette-blocks")
+    groups = blocks.select("grp", "code", "candidates").distinct()
+    wanted = F.array(*[F.when((F.col("code") == c) | F.expr(f"shiftright(conv(hex(substring(candidates, {c // 8 + 1}, 1)), 16, 10)::int, {c % 8}) & 1 = 1"), c) for c in range(len(labels))])
+    needed = groups.select("grp", F.explode(F.filter(wanted, lambda x: x.isNotNull())).alias("code"))
+    return SilhouetteBlocks(labels, sizes, blocks, needed)
+
+
+def silhouette_rows(df: DataFrame, features: list[str], label: str = "cluster") -> DataFrame:
+    """Exact Euclidean silhouette per row: ``(label, silhouette)``; no rows unless 2 <= labels <= rows - 1.
+
+    A row needs its mean distance to its own cluster and to the nearest other one. Bounds from the centres tell which
+    others can be the nearest (:func:`_candidates`), and only their blocks are sent. Rows of one label and with the same candidates
+    form groups of up to 16 blocks; a task holds one group and streams the blocks it has to meet past it, so pairs are never rows
+    and sums are complete where they arise. Work still grows with the square of the clusters: :func:`silhouette_squared` is linear.
+    """
+    plan = silhouette_blocks(df, features, label)
+    kind, width, sizes = df.schema[label].dataType.simpleString(), len(features), plan.sizes
+    names = small_table(df.sparkSession, [(v, i) for i, v in enumerate(plan.labels)], f"label {kind}, code int")
+    if not 2 <= len(sizes) < sizes.sum():
+        return names.select("label", F.lit(0.0).alias("silhouette")).where("false")
+    needed = plan.needed.withColumnRenamed("grp", "target")
+    if needed.count() <= BROADCAST_NEEDED:
+        needed = F.broadcast(needed)
+    sent = plan.blocks.select("code", "block").join(needed, "code").select(F.col("target").alias("grp"), F.lit(1).alias("part"), "code", "block")
+    own = plan.blocks.select("grp", F.lit(0).alias("part"), "code", "block")
+    together = own.union(sent).repartition("grp").sortWithinPartitions("grp", "part")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, rows, total, code = None, [], None, None, 0
+
+        def result():
+            counts = sizes.astype(float).copy()
+            counts[code] = max(counts[code] - 1, 1)
+            mean = np.full((len(rows), len(sizes)), np.inf)
+            met = sorted(total)
+            for c in met:
+                mean[:, c] = total[c] / counts[c]
+            inner = mean[:, code].copy()
+            mean[:, code] = np.inf
+            outer = np.minimum.reduce(mean, axis=1)
+            larger = np.maximum(inner, outer)
+            score = np.divide(outer - inner, larger, out=np.zeros(len(rows)), where=larger != 0)
+            if sizes[code] == 1:
+                score[:] = 0.0
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), code, np.int32)), pa.array(score)], names=["code", "silhouette"])
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, others = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, width) for c in ("block", "other_block"))
-                own, names = batch.column("labels")[i].values, batch.column("other_labels")[i].values.dictionary_encode()
-                codes = names.indices.to_numpy()
-                members = (codes[:, None] == np.arange(len(names.dictionary))[None, :]).astype(float)
-                total = np.sqrt(_distances(rows, others)) @ members
-                place = np.arange(len(rows)) + batch.column("id")[i].as_py() * BLOCK_ROWS
-                many = len(names.dictionary)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(place, many)),
-                        own.take(pa.array(np.repeat(np.arange(len(rows)), many))),
-                        names.dictionary.take(pa.array(np.tile(np.arange(many), len(rows)))),
-                        pa.array(total.ravel()),
-                    ],
-                    names=["row", "label", "other", "distance"],
-                )
-
-    each = pairs.mapInArrow(sums, f"row bigint, label {kind}, other {kind}, distance double")
-    summed = each.groupBy("row", "label", "other").agg(F.sum("distance").alias("distance"))
-    sizes = points.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("size"))
-    same = F.col("label") == F.col("other")
-    means = summed.join(sizes, "other").groupBy("row", "label").agg(
-        F.max(F.when(same, F.col("size"))).alias("own"),
-        F.max(F.when(same, F.try_divide(F.col("distance"), F.col("size") - 1))).alias("inner"),
-        F.min(F.when(~same, F.col("distance") / F.col("size"))).alias("outer"),
-    )
-    score = F.when(F.col("own") == 1, 0.0).otherwise(
-        F.coalesce(F.try_divide(F.col("outer") - F.col("inner"), F.greatest("inner", "outer")), F.lit(0.0))
-    )
-    usable = sizes.agg((F.count(F.lit(1)) >= 2) & (F.count(F.lit(1)) < F.sum("size"))).scalar()
-    return means.where(usable).select("label", score.alias("silhouette"))
+                at, part, label_code = (batch.column(c)[i].as_py() for c in ("grp", "part", "code"))
+                block = np.frombuffer(batch.column("block")[i].as_buffer()).reshape(-1, width)
+                if at != group:
+                    if group is not None:
+                        yield result()
+                    group, held, rows, total, code = at, [], None, {}, label_code
+                if part == 0:
+                    held.append(block.copy())
+                    continue
+                if rows is None:
+                    rows = np.concatenate(held)
+                sums = np.concatenate([np.sqrt(_distances(rows[low : low + BLOCK_ROWS], block)).sum(axis=1) for low in range(0, len(rows), BLOCK_ROWS)])
+                total[label_code] = total.get(label_code, 0.0) + sums
+        if group is not None:
+            yield result()
+
+    scored = together.mapInArrow(compare, "code int, silhouette double")
+    return scored.join(F.broadcast(names), "code").select("label", "silhouette")
 
 
 def silhouette_squared(df: DataFrame, features: list[str], label: str = "cluster") -> float | None:

@@ -109,6 +109,39 @@ def test_silhouette_in_one_and_many_blocks(spark, groups, monkeypatch):
         K.silhouette(df, ["a"], "g", metric="other")
 
 
+def test_silhouette_leaves_out_far_clusters(spark, monkeypatch, capsys):
+    """Twelve clusters along a line: most blocks need not meet, the result is that of all pairs."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(K, "GROUP_BLOCKS", 2)
+    rng = np.random.default_rng(1)
+    labels = [str(i % 12) for i in range(600)] + ["alone"]
+    points = np.array([[10.0 * (i % 12), 0.0] for i in range(600)] + [[500.0, 1.0]]) + rng.normal(size=(601, 2))
+    df = spark.createDataFrame([(*map(float, p), g) for p, g in zip(points, labels, strict=True)], "a double, b double, g string")
+    compared, every = K.silhouette_blocks(df, ["a", "b"], "g").pairs()
+    print(f"compared {compared} of {every} pairs of blocks")
+    assert 0 < compared < every / 2
+    found = sorted(r["silhouette"] for r in K.silhouette_rows(df, ["a", "b"], "g").collect())
+    assert found == pytest.approx(sorted(silhouette(points, np.array(labels))), abs=1e-6)
+    for most in (0, 10**6):
+        monkeypatch.setattr(K, "BROADCAST_NEEDED", most)
+        assert sorted(r["silhouette"] for r in K.silhouette_rows(df, ["a", "b"], "g").collect()) == pytest.approx(found)
+
+
+def test_silhouette_bounds_hold():
+    """No cluster that is the nearest by its mean distance is ever left out, clusters of any shape."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        k = int(rng.integers(2, 12))
+        points = np.concatenate([rng.normal(rng.normal(0, 5, 3), rng.uniform(0, 4), (int(rng.integers(1, 40)), 3)) for _ in range(k)])
+        own = rng.integers(0, k, len(points)) if rng.random() < 0.5 else np.arange(len(points)) % k
+        own[:k] = np.arange(k)
+        centers = np.array([points[own == c].mean(axis=0) for c in range(k)])
+        spread = np.array([((points[own == c] - centers[c]) ** 2).sum(axis=1).mean() for c in range(k)])
+        mean = np.stack([np.linalg.norm(points[:, None] - points[own == c][None], axis=2).mean(axis=1) for c in range(k)], axis=1)
+        mean[np.arange(len(points)), own] = np.inf
+        assert K._candidates(points, own, centers, spread)[np.arange(len(points)), mean.argmin(axis=1)].all()
+
+
 def test_silhouette_needs_labels(groups):
     single = groups.where("g = 2").limit(4)
     for df in (groups.where("g = 0"), single.withColumn("g", single["i"]), groups.limit(0)):
