@@ -389,6 +389,8 @@ def statements() -> dict[str, str]:
         "conv_upsert": upserted(),
         "conv_list": upserted() + " ORDER BY updated_at DESC, f.chat_id",
         "conv_upsert_messages": f"SELECT chat_id, turn, role, content FROM ({TURNS}) WHERE role <> 'system' OR chat_id NOT IN (SELECT chat_id FROM ({TURNS}) WHERE role <> 'system')",
+        "conv_store_lookup": f"SELECT chat_id, turn, role, content FROM ({TURNS}) WHERE chat_id IN (SELECT conv_id FROM conversations WHERE role = 'system')",
+        "conv_compacted": f"SELECT chat_id, turn, role, content FROM ({TURNS}) WHERE role <> 'system'",
         "conv_delete": f"SELECT chat_id, turn, role, content FROM ({TURNS}) WHERE chat_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')",
         "conv_load": f"SELECT chat_id, turn, role, content FROM ({TURNS}) WHERE role IN ('user', 'assistant') AND chat_id IN (SELECT conv_id FROM conversations WHERE role = 'system')",
         "conv_source_mismatch": "SELECT doc_id, lang <> 'en' AND source <> 'src3' AS mismatch, lang = 'en' OR source <> 'src3' AS changed FROM documents",

@@ -487,6 +487,26 @@ def conv_load(spark, d):
     return conversations.load_chats(stored, stored.where("role = 'system'")).drop("figure")
 
 
+def conv_store_lookup(spark, d):
+    """Chats with a system message, from the buckets of the store they lie in."""
+    stored = turns(spark, d)
+    path = scratch_path(spark, "messages")
+    chat_store.append_save(stored, path, 0)
+    return chat_store.current(spark, path, chat_store.MESSAGES, stored.where("role = 'system'")).drop("figure_b64")
+
+
+def conv_compacted(spark, d):
+    """Three saves: all chats, those with a system message removed, and these again without it; read after compaction."""
+    stored = turns(spark, d)
+    known = stored.where("role = 'system'").select("chat_id").distinct()
+    path = scratch_path(spark, "messages")
+    chat_store.append_save(stored, path, 0)
+    chat_store.append_save(stored.limit(0), path, 1, removed=known)
+    chat_store.append_save(stored.join(known, "chat_id", "left_semi").where("role <> 'system'"), path, 2)
+    chat_store.compact_store(spark, path, chat_store.MESSAGES, 2)
+    return chat_store.current(spark, path, chat_store.MESSAGES).drop("figure_b64")
+
+
 def conv_source_mismatch(spark, d):
     documents = table(spark, d, "documents")
     return documents.select(

@@ -156,3 +156,75 @@ def test_store_of_saves(spark, messages, tmp_path):
     chat_store.compact(spark, path, path + "-2", chat_store.MESSAGES)
     assert sorted(map(str, chat_store.current(spark, path + "-2", chat_store.MESSAGES).collect())) == sorted(map(str, got.collect()))
     assert chat_store.current(spark, path + "-none", chat_store.MESSAGES).count() == 0
+
+
+def seen(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def test_reads_touch_the_buckets_of_their_chats(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(600).selectExpr("id % 300 AS chat_id", "id AS turn", "'user' AS role", "'text ' || id AS content", "CAST(NULL AS STRING) AS figure_b64")
+    chat_store.append_save(rows, path, 0)
+    chat_store.append_save(rows.where("chat_id < 3"), path, 1, removed=rows.where("chat_id = 7"))
+    whole = chat_store.current(spark, path, chat_store.MESSAGES)
+    one = chat_store.current_chat(spark, path, chat_store.MESSAGES, 2)
+    assert seen(one) == seen(whole.where("chat_id = 2")) and one.count() == 2
+    assert chat_store.current_chat(spark, path, chat_store.MESSAGES, 7).count() == 0 == chat_store.current_chat(spark, path, chat_store.MESSAGES, 9999).count()
+    read = lambda df: {f.split("/data/")[1].rsplit("/", 1)[0] for f in df.inputFiles() if "/data/" in f}
+    assert len(read(one)) == 2 < len(read(whole)) / 10  # one bucket of either save
+    incoming = spark.createDataFrame([(2, "t", "s", False)], "chat_id bigint, title string, source_name string, autosaved boolean")
+    chat_store.save_chats(spark, path + "-chats", 0, incoming, rows, F.lit(NOW))
+    chat_store.save_chats(spark, path + "-chats", 1, incoming.withColumn("title", F.lit(None).cast("string")), rows, F.lit(THEN))
+    assert [(r["title"], r["created_at"], r["updated_at"]) for r in chat_store.current(spark, path + "-chats", chat_store.CHATS).collect()] == [("t", NOW, THEN)]
+
+
+def test_a_save_shows_when_it_is_complete(spark, messages, tmp_path, monkeypatch):
+    from tabulon.sources import manifest
+
+    path = str(tmp_path / "store")
+    rows = messages.select("chat_id", "turn", "role", "content", "figure_b64")
+    chat_store.append_save(rows, path, 0)
+    before = seen(chat_store.current(spark, path, chat_store.MESSAGES))
+
+    def lost(df):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(manifest, "_ddl", lost)  # the data is written, its entries are not
+        with pytest.raises(RuntimeError):
+            chat_store.append_save(rows.withColumn("content", F.lit("new")), path, 1)
+        assert seen(chat_store.current(spark, path, chat_store.MESSAGES)) == before
+        with pytest.raises(RuntimeError):
+            chat_store.compact_store(spark, path, chat_store.MESSAGES, 1)
+    assert seen(chat_store.current(spark, path, chat_store.MESSAGES)) == before
+    chat_store.append_save(rows.limit(0), path, 0)  # a repeat without rows takes the place of what it repeats
+    assert chat_store.current(spark, path, chat_store.MESSAGES).count() == 0
+
+
+def test_compacted_stores_read_the_same(spark, messages, tmp_path):
+    from tabulon.sources import manifest
+
+    path, base = str(tmp_path / "saves"), messages.select("chat_id", "turn", "role", "content", "figure_b64")
+    for save in range(6):
+        chat_store.append_save(base.where(f"chat_id % 3 <> {save % 3}").withColumn("content", F.concat("content", F.lit(f" {save}"))), path, save, removed=base.where("chat_id = 2") if save == 4 else None)
+    before = chat_store.current(spark, path, chat_store.MESSAGES)
+    want, folders = seen(before), manifest.entries(spark, path).count()
+    assert chat_store.compact_store(spark, path, chat_store.MESSAGES, 3) > 0
+    assert seen(before) == want == seen(chat_store.current(spark, path, chat_store.MESSAGES))  # a reader from before, and one from after
+    assert manifest.entries(spark, path).count() < folders
+    assert chat_store.compact_store(spark, path, chat_store.MESSAGES, 3) == 0
+    chat_store.append_save(base.where("chat_id = 1").limit(1), path, 6)
+    assert chat_store.current_chat(spark, path, chat_store.MESSAGES, 1).count() == 1
+
+    store = str(tmp_path / "stream")
+    for batch in range(5):
+        stamp = F.lit(NOW).cast("timestamp") if batch % 2 else F.lit(THEN).cast("timestamp")
+        rows = C.clean_for_storage(base).where(f"turn % 5 >= {batch}").withColumns({"content": F.concat("content", F.lit(f"/{batch}")), "source_name": F.lit(f"s{batch}"), "saved_at": stamp, "first_saved": stamp})
+        manifest.append(rows, store, batch)
+    views = lambda: (seen(autosave.stored_messages(spark, store)), seen(autosave.stored_chats(spark, store)))
+    want, one = views(), base.where("chat_id = 1").select("chat_id")
+    assert autosave.compact(spark, store, 2) > 0 and views() == want
+    assert seen(autosave.stored_messages(spark, store, one)) == seen(autosave.stored_messages(spark, store).where("chat_id = 1"))
+    manifest.append(rows, store, 4)  # the last batch again
+    assert views() == want and autosave.compact(spark, store, 2) >= 0 and views() == want
