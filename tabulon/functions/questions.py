@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,36 @@ def named_column(prompt: Column, columns: list[str]) -> Column:
     return F.coalesce(F.get(written, F.lit(0)), F.get(F.filter(names, loosely), F.lit(0)))
 
 
+MANY_COLUMNS = 100  # beyond which names are looked up by an automaton
+
+
+def _first_found(text: str, names: list[tuple[str, str]]) -> Column:
+    """Of ``names`` (a pattern and the name it stands for) the first one, in their order, that the column ``text`` contains.
+
+    All patterns are found in one pass over a text, by an Aho-Corasick automaton that each task builds once.
+    """
+    first: dict[str, int] = {}
+    for number, (pattern, _) in enumerate(names):
+        first.setdefault(pattern, number)
+    everywhere = first.pop("", None)  # an empty name is in every text, but names nothing once blanks are left out
+    if text != "_text":
+        everywhere = None
+
+    @F.pandas_udf("string")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for pattern, number in first.items():
+            automaton.add_word(pattern, number)
+        automaton.make_automaton()
+        for batch in batches:
+            least = [None if t is None else min([n for _, n in automaton.iter(t)] + ([] if everywhere is None else [everywhere]), default=None) for t in batch]
+            yield pd.Series([None if n is None else names[n][1] for n in least], dtype=object)
+
+    return found(F.col(text))
+
+
 def routed(prompts: DataFrame, prompt: str, columns: list[str]) -> DataFrame:
     """``prompts`` plus ``overview``, ``code``, ``route``, ``direction``, ``named`` (the column a
     prompt names) and ``target`` (the same, for extreme questions).
@@ -96,6 +128,13 @@ def routed(prompts: DataFrame, prompt: str, columns: list[str]) -> DataFrame:
             return F.lit(None).cast("string")
         return F.get(F.filter(F.array(*entries), test), F.lit(0))["name"]
 
+    if len(columns) > MANY_COLUMNS:
+        written = _first_found("_text", [(c.lower(), c) for c in columns])
+        loose = _first_found("_compact", [(re.sub(SEPARATORS, "", c.lower()), c) for c in columns])
+    else:
+        written = first_named(lambda c: F.contains("_text", c["text"]))
+        loose = first_named(lambda c: (c["short"] != "") & F.contains("_compact", c["short"]))
+
     lower = prompts.withColumn("_lower", F.lower(F.col(prompt)))
     texts = lower.withColumn("_text", F.translate("_lower", QUOTES, ""))
     texts = texts.withColumn("_compact", F.regexp_replace("_text", SEPARATORS, ""))
@@ -110,8 +149,8 @@ def routed(prompts: DataFrame, prompt: str, columns: list[str]) -> DataFrame:
         {
             **flags,
             "code": contains_any(F.col("_lower"), CODE_WORDS),
-            "_written": first_named(lambda c: F.contains("_text", c["text"])),
-            "_loose": first_named(lambda c: (c["short"] != "") & F.contains("_compact", c["short"])),
+            "_written": written,
+            "_loose": loose,
         }
     )
     extreme = ~F.col("_missing") & (F.col("_max") | F.col("_min"))

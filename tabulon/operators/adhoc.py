@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, numeric_columns, present, require_columns
+from tabulon.operators.gram import correlations
 from tabulon.operators.quantiles import fits_direct, percentile_expr, percentile_values, percentiles, sketches
 from tabulon.session import staged
 
@@ -114,11 +115,16 @@ def pivot_table(
     return df.groupBy(*[col(i) for i in index]).pivot(column, categories).agg(aggregate)
 
 
+WIDE = 16  # columns up to which all pairs fit into one generated aggregate
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_x, column_y, correlation)`` for all pairs from one aggregate; each pair uses the
-    rows in which both values are there."""
+    """``(column_x, column_y, correlation)`` for all pairs from one scan; each pair uses the
+    rows in which both values are there. More than ``WIDE`` columns go through matrix products (``gram``)."""
     names = numeric_columns(df) if columns is None else columns
     require_columns(df, names, numeric=True)
+    if len(names) > WIDE:
+        return correlations(df, names)
     pairs = list(combinations_with_replacement(range(len(names)), 2))
     values = [present(df, n).cast("double") for n in names]
     wide = df.agg(*[F.corr(values[i], values[j]).alias(f"r_{i}_{j}") for i, j in pairs])
@@ -197,7 +203,7 @@ def apply_to_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFr
 def apply_by_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int | None = None) -> DataFrame:
     """A user function that needs a whole group in memory.
 
-    Groups without a bound belong in :func:`group_aggregate` or :func:`combine_by_group`; with ``max_rows`` the
+    Groups without a bound belong in :func:`group_aggregate`, :func:`combine_by_group` or :func:`stream_by_group`; with ``max_rows`` the
     largest group is counted first and must stay within it.
     """
     df = with_keys(df, keys)
@@ -208,6 +214,52 @@ def apply_by_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFr
     return df.groupBy(*[col(k) for k in keys]).applyInPandas(function, schema)
 
 
+def stream_by_group(
+    df: DataFrame, keys: list[str], function: Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, order: list[str] | None = None
+) -> DataFrame:
+    """A user function that sees each group as a stream of frames, sorted by ``order``, and yields frames; no group is held whole.
+
+    ``function`` gets the group's key and its frames; what it leaves unread is skipped. A group is one task's work and
+    is read once; it needs no more memory than a frame and what ``function`` keeps. Rows with a missing key belong to no group.
+    """
+    df = with_keys(df, keys)
+    together = df.repartition(*[col(k) for k in keys]).sortWithinPartitions(*[col(k) for k in [*keys, *(order or [])]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple[tuple, pd.DataFrame]] = []  # the next part, once it is known
+
+        def parts() -> Iterator[tuple[tuple, pd.DataFrame]]:
+            for batch in batches:
+                if len(batch):
+                    change = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+                    change[0] = True
+                    edges = [*change.nonzero()[0].tolist(), len(batch)]
+                    for low, high in zip(edges, edges[1:]):
+                        yield tuple(batch[keys].iloc[low]), batch.iloc[low:high].reset_index(drop=True)
+
+        source = parts()
+
+        def of(key: tuple) -> Iterator[pd.DataFrame]:
+            while waiting or (part := next(source, None)) is not None:
+                if waiting:
+                    part = waiting.pop()
+                if part[0] != key:
+                    waiting.append(part)
+                    return
+                yield part[1]
+
+        while waiting or (part := next(source, None)) is not None:
+            if not waiting:
+                waiting.append(part)
+            key = waiting[0][0]
+            frames = of(key)
+            yield from function(key, frames)
+            for _ in frames:
+                pass
+
+    return together.mapInPandas(run, schema)
+
+
 def combine_by_group(
     df: DataFrame,
     keys: list[str],
