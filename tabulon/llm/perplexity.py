@@ -1,4 +1,9 @@
-"""Perplexity bands: a modified Kneser-Ney model of symbol trigrams, counted by Spark, in sorted hash arrays."""
+"""Perplexity bands: a modified Kneser-Ney model of character trigrams, counted by Spark, in sorted arrays of keys.
+
+Every code point is a symbol of its own (21 bits of a key, which is so a hash without collisions), so a model grows with what the corpus holds.
+Models of up to ``MODEL_MOST`` trigrams together are sent with the tasks that score. Larger ones stay a table, sorted and cut by
+ranges of keys, and meet the trigrams of each document, counted beforehand, in a join. Both give the same values.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +17,9 @@ from pyspark.sql import functions as F
 from tabulon.llm.wordhash import SPACE, encoded, parts_of, slices
 from tabulon.session import staged
 
-#: A language's model knows its 126 most frequent characters; the others are one symbol, and a space ends each word.
-SYMBOLS = 128
-BITS = 7
-OTHER, END = 1, 0
+BITS = 21
+LEAST_DOCS = 2  # documents that hold a trigram, else it is as good as unseen: no text vouches for itself
+MODEL_MOST = 2_000_000  # trigrams that are sent with the tasks (some 60 MB)
 LOWER_DEVIATIONS, UPPER_DEVIATIONS = 6.0, 5.0
 LEAST_DEVIATION = 0.01
 SYMBOL_MARKS = frozenset(b"#*$%&|<>")
@@ -81,37 +85,37 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
-    """``lang``, ``a``, ``b``, ``c`` (code points) and ``n``: all character trigrams of all texts, summed in tasks first."""
+    """``lang``, ``key`` (three code points), ``n`` and ``docs`` (how many documents hold it): all character trigrams of all texts, summed in tasks first."""
 
     def count(batches):
         held: dict[str | None, list] = {}
         fresh = 0
 
         def summed(parts):
-            keys, amounts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keys, amounts, holders = (np.concatenate(x) for x in zip(*parts, strict=True))
             unique, back = np.unique(keys, return_inverse=True)
-            return unique, np.bincount(back, amounts, len(unique)).astype(np.int64)
+            return unique, *(np.bincount(back, x, len(unique)).astype(np.int64) for x in (amounts, holders))
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for run in runs(text):
-                    p = run.astype(np.uint64)
-                    keys = (p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:]
-                    held.setdefault(lang, []).append((keys, np.ones(len(keys), np.int64)))
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                parts = [np.unique(keys_of(run), return_counts=True) for run in runs(text.as_py())]
+                if len(parts) > 1:  # a long text in parts is one document
+                    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                    parts = [(keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64))]
+                for keys, n in parts:
+                    held.setdefault(lang, []).append((keys, n, np.ones(len(keys), np.int64)))
                     fresh += len(keys)
-                    if fresh > KEY_LIMIT:
-                        held = {k: [summed(v)] for k, v in held.items()}
-                        fresh = 0
+                if fresh > KEY_LIMIT:
+                    held = {k: [summed(v)] for k, v in held.items()}
+                    fresh = 0
         for lang, parts in held.items():
-            keys, amounts = summed(parts)
-            for low in range(0, len(keys), 50_000):
-                part = slice(low, low + 50_000)
-                k = keys[part].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(amounts[part])], ["lang", "key", "n"])
+            arrays = summed(parts)
+            for low in range(0, len(arrays[0]), 50_000):
+                part = [pa.array(x[low : low + 50_000]) for x in arrays]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part], ["lang", "key", "n", "docs"])
 
-    found = docs.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    point = lambda shift: F.shiftright("key", shift).bitwiseAND(F.lit((1 << 21) - 1)).cast("int")
-    return found.select("lang", point(42).alias("a"), point(21).alias("b"), point(0).alias("c"), "n")
+    found = docs.select("lang", "text").mapInArrow(count, "lang string, key long, n long, docs long")
+    return found.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -125,15 +129,15 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 class Level:
     """One order: a sorted array of n-gram keys with their probabilities, and one of histories with their back-off weights."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, lower: Level | None):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, lower: Level | None, base: float):
         d = discounts(counts)
         off = d[np.minimum(counts, 3)]
         history = keys >> BITS
         self.histories, back = np.unique(history, return_inverse=True)
         total = np.bincount(back, counts, len(self.histories))
         self.rest = np.bincount(back, off, len(self.histories)) / total
-        below = lower.probability(keys & ((1 << (BITS * lower.order)) - 1)) if lower else np.full(len(keys), 1 / SYMBOLS)
-        self.order, self.lower = (lower.order + 1 if lower else 1), lower
+        below = lower.probability(keys & ((1 << (BITS * lower.order)) - 1)) if lower else np.full(len(keys), base)
+        self.order, self.lower, self.base = (lower.order + 1 if lower else 1), lower, base
         self.keys, self.p = keys, (counts - off) / total[back] + self.rest[back] * below
 
     def probability(self, keys: np.ndarray) -> np.ndarray:
@@ -142,7 +146,7 @@ class Level:
         out, unseen = self.p[at], self.keys[at] != keys
         if unseen.any():
             missing = keys[unseen]
-            below = self.lower.probability(missing & ((1 << (BITS * self.lower.order)) - 1)) if self.lower else np.full(len(missing), 1 / SYMBOLS)
+            below = self.lower.probability(missing & ((1 << (BITS * self.lower.order)) - 1)) if self.lower else np.full(len(missing), self.base)
             history = missing >> BITS
             h = np.minimum(np.searchsorted(self.histories, history), len(self.histories) - 1)
             out = out.copy()
@@ -151,64 +155,106 @@ class Level:
 
 
 class Model:
-    """The model of one language: the symbols of its characters, and the levels of the orders 1 to 3."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray):
-        points, back = np.unique(c, return_inverse=True)
-        often = np.bincount(back, n, len(points))
-        known = points[np.lexsort((points, -often))]
-        self.points = np.sort(known[known != 32][: SYMBOLS - 2])
-        key = (self.symbols(a) << (2 * BITS)) | (self.symbols(b) << BITS) | self.symbols(c)
-        keys, back = np.unique(key, return_inverse=True)
-        counts = np.bincount(back, n, len(keys)).astype(np.int64)
+    """The model of one language from its trigrams' keys (sorted) and counts: the levels of the orders 1 to 3."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
         two, n_two = np.unique(keys & ((1 << 2 * BITS) - 1), return_counts=True)
         one, n_one = np.unique(two & ((1 << BITS) - 1), return_counts=True)
-        self.top = Level(keys, counts, Level(two, n_two, Level(one, n_one, None)))
-
-    def symbols(self, points: np.ndarray) -> np.ndarray:
-        if not len(self.points):
-            return np.where(points == 32, END, OTHER).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return np.where(points == 32, END, np.where(self.points[at] == points, at + 2, OTHER)).astype(np.int64)
+        base = 1 / (len(one) + 1)  # any other character
+        self.top = Level(keys, counts, Level(two, n_two, Level(one, n_one, None, base), base), base)
 
     def entropy(self, text: str | None) -> float:
         """The mean of -log p over a text's symbols, the log of its perplexity; without words: 0."""
         total, n = 0.0, 0
         for run in runs(text):
-            s = self.symbols(run)
-            total -= float(np.log(self.top.probability((s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:])).sum())
-            n += len(s) - 2
+            total -= float(np.log(self.top.probability(keys_of(run))).sum())
+            n += len(run) - 2
         return total / n if n else 0.0
 
 
+def keys_of(run: np.ndarray) -> np.ndarray:
+    p = run.astype(np.int64)
+    return (p[:-2] << 2 * BITS) | (p[1:-1] << BITS) | p[2:]
+
+
 def models(counts: DataFrame) -> dict[str | None, Model]:
-    """A model per language. Its size does not grow with the corpus: 128 symbols, so at most 128³ trigrams.
+    """A model per language, from counts that are few enough to be gathered (``MODEL_MOST``)."""
+    table = counts.select("lang", "key", "n").toArrow()
+    codes = table.column("lang").combine_chunks().dictionary_encode(null_encoding="encode")
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    key, n, code = table.column("key").to_numpy(), table.column("n").to_numpy(), codes.indices.to_numpy()
+    order = np.lexsort((key, code))
+    edges = np.searchsorted(code[order], np.arange(len(codes.dictionary) + 1))
+    parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return {lang: Model(key[part], n[part]) for lang, part in zip(codes.dictionary.to_pylist(), parts, strict=True)}
+
 
-    Characters are reduced to the language's symbols in Spark before anything is gathered.
+def surprisals(kept: DataFrame, every: DataFrame) -> DataFrame:
+    """``lang``, ``key`` and ``nll``: -log p of each trigram of ``every`` by the model of ``kept`` (both as ``trigram_counts``), as ``Model`` gives it.
+
+    Orders are joined: a trigram, bigram or character that ``kept`` lacks takes its history's weight times the lower order.
     """
-    by_point = counts.groupBy("lang", "c").agg(F.sum("n").alias("n")).where("c <> 32")
-    ranked = by_point.selectExpr("lang", "c", "row_number() OVER (PARTITION BY lang ORDER BY n DESC, c) AS place")
-    known = ranked.where(F.col("place") <= SYMBOLS - 2).groupBy("lang").agg(F.sort_array(F.collect_list("c")).alias("known"))
-    joined = counts.join(F.broadcast(known.withColumnRenamed("lang", "own")), F.col("lang").eqNullSafe(F.col("own")), "left")
-    # Characters beyond a language's symbols become U+FFFF, which is not a character.
-    reduced = lambda c: F.when((F.col(c) == 32) | F.array_contains("known", F.col(c)), F.col(c)).otherwise(0xFFFF).alias(c)
-    few = joined.select("lang", reduced("a"), reduced("b"), reduced("c"), "n").groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
-    rows = few.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("a", "b", "c", "n"))).alias("grams"))
-
-    def packed(batches):
+
+    def level(grams: DataFrame, history: str, n: str, names: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+        """Grams with their share after the discount, and per history the weight of what the discounts leave."""
+        share, rest = names
+        of = grams.groupBy("lang").agg(*[F.greatest(F.lit(1), F.count_if(F.col(n) == k)).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        held = [F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.1)), F.lit(k - 0.05)).alias(f"d{k}") for k in (1, 2, 3)]
+        of = of.select(F.col("lang").alias("own"), *held)
+        off = F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
+        cut = grams.join(of, F.col("lang").eqNullSafe(F.col("own"))).withColumn("off", off).drop("own", "d1", "d2", "d3")
+        after = cut.groupBy("lang", history).agg(F.sum(n).alias("total"), (F.sum("off") / F.sum(n)).alias(rest))
+        shares = met(cut, after.select("lang", history, "total"), history).withColumn(share, (F.col(n) - F.col("off")) / F.col("total"))
+        return shares.drop("off", "total"), after.drop("total")
+
+    def met(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        other = right.withColumnsRenamed({"lang": "own", key: "own_key"})
+        return left.join(other, F.col("lang").eqNullSafe(F.col("own")) & (F.col(key) == F.col("own_key")), "left").drop("own", "own_key")
+
+    low = lambda c, orders: F.col(c).bitwiseAND(F.lit((1 << orders * BITS) - 1))
+    parts = {"ab": F.shiftright("key", BITS), "bc": low("key", 2)}
+    inner = {"b": F.shiftright("bc", BITS), "c": low("bc", 1)}
+    three = kept.select("lang", "key", "n", *[e.alias(c) for c, e in parts.items()])
+    two = three.groupBy("lang", "bc").agg(F.count("*").alias("n2")).withColumns(inner)
+    one = two.groupBy("lang", "c").agg(F.count("*").alias("n1")).withColumn("all", F.lit(0))
+    size = one.groupBy("lang", "all").agg((1 / (F.count("*") + 1)).alias("base"))
+    one, rest1 = level(one, "all", "n1", ("s1", "rest1"))
+    two, rest2 = level(two, "b", "n2", ("s2", "rest2"))
+    three, rest3 = level(three, "ab", "n", ("s3", "rest3"))
+
+    below = lambda share, rest, p: F.coalesce(F.col(share), F.lit(0.0)) + F.coalesce(F.col(rest), F.lit(1.0)) * p
+    # Lower orders are worked out once for each bigram there is, then for each trigram.
+    pairs = every.select("lang", low("key", 2).alias("bc")).distinct().withColumns({**inner, "all": F.lit(0)})
+    pairs = met(met(met(pairs, size, "all"), rest1, "all"), one.select("lang", "c", "s1"), "c")
+    pairs = met(met(pairs, rest2, "b"), two.select("lang", "bc", "s2"), "bc")
+    p1 = below("s1", "rest1", F.coalesce("base", F.lit(1.0)))
+    pairs = pairs.select("lang", "bc", below("s2", "rest2", p1).alias("p2"))
+    found = every.select("lang", "key", *[e.alias(c) for c, e in parts.items()])
+    found = met(met(met(found, pairs, "bc"), rest3, "ab"), three.select("lang", "key", "s3"), "key")
+    return found.select("lang", "key", (-F.log(below("s3", "rest3", F.col("p2")))).alias("nll"))
+
+
+def joined_entropies(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """``row`` (a hash of language and text) and ``entropy`` of every text with words, by a join of its trigrams with a table of ``surprisals``."""
+
+    def grams(batches):
         for batch in batches:
-            for lang, grams in zip(batch.column("lang"), batch.column("grams"), strict=True):
-                table = grams.values
-                arrays = [table.field(k).to_numpy(zero_copy_only=False).astype("<i8").tobytes() for k in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()], pa.string()), *(pa.array([x], pa.binary()) for x in arrays)], list("labcn"))
+            for row, lang, text in zip(batch.column("row").to_pylist(), batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                for run in runs(text.as_py()):  # a long text in parts
+                    keys, n = np.unique(keys_of(run), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["row", "lang", "key", "n"])
 
-    found = rows.mapInArrow(packed, "l string, a binary, b binary, c binary, n binary").collect()
-    return {r["l"]: Model(*(np.frombuffer(r[k], "<i8") for k in "abcn")) for r in found}
+    each = docs.select(F.xxhash64("lang", "text").alias("row"), "lang", "text").mapInArrow(grams, "row long, lang string, key long, n long")
+    other = table.withColumnsRenamed({"lang": "own", "key": "own_key"})
+    both = each.join(other, F.col("lang").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key")))
+    # Copies of a text add to both sums alike.
+    return both.groupBy("row").agg((F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("entropy"))
 
 
 def scored(docs: DataFrame, by_language: dict[str | None, Model], keep: Sequence[str]) -> DataFrame:
     """``keep`` plus ``lang``, the base counts and ``entropy`` of every document."""
-    names = [*keep, *(["lang"] if "lang" not in keep else [])]
+    names = [*keep, *(c for c in ("lang", "row") if c in docs.columns and c not in keep)]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", {BASE_SCHEMA}, entropy double"
 
     def score(batches: Iterator[pa.RecordBatch]):
@@ -218,7 +264,7 @@ def scored(docs: DataFrame, by_language: dict[str | None, Model], keep: Sequence
                 batch = whole.slice(low, 1000)
                 texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
                 counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-                entropy = [known[k].entropy(t) if k in known else 0.0 for t, k in zip(texts, langs, strict=True)]
+                entropy = [known[k].entropy(t) if k in known else 0.0 for t, k in zip(texts, langs, strict=True)]  # all 0 where a join tells
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in names), *(pa.array(counts[:, k]) for k in range(5)), pa.array(entropy, pa.float64())],
                     [*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "entropy"],
@@ -230,19 +276,27 @@ def scored(docs: DataFrame, by_language: dict[str | None, Model], keep: Sequence
 def perplexity_rules(docs: DataFrame, lower: float = LOWER_DEVIATIONS, upper: float = UPPER_DEVIATIONS) -> DataFrame:
     """Base counts and verdict for every document: ``doc_id``, the counts, ``base_failed``, ``perplexity``, ``kept``.
 
-    A document that passes the base rules (50 words or more, half of its words or fewer in repeated runs) is kept if its log
+    Trigrams that one document alone holds (or several parts of one) count as unseen. A document that passes the base rules (50 words or more, half of its words or fewer in repeated runs) is kept if its log
     perplexity lies within the band of its language: from ``lower`` deviations below the median to ``upper`` above, where
     a deviation is 1.4826 times the median distance from the median of the documents that pass (``LEAST_DEVIATION`` at least).
     A null language is a language of its own; null and empty texts have no words and fail; repeated rows get equal results;
     an empty table gives no rows.
     """
     grams = staged(trigram_counts(docs), "trigrams")
-    rows = staged(scored(docs, models(grams), ["doc_id"]), "perplexity")
+    kept = grams.where(F.col("docs") >= LEAST_DOCS)
+    if kept.count() <= MODEL_MOST:
+        rows = staged(scored(docs, models(kept), ["doc_id"]), "perplexity")
+    else:
+        table = staged(surprisals(kept, grams).repartitionByRange("lang", "key").sortWithinPartitions("lang", "key"), "surprisals")
+        found = joined_entropies(docs, table)
+        marked = docs.select("doc_id", "lang", "text", F.xxhash64("lang", "text").alias("row"))
+        rows = scored(marked, {}, ["doc_id"]).drop("entropy").join(found, "row", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+        rows = staged(rows.drop("row"), "perplexity")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = rows.withColumn("base_failed", failed)
     passing = judged.where("NOT base_failed")
     middle = passing.groupBy("lang").agg(F.percentile_approx("entropy", 0.5, 10_000).alias("middle"))
-    middle = F.broadcast(middle.withColumnRenamed("lang", "own"))  # one row per language
+    middle = middle.withColumnRenamed("lang", "own")  # one row per language
     near = F.col("lang").eqNullSafe(F.col("own"))
     spread = passing.join(middle, near).groupBy("own", "middle")
     spread = spread.agg((1.4826 * F.percentile_approx(F.abs(F.col("entropy") - F.col("middle")), 0.5, 10_000)).alias("deviation"))
@@ -250,7 +304,7 @@ def perplexity_rules(docs: DataFrame, lower: float = LOWER_DEVIATIONS, upper: fl
     away = (F.col("entropy") - F.col("middle")) / F.col("deviation")
     inside = F.coalesce((away >= -lower) & (away <= upper), F.lit(True))
     return (
-        judged.join(F.broadcast(bands), near, "left")
+        judged.join(bands, near, "left")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             F.exp("entropy").alias("perplexity"), (~F.col("base_failed") & inside).alias("kept"),

@@ -148,10 +148,6 @@ def plain_kneser_ney(texts):
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
         if words:
             strings.append("  " + " ".join(words) + " ")
-    often = Counter(c for s in strings for c in s[2:] if c != " ")
-    known = {c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[: perplexity.SYMBOLS - 2]}
-    fold = lambda c: c if c == " " or c in known else "�"
-    strings = ["".join(map(fold, s)) for s in strings]
     three = Counter(s[i : i + 3] for s in strings for i in range(len(s) - 2))
     two = Counter(g[1:] for g in three)
     one = Counter(g[1:] for g in two)
@@ -166,7 +162,7 @@ def plain_kneser_ney(texts):
             rest[g[:-1]] += d[min(c, 3) - 1]
 
         def p(g):
-            below = lower(g[1:]) if lower else 1 / perplexity.SYMBOLS
+            below = lower(g[1:]) if lower else 1 / (len(one) + 1)
             h = g[:-1]
             if h not in total:
                 return below
@@ -176,7 +172,7 @@ def plain_kneser_ney(texts):
         return p
 
     top = level(three, level(two, level(one, None)))
-    return lambda s: np.mean([-math.log(top("".join(map(fold, s))[i : i + 3])) for i in range(len(s) - 2)]), top
+    return lambda s: np.mean([-math.log(top(s[i : i + 3])) for i in range(len(s) - 2)]), top
 
 
 def test_kneser_ney_against_dictionaries(spark):
@@ -187,8 +183,40 @@ def test_kneser_ney_against_dictionaries(spark):
     for t in [*texts[:10], "Der Zug 东 fährt", "qqq"]:
         line = "  " + " ".join(re.findall(r"[^\x20\x09-\x0D]+", t)) + " "
         assert model.entropy(t) == pytest.approx(plain(line), rel=1e-9)
-    symbols = sorted({c for t in texts for c in "".join(t.split())})[:120] + [" "]
+    symbols = sorted({c for t in texts for c in "".join(t.split())}) + [" "]
     assert sum(top("er" + c) for c in symbols) <= 1.0 + 1e-9
+    counts = perplexity.trigram_counts(table)
+    other = perplexity.trigram_counts(spark.createDataFrame([(0, "Der Zug 东 fährt qqq", "de"), (1, "Der", "none")], "doc_id int, text string, lang string"))
+    table = perplexity.surprisals(counts, counts.union(other)).collect()
+    assert len(table) > 1000 and {r.nll for r in table if r.lang == "none"} == {0.0}
+    for r in (r for r in table if r.lang == "de"):
+        assert r.nll == pytest.approx(-math.log(top("".join(chr(r.key >> shift & (1 << 21) - 1) for shift in (42, 21, 0)))), rel=1e-9)
+
+
+def test_models_in_tasks_and_by_join_agree(spark, odd, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").union(odd.select("doc_id", "text", "lang"))
+    rounded = lambda: sorted(str((r.doc_id, r.n_words, r.base_failed, r.kept, f"{r.perplexity:.9g}")) for r in perplexity.perplexity_rules(docs).collect())
+    sent = rounded()
+    monkeypatch.setattr(perplexity, "MODEL_MOST", 0)
+    assert rounded() == sent
+
+
+def test_scripts_of_many_characters(spark):
+    """1200 characters of a script: texts of it score better than texts of characters never seen, and the model grows with what it sees."""
+    import random
+
+    rng = random.Random(8)
+    script = [chr(0x4E00 + i) for i in range(1200)]
+    words = ["".join(rng.choice(script) for _ in range(rng.randrange(1, 4))) for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120)), "zh") for i in range(120)]
+    junk = "".join(chr(0x6000 + rng.randrange(8000)) + (" " if k % 3 == 2 else "") for k in range(300))
+    table = spark.createDataFrame([*rows, (900, junk, "zh")], "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in perplexity.perplexity_rules(table).collect()}
+    assert got[900].perplexity > 10 * max(got[i].perplexity for i in range(120)) and not got[900].kept and got[0].kept
+    model = perplexity.models(perplexity.trigram_counts(table.where("doc_id < 900")))["zh"]
+    assert model.entropy(junk) > 2 * model.entropy(rows[0][1])
+    few, many = (perplexity.trigram_counts(table.where(f"doc_id < {n}")).count() for n in (20, 120))
+    assert many > few
 
 
 def test_bands_reject_both_ends(spark):
