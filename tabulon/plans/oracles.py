@@ -300,6 +300,11 @@ def forest_given() -> str:
     return f"SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, round(-pow(2, -(CAST({paths[0]} AS DOUBLE) + {paths[1]}) / 2 / {usual}), 9) AS score FROM lineitem"
 
 
+LINEITEM = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+).split()
+
+
 def statements() -> dict[str, str]:
     routes = {w: texts(getattr(questions, w)) for w in ("OVERVIEW_PHRASES", "DATA_WORDS", "CODE_WORDS", "MISSING_WORDS", "MOST_WORDS", "MAX_WORDS", "MIN_WORDS", "ROW_WORDS")}
     missing_route = f"({routes['MISSING_WORDS']} AND {routes['MOST_WORDS']})"
@@ -348,6 +353,13 @@ def statements() -> dict[str, str]:
             for i, (n, sub) in enumerate(fences.items())
         ),
         "numeric_coerce": WITH_INJECTED + f"SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(qty_text, '{NUMBER}') THEN TRY_CAST(qty_text AS DOUBLE) END AS qty_text FROM injected",
+        "column_profile_types": "WITH types AS (SELECT row_number() OVER () - 1 AS ordinal, column_name, column_type FROM (DESCRIBE lineitem)), counts AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM lineitem" for c in LINEITEM)
+        + ") SELECT CAST(ordinal AS INTEGER) AS ordinal, column_name AS \"column\", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+        "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'timestamp' END AS type, missing, distinct_values AS \"distinct\" FROM types JOIN counts USING (column_name)",
+        "datetime_layouts": "SELECT o_orderkey, "
+        + ", ".join(f"CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS {n}" for n in ("us", "compact", "german", "slashes", "european", "short", "long"))
+        + ", CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%Y%m%d') END AS mixed FROM orders",
         "datetime_coerce": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS date_ok, CASE WHEN o_orderkey = 7 THEN 'x' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_bad FROM orders",
         "filter_sort_top": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
         "group_aggregate": WITH_INJECTED
@@ -417,6 +429,8 @@ def statements() -> dict[str, str]:
         "code_blocks": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'x = 1' || chr(10) || '  y = \"' || role || '\"' WHEN 1 THEN 'z = ' || conv_id ELSE 'n = ' || turn || chr(10) || 'print(n)' END AS code FROM conversations",
         "code_screen": "SELECT conv_id, turn, turn > 5 AS ok, CASE turn WHEN 0 THEN 'import' WHEN 1 THEN 'call' WHEN 2 THEN 'method' WHEN 3 THEN 'root' WHEN 4 THEN 'dunder' WHEN 5 THEN 'syntax' END AS rule, "
         "CASE turn WHEN 0 THEN 'os' WHEN 1 THEN 'open' WHEN 2 THEN 'to_csv' WHEN 3 THEN 'os' WHEN 4 THEN '__class__' END AS detail FROM conversations",
+        "code_screen_replies": "SELECT conv_id, turn, turn > 5 AS ok, CASE turn WHEN 0 THEN 'import' WHEN 1 THEN 'call' WHEN 2 THEN 'method' WHEN 3 THEN 'root' WHEN 4 THEN 'dunder' WHEN 5 THEN 'syntax' END AS rule, "
+        "CASE turn WHEN 0 THEN 'os' WHEN 1 THEN 'open' WHEN 2 THEN 'to_csv' WHEN 3 THEN 'os' WHEN 4 THEN '__class__' END AS detail FROM conversations",
         "csv_round_trip": "SELECT * FROM orders",
         "csv_round_trip_documents": "SELECT * FROM documents",
         "csv_single_file": "SELECT * FROM documents",

@@ -50,6 +50,12 @@ SNIPPET = (
     "WHEN 3 THEN 'os.getcwd()' WHEN 4 THEN 'x.__class__' WHEN 5 THEN 'if a:' ELSE 'x = ' || CAST(conv_id AS STRING) END "
     "|| '  # ' || replace(text, chr(10), ' ')"
 )
+#: A fenced block whose code holds the whole text, line by line, as a literal in front of a statement.
+REPLY_WITH_TEXT = (
+    "'Gern:' || chr(10) || '```python' || chr(10) || 'note = \"\"\"' || replace(replace(text, chr(92), ''), '\"', '') || '.\"\"\"' || chr(10) || "
+    "CASE turn WHEN 0 THEN 'import os' WHEN 1 THEN 'x = open(note)' WHEN 2 THEN 'df.to_csv(note)' WHEN 3 THEN 'os.getcwd()' "
+    "WHEN 4 THEN 'x.__class__' WHEN 5 THEN 'if a:' ELSE 'x = len(note)' END || chr(10) || '```' || chr(10) || text"
+)
 PAYLOAD = (
     "'{\"data\":[{\"id\":\"' || event_type || '\"},{\"id\":\"\",\"model\":\"m' || CAST(user_id AS STRING) || '\"},"
     "{\"name\":\"n\"},\"' || event_type || '\",\"z\"]}'"
@@ -152,6 +158,10 @@ def column_profile(spark, d):
     return profile.column_profile(table(spark, d, "orders")).drop("type")
 
 
+def column_profile_types(spark, d):
+    return profile.column_profile(table(spark, d, "lineitem")).select("ordinal", "column", "type", "missing", "distinct")
+
+
 def basic_analysis(spark, d):
     return profile.basic_analysis(table(spark, d, "customer"))
 
@@ -203,6 +213,17 @@ def datetime_coerce(spark, d):
     return coerce_datetimes(orders)
 
 
+def datetime_layouts(spark, d):
+    """Dates in other layouts than ISO, and a column that mixes two of them and stays text."""
+    layouts = {
+        "us": "MM/dd/yyyy", "compact": "yyyyMMdd", "german": "dd.MM.yyyy HH:mm:ss", "slashes": "yyyy/MM/dd HH:mm:ss",
+        "european": "dd/MM/yyyy HH:mm:ss", "short": "d MMM yyyy", "long": "MMMM d, yyyy",
+    }
+    day = F.col("o_orderdate").cast("date").cast("timestamp")
+    mixed = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "yyyyMMdd"))
+    return coerce_datetimes(table(spark, d, "orders").select("o_orderkey", *[F.date_format(day, f).alias(n) for n, f in layouts.items()], mixed.alias("mixed")))
+
+
 # --- computations on request ----------------------------------------------------------------
 
 
@@ -622,6 +643,12 @@ def code_screen(spark, d):
     return code.screen_code(snippets, "snippet").drop("snippet")
 
 
+def code_screen_replies(spark, d):
+    """The code of whole replies, texts included, as it is extracted."""
+    replies = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{REPLY_WITH_TEXT} AS reply")
+    return code.screen_code(code.extract_code(replies, "reply"), "code").drop("reply", "code")
+
+
 # --- sources and sinks ----------------------------------------------------------------------
 
 
