@@ -6,18 +6,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
 from tabulon.llm.components import components
-from tabulon.llm.wordhash import Words, encoded, mix, parts_of
+from tabulon.llm.wordhash import Words, mix, parts_of
 from tabulon.session import staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-BLOCK = 1 << 23  # bytes of texts whose shingles are held at once; a longer text is not cut
+BLOCK = 1 << 21  # bytes of texts whose shingles are held at once; a longer text is not cut
 SAMPLE = 16  # one text of so many is counted for the order of shingles, which bears on speed only
 COMMON = 3  # texts of the sample that make a shingle common
 COMMON_MOST = 1_000_000  # common shingles that are sent with the tasks (9 MB)
@@ -80,16 +81,16 @@ def least_shared(n: np.ndarray | int, similarity: float):
 
 
 def _blocks(batches) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches in parts of about ``BLOCK`` bytes of text; only a part's texts are copied out of Arrow's memory."""
     for batch in batches:
-        texts = encoded(batch.column("text"))
-        low, size = 0, 0
-        for i, text in enumerate(texts):
-            if i > low and size + len(text) > BLOCK:
-                yield batch.slice(low, i - low), texts[low:i]
-                low, size = i, 0
-            size += len(text)
-        if low < len(texts):
-            yield batch.slice(low), texts[low:]
+        column = batch.column("text")
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
+        low = 0
+        while low < len(batch):
+            most = (ends[low - 1] if low else 0) + BLOCK
+            high = max(low + 1, int(np.searchsorted(ends, most, side="right")))
+            yield batch.slice(low, high - low), [bytes(t.as_buffer()) if t.is_valid else b"" for t in column.slice(low, high - low)]
+            low = high
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
