@@ -353,6 +353,11 @@ def statements() -> dict[str, str]:
             for i, (n, sub) in enumerate(fences.items())
         ),
         "numeric_coerce": WITH_INJECTED + f"SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(qty_text, '{NUMBER}') THEN TRY_CAST(qty_text AS DOUBLE) END AS qty_text FROM injected",
+        "profile_states_merged": " UNION ALL ".join(
+            f"SELECT CAST({i} AS INTEGER) AS ordinal, '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, count({c}) AS count, round(avg({c}), 4) AS mean, "
+            f"round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"
+            for i, c in enumerate(LINEITEM[:8])
+        ),
         "column_profile_types": "WITH types AS (SELECT row_number() OVER () - 1 AS ordinal, column_name, column_type FROM (DESCRIBE lineitem)), counts AS ("
         + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM lineitem" for c in LINEITEM)
         + ") SELECT CAST(ordinal AS INTEGER) AS ordinal, column_name AS \"column\", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import code, questions, text
 from tabulon.functions.coerce import coerce_datetimes, coerce_numeric
-from tabulon.operators import adhoc, anomalies, clustering, conversations, features, profile, projection
+from tabulon.operators import adhoc, anomalies, clustering, conversations, features, profile, profile_states, projection
 from tabulon.plans import models
 from tabulon.plans.answer import answer
 from tabulon.session import scratch_path
@@ -162,6 +162,15 @@ def column_profile_types(spark, d):
     return profile.column_profile(table(spark, d, "lineitem")).select("ordinal", "column", "type", "missing", "distinct")
 
 
+def profile_states_merged(spark, d):
+    """The line items as a table of three partitions that came one after the other, one of them twice."""
+    lines, path = table(spark, d, "lineitem"), scratch_path(spark, "profile-states")
+    for i in (2, 0, 1, 2):
+        profile_states.add_partition(lines.where(F.col("l_orderkey") % 3 == i), path, f"third-{i}")
+    merged = profile_states.merged(spark, path).where("family = 'number'")
+    return merged.select("ordinal", "column", "rows", "missing", "count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max")
+
+
 def basic_analysis(spark, d):
     return profile.basic_analysis(table(spark, d, "customer"))
 

@@ -244,3 +244,45 @@ def test_sample_rows(spark):
     df = spark.range(20).selectExpr("id", "CASE WHEN id = 1 THEN NULL ELSE 'v' || id END AS t")
     cells = {(r["row"], r["ordinal"]): r["text"] for r in P.sample_rows(df, ["id"]).collect()}
     assert len(cells) == 16 and cells[1, 0] == "0" and cells[2, 1] is None and cells[8, 1] == "v7"
+
+
+def test_profile_states_merge(spark, sf, tmp_path):
+    """States of partitions give what a full run gives; a new partition reads only itself."""
+    from tabulon.operators import profile_states as S
+
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumns(
+        {"q": F.expr("CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 11 = 0 THEN double('NaN') ELSE l_quantity END"), "empty": F.lit(None).cast("double")}
+    )
+    path = str(tmp_path / "states")
+    parts = {str(i): df.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) == i) for i in range(4)}
+    for name, part in parts.items():
+        S.add_partition(part, path, name)
+    S.add_partition(parts["1"].limit(0), path, "none")
+    S.add_partition(parts["2"].limit(3), path, "3")  # replaced below
+    S.add_partition(parts["3"], path, "3")
+    merged = S.merged(spark, path)
+    assert "lineitem" not in plan(merged)
+    got = {r["column"]: r for r in merged.collect()}
+    wanted = {r["column"]: r for r in P.describe_numeric(df).collect()}
+    profile = {r["column"]: r for r in P.column_profile(df).collect()}
+    n = df.count()
+    assert set(got) == set(df.columns)
+    for name, r in got.items():
+        assert (r["ordinal"], r["type"], r["rows"], r["missing"]) == (profile[name]["ordinal"], profile[name]["type"], n, profile[name]["missing"])
+        assert r["distinct"] == pytest.approx(profile[name]["distinct"], rel=0.04)
+        if name in wanted and wanted[name]["count"]:
+            w = wanted[name]
+            assert (r["count"], r["min"], r["max"]) == (w["count"], w["min"], w["max"])
+            assert r["mean"] == pytest.approx(w["mean"], rel=1e-12) and r["std"] == pytest.approx(w["std"], rel=1e-9)
+            for p in (25, 50, 75):
+                below = df.where(F.col(name) < r[f"p{p}"]).count() / w["count"]
+                upto = df.where(F.col(name) <= r[f"p{p}"]).where(~F.isnan(F.col(name).cast("double"))).count() / w["count"]
+                assert below - 0.003 <= p / 100 <= upto + 0.003
+        else:
+            assert r["count"] in (None, 0) and r["mean"] is None and r["p50"] is None
+    S.remove_partition(spark, path, "0")
+    S.add_partition(spark.createDataFrame([(1, "new")], "l_orderkey long, other string"), path, "4")
+    later = {r["column"]: r for r in S.merged(spark, path).collect()}
+    left = n - parts["0"].count()
+    assert later["l_tax"]["rows"] == left + 1 and later["l_tax"]["missing"] == 1 and later["other"]["missing"] == left and later["l_tax"]["count"] == left
+    assert S.merged(spark, str(tmp_path / "nothing")).collect() == []
