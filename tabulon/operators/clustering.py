@@ -26,6 +26,7 @@ MIN_CLUSTERS, MAX_CLUSTERS, DEFAULT_CLUSTERS = 2, 12, 3
 SEED_ROUNDS = 4  # rounds in which candidates for the first centres are drawn
 SILHOUETTE_METRIC = "squared_euclidean"
 BLOCK_ROWS = 1024  # points that are compared with as many at once
+DIRECT_TASKS = 1024  # tasks whose sums the driver adds up itself (starts x clusters rows each)
 GROUP_BLOCKS = 16  # blocks that meet another one in the same task
 BROADCAST_NEEDED = 1_000_000  # pairs of groups and labels (12 MB); more are joined by a shuffle
 
@@ -73,7 +74,7 @@ def _draws(rows: np.ndarray, salt: int) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
-def _drawn(blocks: DataFrame, features: list[str], known: dict[int, np.ndarray], many: int, salt: int) -> dict[int, np.ndarray]:
+def _drawn(blocks: DataFrame, features: list[str], known: dict[int, np.ndarray], many: int, salt: int, few: bool = False) -> dict[int, np.ndarray]:
     """``many`` further rows per start, drawn from the whole table in one scan with weight = squared distance to the nearest known
     row (equal weights where none is known). A row's key is -log(draw) / weight, and the smallest keys win, in tasks and over all."""
     width = len(features)
@@ -97,16 +98,18 @@ def _drawn(blocks: DataFrame, features: list[str], known: dict[int, np.ndarray],
                 points = pa.array([p.tobytes() for p in point], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([start] * len(key), pa.int32()), pa.array(key), points], ["start", "key", "point"])
 
-    found = blocks.mapInArrow(best, "start int, key double, point binary").distinct()
-    rank = F.row_number().over(Window.partitionBy("start").orderBy("key", "point"))
-    rows = found.withColumn("rank", rank).where(F.col("rank") <= many).collect()
+    found = blocks.mapInArrow(best, "start int, key double, point binary")
+    if not few:
+        rank = F.row_number().over(Window.partitionBy("start").orderBy("key", "point"))
+        found = found.distinct().withColumn("rank", rank).where(F.col("rank") <= many)
     out: dict[int, list] = {s: [] for s in known}
-    for r in sorted(rows, key=lambda r: (r["start"], r["rank"])):
-        out[r["start"]].append(np.frombuffer(r["point"]))
+    for start, _, point in sorted({(r["start"], r["key"], bytes(r["point"])) for r in found.collect()}):
+        if len(out[start]) < many:
+            out[start].append(np.frombuffer(point))
     return {s: np.array(points).reshape(-1, width) for s, points in out.items()}
 
 
-def _initial_centers(blocks: DataFrame, features: list[str], k: int, starts: int, seed: int) -> dict[int, np.ndarray]:
+def _initial_centers(blocks: DataFrame, features: list[str], k: int, starts: int, seed: int, few: bool = False) -> dict[int, np.ndarray]:
     """First centres by k-means|| over the whole table, all starts in the same scans.
 
     One row per start, then ``SEED_ROUNDS`` rounds of 2 k rows each far from those there are; rows are counted by their
@@ -114,11 +117,11 @@ def _initial_centers(blocks: DataFrame, features: list[str], k: int, starts: int
     """
     known = {s: np.zeros((0, len(features))) for s in range(starts)}
     for turn in range(SEED_ROUNDS + 1):
-        more = _drawn(blocks, features, known, 2 * k if turn else 1, seed + 7919 * turn)
+        more = _drawn(blocks, features, known, 2 * k if turn else 1, seed + 7919 * turn, few)
         known = {s: np.r_[known[s], more[s]] for s in known}
     width = max(map(len, known.values()))
     padded = {s: np.r_[c, np.full((width - len(c), len(features)), 1e150)] for s, c in known.items()}
-    counts = _scan(blocks, features, padded)
+    counts = _scan(blocks, features, padded, few=few)
     rng = np.random.default_rng(seed)
     return {s: _first_centers(known[s], np.maximum(counts[s][0][: len(known[s])], 1e-9), k, rng) for s in known}
 
@@ -136,11 +139,11 @@ def _blocks(data: DataFrame, features: list[str]) -> DataFrame:
     return data.mapInArrow(pack, "block binary")
 
 
-def _scan(blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray], with_cost: bool = False) -> dict[int, tuple]:
+def _scan(blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray], with_cost: bool = False, few: bool = False) -> dict[int, tuple]:
     """One scan for all starts: per (start, cluster) row count, feature sums and cost.
 
-    Tasks return one row per start and cluster. Spark adds them up, so the driver receives
-    starts x clusters rows whatever the size of the data.
+    Tasks return one row per start and cluster. Spark adds them up, so the driver receives starts x clusters
+    rows whatever the size of the data; those of ``few`` tasks (``DIRECT_TASKS`` at most) it adds up itself, which saves a shuffle.
     """
     starts = sorted(centers)
     k = len(next(iter(centers.values())))
@@ -160,13 +163,13 @@ def _scan(blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray]
             # |x - c|^2 less |x|^2, which does not change the nearest centre
             relative = (norms - 2 * (stacked @ rows.T)).reshape(len(starts), k, len(rows))
             labels = relative.argmin(axis=1)
-            for i in range(len(starts)):
-                member = (labels[i] == numbers).astype(float)
-                counts[i] += member.sum(1)
-                totals[i] += member @ rows
-                if with_cost:
-                    nearest = np.maximum(relative[i].min(axis=0) + (rows**2).sum(1), 0.0)
-                    costs[i] += member @ nearest
+            member = (labels[:, None, :] == numbers).astype(float)
+            sums_of = member.reshape(-1, len(rows)) @ np.column_stack([rows, np.ones(len(rows))])
+            totals += sums_of[:, :-1].reshape(totals.shape)
+            counts += sums_of[:, -1].reshape(counts.shape)
+            if with_cost:
+                nearest = np.maximum(relative.min(axis=1) + (rows**2).sum(1), 0.0)
+                costs += np.einsum("skr,sr->sk", member, nearest)
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -181,7 +184,8 @@ def _scan(blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray]
 
     fields = ", ".join(f"{s} double" for s in sums)
     merged = blocks.mapInArrow(partial, f"start int, cluster int, n double, cost double, {fields}")
-    merged = merged.groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
+    if not few:
+        merged = merged.groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)])
     found: dict[int, tuple] = {s: (np.zeros(k), np.zeros((k, len(features))), np.zeros(k)) for s in starts}
     for row in merged.collect():
         counts, totals, costs = found[row["start"]]
@@ -232,22 +236,20 @@ def fit_kmeans(
     data = df.select(*[col(f).cast("double").alias(f) for f in features])
     cores = df.sparkSession.sparkContext.defaultParallelism
     blocks = staged(_blocks(data, features).repartition(cores), "kmeans-blocks")
-    one = _scan(blocks, features, {0: np.zeros((1, len(features)))}, with_cost=True)[0]
-    n = int(one[0][0])
-    if n < k:
-        raise ValueError(f"{n} rows are too few for {k} clusters")
-    # Mean squared deviation around the mean, from the sums of one scan around it.
-    mean = one[1][0] / n
-    limit = tolerance * float(_scan(blocks, features, {0: mean[None, :]}, with_cost=True)[0][2][0]) / n / len(features)
+    few = blocks.rdd.getNumPartitions() <= DIRECT_TASKS
+    one = data.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(col(f)).alias(f"v_{i}") for i, f in enumerate(features)]).first()
+    if one["n"] < k:
+        raise ValueError(f"{one['n']} rows are too few for {k} clusters")
+    limit = tolerance * sum(one[f"v_{i}"] for i in range(len(features))) / len(features)
     if initial is not None:
         centers = {0: np.array(initial, dtype=float)}
     else:
-        centers = _initial_centers(blocks, features, k, starts, seed)
+        centers = _initial_centers(blocks, features, k, starts, seed, few)
     active = dict(centers)
     iterations = 0
     while active and iterations < max_iterations:
         iterations += 1
-        for start, (counts, totals, _) in _scan(blocks, features, active).items():
+        for start, (counts, totals, _) in _scan(blocks, features, active, few=few).items():
             moved = np.where(counts[:, None] > 0, totals / np.maximum(counts, 1)[:, None], centers[start])
             empty = np.flatnonzero(counts == 0)
             if len(empty):
@@ -259,7 +261,7 @@ def fit_kmeans(
             active[start] = moved
             if shift <= limit:
                 del active[start]
-    final = _scan(blocks, features, centers, with_cost=True)
+    final = _scan(blocks, features, centers, with_cost=True, few=few)
     costs = [float(final[s][2].sum()) for s in sorted(centers)]
     best = int(np.argmin(costs))
     sizes = final[best][0]

@@ -92,6 +92,14 @@ def test_kmeans_guards(groups):
         K.fit_kmeans(groups.limit(2), ["a", "b"], 3)
 
 
+def test_sums_by_spark_and_by_the_driver_agree(spark, groups, monkeypatch):
+    one = K.fit_kmeans(groups.repartition(5), ["a", "b"], 3)
+    monkeypatch.setattr(K, "DIRECT_TASKS", 0)
+    other = K.fit_kmeans(groups.repartition(3), ["a", "b"], 3)
+    assert one.sizes == other.sizes and one.iterations == other.iterations
+    assert one.centers == pytest.approx(other.centers) and one.costs == pytest.approx(other.costs)
+
+
 def test_silhouette_in_one_and_many_blocks(spark, groups, monkeypatch):
     extra = spark.createDataFrame([(9, 0, 200.0, 200.0, 0.0)], groups.schema)  # a cluster of one row
     df = groups.unionByName(extra)
