@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import present, small_table
+from tabulon.functions.columns import present
 
 ROWS = 4096  # multiplied at once
 SHIFT_ROWS = 1000  # whose mean is taken off each column; any shift gives the same result but for rounding
@@ -70,6 +70,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     r = r.otherwise((F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / F.sqrt(x) / F.sqrt(y))
     found = pairwise_sums(df, columns).select("i", "j", r.alias("correlation"))
     both = found.union(found.where("i < j").select("j", "i", "correlation"))
-    names = small_table(df.sparkSession, list(enumerate(columns)), "k long, name string")
-    every = names.select(F.col("k").alias("a"), F.col("name").alias("column_x")).join(names.select(F.col("k").alias("b"), F.col("name").alias("column_y")))
+    names = F.array(*[F.lit(c) for c in columns])
+    places = df.sparkSession.range(len(columns)).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("b"))
+    every = places.select("a", "b", F.get(names, F.col("a").cast("int")).alias("column_x"), F.get(names, "b").alias("column_y"))
     return every.join(both, (F.col("a") == F.col("i")) & (F.col("b") == F.col("j")), "left").select("column_x", "column_y", "correlation")

@@ -71,7 +71,7 @@ def merged(spark: SparkSession, path: str) -> DataFrame:
     stored = read_or_empty(spark, path, STATE)
     latest = F.max("saved").over(Window.partitionBy("partition"))
     now = stored.withColumn("latest", latest).where("saved = latest AND ordinal >= 0").drop("latest")
-    rows = now.groupBy("partition").agg(F.max("n_rows").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    rows = now.groupBy("partition").agg(F.max("n_rows").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)))
     number = F.when(F.col("mean").isNotNull(), F.col("filled"))
     sums = now.groupBy("column").agg(
         F.max_by(F.struct("ordinal", "type", "family"), "saved").alias("last"), F.sum("filled").alias("filled"), F.sum(number).alias("n"),
@@ -81,7 +81,7 @@ def merged(spark: SparkSession, path: str) -> DataFrame:
     centre = sums.select(F.col("column").alias("name"), F.col("mean").alias("centre"))
     apart = F.sum(F.col("squares") + F.col("filled") * (F.col("mean") - F.col("centre")) * (F.col("mean") - F.col("centre")))
     spread = now.where("mean IS NOT NULL").join(centre, F.col("column") == F.col("name")).groupBy("name").agg(apart.alias("squares"))
-    joined = sums.join(spread, F.col("column") == F.col("name"), "left").crossJoin(F.broadcast(rows))  # one row
+    joined = sums.join(spread, F.col("column") == F.col("name"), "left").withColumn("rows", rows.scalar())
     std = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
     quartiles = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("numbers", F.lit(p))).alias(f"p{int(100 * p)}") for p in QUARTILES]
     return joined.select(
