@@ -190,8 +190,9 @@ def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, words:
     """``node`` and ``component`` of the sets (``fp`` in ``slim``) that pairs of the wanted similarity connect.
 
     ``nodes`` has a ``row`` of ``docs`` for each ``fp``. Sets that share a key are candidates. All pairs of a key with few sets are compared
-    by their shingles. In a key with many, each round compares one set, another one in each key, with all others and is done
-    with it; pairs that are connected already need no comparison, so few rounds connect a large group of near copies.
+    by their shingles. In a key with many, each round compares one set with all others and is done with it. It is drawn by a hash of the
+    set alone, so that the many keys of a group of near copies draw the same one and the pairs do not grow with the keys. Pairs
+    that are connected already need no comparison, so few rounds connect a large group.
     """
     keyed = slim.select(F.posexplode("keys").alias("at", "key"), "fp", "n").withColumn("rest", F.col("n") - F.col("at")).drop("at")
     keyed = keyed.select("key", F.struct("fp", "n", "rest").alias("set")).repartition("key")  # shuffled once for both uses
@@ -203,7 +204,7 @@ def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, words:
         if member is not None:
             grouped = left.join(member, left["fp"] == member["node"], "left").select("key", "fp", "n", "rest", F.coalesce("component", "fp").alias("c"))
         heads = grouped.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("fp", "key").alias("draw"), "fp", "n", "rest", "c")).alias("head"), F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")
+            F.min(F.struct(F.xxhash64("fp").alias("draw"), "fp", "n", "rest", "c")).alias("head"), F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")
         )
         heads = heads.where("least < most").select("key", "head", (F.col("size") <= SMALL * 4**turn if turn < ROUNDS else F.lit(True)).alias("small"))
         judged = staged(grouped.join(heads, "key"), "shingle-candidates")
