@@ -1,4 +1,4 @@
-"""Texts whose sets of word shingles are alike: exact prefix filter, exact Jaccard verification, links of components."""
+"""Texts whose sets of word shingles are alike: SimHash, then an exact prefix filter; exact Jaccard verification, links of components."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from tabulon.session import staged
 SHINGLE = 5
 SIMILARITY = 0.8
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+PIECE = 1 << 16  # shingles whose bits are held at once
 BLOCK = 1 << 21  # bytes of texts whose shingles are held at once; a longer text is not cut
 SAMPLE = 16  # one text of so many is counted for the order of shingles, which bears on speed only
 COMMON = 3  # texts of the sample that make a shingle common
@@ -99,6 +100,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
+def simhash(found: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes, signed: a bit is set if it is set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(found), PIECE):
+        counts += np.unpackbits(found[low : low + PIECE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
+
+
 def common_shingles(docs: DataFrame, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that many texts share, and the binary logarithms of how many of a sample do."""
 
@@ -126,29 +135,34 @@ def common_shingles(docs: DataFrame, words: int = SHINGLE) -> tuple[np.ndarray,
 
 
 def prefixes(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` (``doc_id``, ``row``, ``text``) as ``doc_id``, ``row``, ``fp``, ``n`` and ``keys``, without their texts.
+    """``docs`` (``doc_id``, ``row``, ``text``) as ``doc_id``, ``row``, ``fp``, ``n``, ``print``, ``odd`` and ``keys``, without their texts.
 
-    ``fp`` is a hash of the set of shingles, ``n`` its size. Shingles have one order throughout, rare ones first; of two
+    ``fp`` is a hash of the set of shingles, ``n`` its size, ``print`` its SimHash (null: no shingles) and ``odd`` how many of them are not
+    common. Shingles have one order throughout, rare ones first; of two
     sets whose similarity is enough, the first ``n - least_shared(n) + 1`` of each (``keys``) have one in common.
     """
     common, level = common_shingles(docs, words)
 
     def run(batches):
         for batch, texts in _blocks(batches):
-            prints, sizes, keys = [], [], []
+            fps, sizes, prints, odd, keys = [], [], [], [], []
             for found in shingle_sets(texts, words):
                 n = len(found)
-                prints.append(mix(np.array([mix(found).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))[0] if n else np.uint64(0))
+                fps.append(mix(np.array([mix(found).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))[0] if n else np.uint64(0))
                 sizes.append(n)
+                prints.append(simhash(found) if n else None)
+                odd.append(n)
                 if n and len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    found = found[np.argsort(np.where(common[at] == found, level[at] + 1, 0), kind="stable")]
+                    place = np.where(common[at] == found, level[at] + 1, 0)
+                    odd[-1] = int((place == 0).sum())
+                    found = found[np.argsort(place, kind="stable")]
                 keys.append(found[: n - least_shared(n, similarity) + 1] if n else found)
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "n", "keys"])
+            numbers = [pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in (sizes, prints, odd))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *numbers, _lists(keys)], ["doc_id", "row", "fp", "n", "print", "odd", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, fp long, n long, keys array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, fp long, n long, print long, odd long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -186,25 +200,44 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def print_pairs(slim: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``, ``salt``) of sets whose SimHashes ``links`` joins, and of sets with one SimHash: each with one set of its kind only."""
+    sets = slim.where("print IS NOT NULL").select("print", "fp").distinct()
+    first = sets.groupBy("print").agg(F.min("fp").alias("first"))
+    same = sets.join(first, "print").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = links.join(first.select(F.col("print").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("print").alias("b"), F.col("first").alias("y")), "b")
+    pairs = same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    return pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)))
+
+
+def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, links: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``node`` and ``component`` of the sets (``fp`` in ``slim``) that pairs of the wanted similarity connect.
 
-    ``nodes`` has a ``row`` of ``docs`` for each ``fp``. Sets that share a key are candidates. All pairs of a key with few sets are compared
-    by their shingles. In a key with many, each round compares one set with all others and is done with it. It is drawn by a hash of the
-    set alone, so that the many keys of a group of near copies draw the same one and the pairs do not grow with the keys. Pairs
-    that are connected already need no comparison, so few rounds connect a large group.
+    ``nodes`` has a ``row`` of ``docs`` for each ``fp``. First come the pairs whose SimHashes ``links`` (``a``, ``b``) joins. Fingerprints miss
+    pairs, so then sets that share a key are candidates. All pairs of a key with few sets are compared by their shingles. In a key with
+    many, each round compares one set with all others and is done with it. It is drawn by properties of the set alone, so that the many
+    keys of a group of near copies draw the same one and the pairs do not grow with the keys: that with the fewest shingles of its own,
+    as the text that a group's others are copies of. It connects most of them, and the others differ from it by so many rare shingles
+    that the sizes rule out most pairs. Pairs that are connected already need no comparison, so few rounds connect a large group.
     """
-    keyed = slim.select(F.posexplode("keys").alias("at", "key"), "fp", "n").withColumn("rest", F.col("n") - F.col("at")).drop("at")
-    keyed = keyed.select("key", F.struct("fp", "n", "rest").alias("set")).repartition("key")  # shuffled once for both uses
+    copies = slim.groupBy("row").agg(F.count("*").alias("copies"))
+
+    def sets_of(fps: DataFrame, label: str) -> DataFrame:
+        return staged(_sets(docs, fps.join(nodes, "fp").join(copies, "row"), words), label)
+
+    pairs = staged(print_pairs(slim, links), "shingle-pairs")
+    had = sets_of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "simhash-sets")
+    links = staged(_alike(pairs, had, similarity), "shingle-links")
+    member = staged(components(links), "shingle-members")
+    keyed = slim.select(F.posexplode("keys").alias("at", "key"), "fp", "n", "odd").withColumn("rest", F.col("n") - F.col("at")).drop("at")
+    keyed = keyed.select("key", F.struct("fp", "n", "rest", "odd").alias("set")).repartition("key")  # shuffled once for both uses
     shared = keyed.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most").select("key")
     left = staged(keyed.join(shared, "key").select("key", "set.*").distinct(), "shingle-keys")
-    links, sets, member = None, None, None
+    sets = None
     for turn in range(ROUNDS + 1):
-        grouped = left.withColumn("c", F.col("fp"))
-        if member is not None:
-            grouped = left.join(member, left["fp"] == member["node"], "left").select("key", "fp", "n", "rest", F.coalesce("component", "fp").alias("c"))
+        grouped = left.join(member, left["fp"] == member["node"], "left").select("key", "fp", "n", "rest", "odd", F.coalesce("component", "fp").alias("c"))
         heads = grouped.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("fp").alias("draw"), "fp", "n", "rest", "c")).alias("head"), F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")
+            F.min(F.struct("odd", F.xxhash64("fp").alias("draw"), "fp", "n", "rest", "c")).alias("head"), F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")
         )
         heads = heads.where("least < most").select("key", "head", (F.col("size") <= SMALL * 4**turn if turn < ROUNDS else F.lit(True)).alias("small"))
         judged = staged(grouped.join(heads, "key"), "shingle-candidates")
@@ -223,11 +256,11 @@ def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, words:
         pairs = staged(star.union(each).distinct(), "shingle-pairs")
         if sets is None:
             fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(judged.where("NOT small").select("fp")).distinct()
-            sets = staged(_sets(docs, fps.join(nodes, "fp").join(slim.groupBy("row").agg(F.count("*").alias("copies")), "row"), words), "shingle-sets")
-        found = _alike(pairs, sets, similarity)
-        links = staged(found if links is None else links.union(found), "shingle-links")
-        member = staged(components(links), "shingle-members")
-        left = judged.where((~F.col("small")) & (F.col("fp") != F.col("head.fp"))).select("key", "fp", "n", "rest")
+            sets = had.union(sets_of(fps.join(had, "fp", "left_anti"), "shingle-sets"))
+        if not pairs.isEmpty():
+            links = staged(links.union(_alike(pairs, sets, similarity)), "shingle-links")
+            member = staged(components(links), "shingle-members")
+        left = judged.where((~F.col("small")) & (F.col("fp") != F.col("head.fp"))).select("key", "fp", "n", "rest", "odd")
         if left.isEmpty():
             break
     return member

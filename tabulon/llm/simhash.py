@@ -222,8 +222,8 @@ def deduplicated(docs: DataFrame, words: int = shingles.SHINGLE, similarity: flo
     """One document of each group of near copies: that with the smallest doc_id; columns as in ``docs``.
 
     Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more are linked, and groups are what
-    links connect; texts without words are one group. Fingerprints within few bits would miss most such pairs, so candidates come
-    from the exact prefix filter of ``shingles``.
+    links connect; texts without words are one group. Candidates are texts whose SimHashes (of those shingles) link at ``DISTANCE``
+    bits; these would miss most such pairs, so the exact prefix filter of ``shingles`` adds those that they have not connected.
 
     Rows are known by a hash of doc_id and text; of rows equal in both, that with the smallest JSON form stays. Texts are
     neither shuffled nor written, as long as the hashes of the documents that go fit a broadcast (``BROADCAST_ROWS``).
@@ -233,7 +233,8 @@ def deduplicated(docs: DataFrame, words: int = shingles.SHINGLE, similarity: flo
     slim = staged(shingles.prefixes(keyed, words, similarity), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     nodes = staged(slim.groupBy("fp").agg(first.alias("first")), "shingle-nodes")
-    member = shingles.alike_components(keyed, nodes.select("fp", "first.row"), slim, words, similarity)
+    near = links(slim.select(F.col("print").alias("fp")).where("fp IS NOT NULL").distinct())
+    member = shingles.alike_components(keyed, nodes.select("fp", "first.row"), slim, staged(near, "simhash-links"), words, similarity)
     grouped = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     keepers = grouped.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
     counted = slim.groupBy("row").agg(F.count("*").alias("copies")).join(keepers, "row", "left")

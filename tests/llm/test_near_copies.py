@@ -186,3 +186,58 @@ def test_shingles_of_long_texts(monkeypatch):
     assert [len(x) for x in whole] == [0, 0, 1, 1, 3, 6, 1]
     monkeypatch.setattr(wordhash, "CHUNK", 7)
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, shingles.shingle_sets(texts), strict=True))
+
+
+def pieces_of(docs):
+    """What ``alike_components`` takes: keyed texts, their sets, and a row for each set."""
+    from tabulon.llm import shingles
+
+    keyed = docs.select("doc_id", F.col("doc_id").cast("long").alias("row"), "text")
+    slim = shingles.prefixes(keyed).cache()
+    return keyed, slim.groupBy("fp").agg(F.min("row").alias("row")), slim
+
+
+def test_fingerprints_of_sets_link_near_copies(spark):
+    """Without any key of the prefix filter, SimHashes alone connect texts within few bits, if these are similar enough."""
+    from tabulon.llm import shingles
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[1:]), " ".join(f"v{rng.randrange(10**6)}" for _ in range(300)), None, ""]
+    for found in shingles.shingle_sets([(t or "").encode() for t in texts[:4]]):
+        bits = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in found) > len(found))
+        assert shingles.simhash(found) & (1 << 64) - 1 == bits
+    docs, nodes, slim = pieces_of(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    links = simhash.links(slim.select(F.col("print").alias("fp")).where("fp IS NOT NULL").distinct())
+    member = shingles.alike_components(docs, nodes, slim.withColumn("keys", F.expr("array()").cast("array<bigint>")), links)
+    got = {r.row for r in slim.join(member, slim["fp"] == member["node"]).select("row").collect()}
+    assert got == {0, 1, 2} and member.select("component").distinct().count() == 1
+    every = spark.createDataFrame([(a.print, b.print) for a in slim.collect() for b in slim.collect() if a.print is not None and b.print is not None and a.print < b.print], "a long, b long")
+    assert {(r.node, r.component) for r in shingles.alike_components(docs, nodes, slim, every).collect()} == {(r.node, r.component) for r in member.collect()}
+
+
+def test_candidates_of_a_large_group_stay_few(spark, monkeypatch):
+    """Copies of one text, each with other edits: candidates grow with the copies, not with their square."""
+    from tabulon.llm import shingles
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(140)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        other = list(base)
+        for at in rng.sample(range(0, 140, 6), i % 4):
+            other[at] = word()
+        rows.append((i, " ".join(other)))
+    real, made = shingles.staged, []
+
+    def counted(df, label):
+        out = real(df, label)
+        if label == "shingle-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "staged", counted)
+    expected, _ = jaccard_groups(rows)
+    assert {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id int, text string")).collect()} == set(expected.values())
+    assert sum(made) <= 10 * len(rows)
