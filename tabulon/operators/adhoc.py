@@ -20,6 +20,8 @@ from tabulon.operators.gram import correlations
 from tabulon.operators.quantiles import fits_direct, percentile_expr, percentile_values, percentiles, sketches
 from tabulon.session import staged
 
+GROUP_TASKS = 4  # per core, where a user function takes whole groups
+
 
 def filter_rows(df: DataFrame, predicate: str) -> DataFrame:
     return df.where(F.expr(predicate))
@@ -204,14 +206,16 @@ def apply_by_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFr
     """A user function that needs a whole group in memory.
 
     Groups without a bound belong in :func:`group_aggregate`, :func:`combine_by_group` or :func:`stream_by_group`; with ``max_rows`` the
-    largest group is counted first and must stay within it.
+    largest group is counted first and must stay within it. The shuffle makes ``GROUP_TASKS`` tasks per core whatever the
+    bytes of the rows: the function's time is what they share.
     """
     df = with_keys(df, keys)
     if max_rows is not None:
         largest = df.groupBy(*[col(k) for k in keys]).count().agg(F.max("count").alias("n")).first()["n"] or 0
         if largest > max_rows:
             raise ValueError(f"a group holds {largest} rows (limit {max_rows}); use combine_by_group")
-    return df.groupBy(*[col(k) for k in keys]).applyInPandas(function, schema)
+    tasks = GROUP_TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, *[col(k) for k in keys]).groupBy(*[col(k) for k in keys]).applyInPandas(function, schema)
 
 
 def stream_by_group(

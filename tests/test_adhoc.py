@@ -68,6 +68,19 @@ def test_user_functions(spark):
         adhoc.apply_by_group(df, ["k"], lambda g: g, "k long, id long", max_rows=10)
 
 
+def test_small_groups_are_many_tasks_work(spark):
+    """Few bytes of many groups: the function's calls are dealt over the cores."""
+
+    def where(group: pd.DataFrame) -> pd.DataFrame:
+        from pyspark import TaskContext
+
+        return pd.DataFrame({"k": [group["k"].iloc[0]], "n": [len(group)], "task": [TaskContext.get().partitionId()]})
+
+    rows = adhoc.apply_by_group(spark.range(600).selectExpr("IF(id < 590, id % 200, NULL) AS k", "id"), ["k"], where, "k long, n long, task int").collect()
+    assert sorted((r.k, r.n) for r in rows) == [(k, 3 if k < 190 else 2) for k in range(200)]
+    assert len({r.task for r in rows}) >= spark.sparkContext.defaultParallelism
+
+
 def test_steps(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet")
     found = adhoc.analyze(
