@@ -30,6 +30,7 @@ DATE_LAYOUTS = (
     ("MMMM d, yyyy", r"^[A-Z][a-z]{2,} \d{1,2}, \d{4}$"),
 )
 ISO_SHAPE = r"^\s*(\d{4}(-\d|\s*$)|\d{1,2}:\d{2})"
+ANY_SHAPE = "^(?:" + "|".join(shape.removeprefix("^") for shape in (ISO_SHAPE, *(s for _, s in DATE_LAYOUTS))) + ")"
 
 
 def text_to_number(value: Column) -> Column:
@@ -55,12 +56,17 @@ def _timestamp_candidates(value: Column) -> list[Column]:
     return [iso] + [F.try_to_timestamp(F.when(value.rlike(shape), value), F.lit(p)) for p, shape in DATE_LAYOUTS]
 
 
-def layout_counts(values: dict[str, Column]) -> list[Column]:
-    """Aggregates for :func:`chosen_layouts`: per column all values, and those that each layout reads."""
+def date_like(value: Column) -> Column:
+    """The value if it has the shape of any layout: one test in place of one per layout."""
+    return F.when(value.rlike(ANY_SHAPE), value)
+
+
+def layout_counts(values: dict[str, Column], shaped: dict[str, Column] | None = None) -> list[Column]:
+    """Aggregates for :func:`chosen_layouts`: per column all values, and those that each layout reads (``shaped``: its ``date_like`` values)."""
     counts = []
-    for i, value in enumerate(values.values()):
+    for i, (name, value) in enumerate(values.items()):
         counts.append(F.count(value).alias(f"n_{i}"))
-        counts += [F.count(parsed).alias(f"p_{i}_{j}") for j, parsed in enumerate(_timestamp_candidates(value))]
+        counts += [F.count(parsed).alias(f"p_{i}_{j}") for j, parsed in enumerate(_timestamp_candidates(shaped[name] if shaped else value))]
     return counts
 
 

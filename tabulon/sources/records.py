@@ -142,6 +142,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                     begun, pending = not open_quote, []
                 found = part.column("line")
                 marks = _quoted(found)
+                if not marks and not open_quote:  # every line is a record
+                    begun = True
+                    if pc.any(pc.ends_with(found, "\r")).as_py():
+                        found = pc.replace_substring_regex(found, r"\r\z", "")
+                    found = found.filter(pc.not_equal(found, ""))
+                    if n := len(found):
+                        columns = [np.full(n, now[0]), np.full(n, now[1]), np.full(n, WHOLE, np.int32), np.r_[header, np.zeros(n - 1, bool)]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), found.cast(pa.string())], ["file", "start", "kind", "header", "record"])
+                        header = False
+                    continue
                 opens = np.zeros(len(found) + 1, bool)  # a quoted value is open before this line
                 low = 0
                 for at, line in marks:
