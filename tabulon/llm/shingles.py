@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabulon.llm import wordhash
 from tabulon.llm.components import components
 from tabulon.llm.wordhash import Words, mix, parts_of
-from tabulon.session import staged
+from tabulon.session import small_batches, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -117,7 +117,8 @@ def common_shingles(docs: DataFrame, words: int = SHINGLE) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
 
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
-    counts = staged(sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON), "common-shingles")
+    with small_batches(docs.sparkSession):
+        counts = staged(sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON), "common-shingles")
     level = F.floor(F.log2("count")).cast("int")
     sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
     total, least = 0, None
@@ -166,38 +167,30 @@ def prefixes(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARI
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``fp`` and ``shingles`` (8 bytes each, sorted) of the documents whose ``row`` ``wanted`` (``row``, ``fp``, ``copies``) has."""
+    """``fp`` and ``shingles`` (distinct) of the documents whose ``row`` ``wanted`` (``row``, ``fp``, ``copies``) has."""
 
     def run(batches):
         for batch, texts in _blocks(batches):
-            held = [x.astype("<u8").tobytes() for x in shingle_sets(texts, words)]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(held, pa.binary())], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), _lists(shingle_sets(texts, words))], ["fp", "shingles"])
 
     if wanted.count() <= 1_000_000:
         wanted = F.broadcast(wanted)
     found = docs.join(wanted, "row")
-    made = lambda part: part.select("fp", "text").mapInArrow(run, "fp long, shingles binary")
+    made = lambda part: part.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
     repeated = found.where("copies > 1").groupBy("fp").agg(F.first("text").alias("text"))  # a row that is there more than once
     return made(found.where("copies = 1")).union(made(repeated))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``, and ``salt``, which spreads the pairs of one ``a``) that are as similar as asked."""
-
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+    """Those of ``pairs`` (``a``, ``b``, and ``salt``, which spreads the pairs of one ``a``) that are as similar as asked.
 
+    Spark compares the two sets of a pair where they are joined, row by row: no Arrow batch holds the sets of thousands of pairs.
+    """
     few = F.broadcast if pairs.count() <= PAIRS_MOST else lambda x: x  # then only sets that have pairs are shuffled
     left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")).join(few(pairs.select("a", "salt").distinct()), "a")
     both = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")).join(few(pairs), "b").join(left, ["a", "salt"])
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
 def print_pairs(slim: DataFrame, links: DataFrame) -> DataFrame:
@@ -223,7 +216,8 @@ def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, links:
     copies = slim.groupBy("row").agg(F.count("*").alias("copies"))
 
     def sets_of(fps: DataFrame, label: str) -> DataFrame:
-        return staged(_sets(docs, fps.join(nodes, "fp").join(copies, "row"), words), label)
+        with small_batches(docs.sparkSession):
+            return staged(_sets(docs, fps.join(nodes, "fp").join(copies, "row"), words), label)
 
     pairs = staged(print_pairs(slim, links), "shingle-pairs")
     had = sets_of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "simhash-sets")

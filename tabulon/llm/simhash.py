@@ -16,7 +16,7 @@ from tabulon.llm import shingles
 from tabulon.llm.components import components
 from tabulon.llm.ordering import unique_name
 from tabulon.llm.wordhash import parts_of
-from tabulon.session import staged
+from tabulon.session import small_batches, staged
 
 BITS = 64
 SEED = 42
@@ -230,7 +230,8 @@ def deduplicated(docs: DataFrame, words: int = shingles.SHINGLE, similarity: flo
     """
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     keyed = docs.select("doc_id", key.alias("row"), "text")
-    slim = staged(shingles.prefixes(keyed, words, similarity), "shingles")
+    with small_batches(docs.sparkSession):
+        slim = staged(shingles.prefixes(keyed, words, similarity), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     nodes = staged(slim.groupBy("fp").agg(first.alias("first")), "shingle-nodes")
     near = links(slim.select(F.col("print").alias("fp")).where("fp IS NOT NULL").distinct())

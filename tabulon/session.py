@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "4m"  # of values in an Arrow batch, where long texts or packed rows go to Python
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _local_dirs: dict[str, str] = {}
 
 
@@ -55,6 +59,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started within cut Arrow batches at ``BATCH_BYTES`` (or where the session already cuts them).
+
+    By default a batch has 10000 rows of any size, and executor and Python worker both hold it whole.
+    """
+    before = spark.conf.get(_ARROW_BYTES, None)
+    if before is None:
+        spark.conf.set(_ARROW_BYTES, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ARROW_BYTES)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

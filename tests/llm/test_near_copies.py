@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_helpers import groups_of
@@ -241,3 +242,48 @@ def test_candidates_of_a_large_group_stay_few(spark, monkeypatch):
     expected, _ = jaccard_groups(rows)
     assert {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id int, text string")).collect()} == set(expected.values())
     assert sum(made) <= 10 * len(rows)
+
+
+def test_sets_are_compared_by_spark(spark):
+    """No batch of thousands of pairs goes to Python with both sets of each; sets are compared exactly."""
+    from tabulon.llm import shingles
+
+    rng = random.Random(8)
+    sets = {0: set(range(10)), 1: set(range(2, 12)), 2: set(range(1, 10)), 3: set(range(8)), 4: {-(2**63), 2**63 - 1}, 5: {-(2**63), 2**63 - 1, 7}}
+    sets |= {i: set(rng.sample(range(14), 11)) for i in range(6, 30)}
+    table = spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "fp long, shingles array<long>")
+    pairs = spark.createDataFrame([(a, b, b % 4) for a in sets for b in sets if a < b], "a long, b long, salt int")
+    found = shingles._alike(pairs, table, 0.8)
+    expected = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert {(r.a, r.b) for r in found.collect()} == expected and (0, 2) in expected and (0, 3) in expected and (0, 1) not in expected
+    assert "InArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    from tabulon import session
+    from tabulon.llm import shingles
+
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+
+    def noted(real):
+        def staged(df, label):
+            seen.setdefault(label, spark.conf.get(name, None))
+            return real(df, label)
+
+        return staged
+
+    monkeypatch.setattr(shingles, "staged", noted(shingles.staged))
+    monkeypatch.setattr(simhash, "staged", noted(simhash.staged))
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, None)], "doc_id int, text string")
+    before = spark.conf.get(name, None)
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {1, 3}
+    assert {seen[x] for x in ("common-shingles", "shingles", "simhash-sets")} == {session.BATCH_BYTES} and spark.conf.get(name, None) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    with session.small_batches(spark):
+        cut = spark.range(0, 4000, 1, 1).selectExpr("id AS n", "repeat('x', 4000) AS t").mapInArrow(sizes, "n long").collect()
+    assert sum(r.n for r in cut) == 4000 and max(r.n for r in cut) * 4000 < 5_000_000
