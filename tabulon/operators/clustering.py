@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, present, small_table
-from tabulon.session import staged
+from tabulon.session import small_batches, staged
 
 # Model defaults.
 SEED = 42
@@ -25,6 +25,7 @@ MIN_CLUSTERS, MAX_CLUSTERS, DEFAULT_CLUSTERS = 2, 12, 3
 
 SEED_ROUNDS = 4  # rounds in which candidates for the first centres are drawn
 SILHOUETTE_METRIC = "squared_euclidean"
+SLICE_ROWS = 2048  # rows of a K-Means block that are worked on at once
 BLOCK_ROWS = 1024  # points that are compared with as many at once
 DIRECT_TASKS = 1024  # tasks whose sums the driver adds up itself (starts x clusters rows each)
 GROUP_BLOCKS = 16  # blocks that meet another one in the same task
@@ -63,15 +64,49 @@ def _first_centers(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.
     return np.array(chosen)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """The rows of all blocks, ``SLICE_ROWS`` at a time: what is computed on a slice stays in a core's cache."""
+    for batch in batches:
+        for block in batch.column("block"):
+            rows = np.frombuffer(block.as_buffer()).reshape(-1, width)
+            for low in range(0, len(rows), SLICE_ROWS):
+                yield rows[low : low + SLICE_ROWS]
+
+
 def _draws(rows: np.ndarray, salt: int) -> np.ndarray:
     """A number in (0, 1) for every row, from its values and ``salt`` alone: draws do not depend on how a table is partitioned."""
     h = np.full(len(rows), salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for column in (np.ascontiguousarray(rows) + 0.0).view(np.uint64).T:
+    for column in (np.ascontiguousarray(rows.T) + 0.0).view(np.uint64):
         h ^= column
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(factor)
         h ^= h >> np.uint64(31)
-    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+    h >>= np.uint64(11)
+    draw = h.astype(float)
+    draw += 0.5
+    draw *= 2.0**-53
+    return draw
+
+
+def _relative(centers: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """|x - c|^2 less |x|^2 as a row per centre; ``columns`` are those of the points, and one of ones."""
+    return np.column_stack([-2 * centers, (centers**2).sum(1)]) @ columns
+
+
+def _with_ones(rows: np.ndarray) -> np.ndarray:
+    return np.column_stack([rows, np.ones(len(rows))])
+
+
+def _least_keys(rows: np.ndarray, weight: np.ndarray, salt: int, below: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys less than ``below`` and their rows; a row's key is -log(draw) / weight."""
+    draw = _draws(rows, salt)
+    if np.isfinite(below):  # -log(x) is 1 - x at least: few rows are left that need a logarithm
+        at = np.flatnonzero(1.0 - draw <= weight * (below * (1 + 1e-9)))
+        rows, weight, draw = rows[at], weight[at], draw[at]
+    usable = weight > 1e-12
+    key = -np.log(draw[usable]) / weight[usable]
+    return key[key < below], rows[usable][key < below]
 
 
 def _drawn(blocks: DataFrame, features: list[str], known: dict[int, np.ndarray], many: int, salt: int, few: bool = False) -> dict[int, np.ndarray]:
@@ -81,18 +116,16 @@ def _drawn(blocks: DataFrame, features: list[str], known: dict[int, np.ndarray],
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {s: (np.zeros(0), np.zeros((0, width))) for s in known}
-        for rows in (np.frombuffer(b.as_py()).reshape(-1, width) for batch in batches for b in batch.column("block")):
+        for rows in _slices(batches, width):
+            columns, squares = _with_ones(rows).T, (rows**2).sum(1)
             for start, near in known.items():
-                weight = _distances(rows, near).min(axis=1) if len(near) else np.ones(len(rows))
-                usable = weight > 1e-12
-                key = -np.log(_draws(rows[usable], salt + 1009 * start)) / weight[usable]
-                # Equal rows have equal keys and count once.
-                key, first = np.unique(np.r_[held[start][0], key], return_index=True)
-                first, count = first[:many], len(held[start][0])
-                new = rows[usable][first[first >= count] - count]
-                point = np.empty((len(first), width))
-                point[first < count], point[first >= count] = held[start][1][first[first < count]], new
-                held[start] = key[:many], point
+                had, points = held[start]
+                weight = np.maximum(_relative(near, columns).min(axis=0) + squares, 0.0) if len(near) else np.ones(len(rows))
+                # Only keys below the largest one held can come in. Equal rows have equal keys and count once.
+                key, new = _least_keys(rows, weight, salt + 1009 * start, had[-1] if len(had) == many else np.inf)
+                if len(key):
+                    key, first = np.unique(np.r_[had, key], return_index=True)
+                    held[start] = key[:many], np.r_[points, new][first[:many]]
         for start, (key, point) in held.items():
             if len(key):
                 points = pa.array([p.tobytes() for p in point], pa.binary())
@@ -121,7 +154,7 @@ def _initial_centers(blocks: DataFrame, features: list[str], k: int, starts: int
         known = {s: np.r_[known[s], more[s]] for s in known}
     width = max(map(len, known.values()))
     padded = {s: np.r_[c, np.full((width - len(c), len(features)), 1e150)] for s, c in known.items()}
-    counts = _scan(blocks, features, padded, few=few)
+    counts = _scan(blocks, features, padded, few=few, counts_only=True)
     rng = np.random.default_rng(seed)
     return {s: _first_centers(known[s], np.maximum(counts[s][0][: len(known[s])], 1e-9), k, rng) for s in known}
 
@@ -139,8 +172,10 @@ def _blocks(data: DataFrame, features: list[str]) -> DataFrame:
     return data.mapInArrow(pack, "block binary")
 
 
-def _scan(blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray], with_cost: bool = False, few: bool = False) -> dict[int, tuple]:
-    """One scan for all starts: per (start, cluster) row count, feature sums and cost.
+def _scan(
+    blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray], with_cost: bool = False, few: bool = False, counts_only: bool = False
+) -> dict[int, tuple]:
+    """One scan for all starts: per (start, cluster) row count, feature sums and cost (zero where not asked for).
 
     Tasks return one row per start and cluster. Spark adds them up, so the driver receives starts x clusters
     rows whatever the size of the data; those of ``few`` tasks (``DIRECT_TASKS`` at most) it adds up itself, which saves a shuffle.
@@ -154,22 +189,27 @@ def _scan(blocks: DataFrame, features: list[str], centers: dict[int, np.ndarray]
         counts = np.zeros((len(starts), k))
         totals = np.zeros((len(starts), k, len(features)))
         costs = np.zeros((len(starts), k))
-        norms = (stacked**2).sum(1)[:, None]
         width = len(features)
-        numbers = np.arange(k)[:, None]
+        numbers = np.arange(k, dtype=np.int16)[:, None]
         seen = False
-        for rows in (np.frombuffer(b.as_py()).reshape(-1, width) for batch in batches for b in batch.column("block")):
+        for rows in _slices(batches, width):
             seen = True
-            # |x - c|^2 less |x|^2, which does not change the nearest centre
-            relative = (norms - 2 * (stacked @ rows.T)).reshape(len(starts), k, len(rows))
-            labels = relative.argmin(axis=1)
+            points = _with_ones(rows)
+            relative = _relative(stacked, points.T).reshape(len(starts), k, len(rows))  # has the same nearest centre
+            nearest, labels = relative[:, 0].copy(), np.zeros((len(starts), len(rows)), np.int16)
+            for number in range(1, k):  # the lowest number wins ties
+                less = relative[:, number] < nearest
+                np.maximum(labels, less.view(np.int8) * np.int16(number), out=labels)
+                np.minimum(nearest, relative[:, number], out=nearest)
+            if counts_only:
+                counts += np.stack([np.bincount(x, minlength=k) for x in labels])
+                continue
             member = (labels[:, None, :] == numbers).astype(float)
-            sums_of = member.reshape(-1, len(rows)) @ np.column_stack([rows, np.ones(len(rows))])
+            sums_of = member.reshape(-1, len(rows)) @ points
             totals += sums_of[:, :-1].reshape(totals.shape)
             counts += sums_of[:, -1].reshape(counts.shape)
             if with_cost:
-                nearest = np.maximum(relative.min(axis=1) + (rows**2).sum(1), 0.0)
-                costs += np.einsum("skr,sr->sk", member, nearest)
+                costs += np.einsum("skr,sr->sk", member, np.maximum(nearest + (rows**2).sum(1), 0.0))
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -241,27 +281,28 @@ def fit_kmeans(
     if one["n"] < k:
         raise ValueError(f"{one['n']} rows are too few for {k} clusters")
     limit = tolerance * sum(one[f"v_{i}"] for i in range(len(features))) / len(features)
-    if initial is not None:
-        centers = {0: np.array(initial, dtype=float)}
-    else:
-        centers = _initial_centers(blocks, features, k, starts, seed, few)
-    active = dict(centers)
-    iterations = 0
-    while active and iterations < max_iterations:
-        iterations += 1
-        for start, (counts, totals, _) in _scan(blocks, features, active, few=few).items():
-            moved = np.where(counts[:, None] > 0, totals / np.maximum(counts, 1)[:, None], centers[start])
-            empty = np.flatnonzero(counts == 0)
-            if len(empty):
-                far = _farthest(blocks, features, moved[counts > 0], len(empty))
-                far = far[_distances(far, moved[counts > 0]).min(axis=1) > 0]
-                moved[empty[: len(far)]] = far
-            shift = float(((moved - centers[start]) ** 2).sum())
-            centers[start] = moved
-            active[start] = moved
-            if shift <= limit:
-                del active[start]
-    final = _scan(blocks, features, centers, with_cost=True, few=few)
+    with small_batches(df.sparkSession):  # so that Spark reads on while Python computes
+        if initial is not None:
+            centers = {0: np.array(initial, dtype=float)}
+        else:
+            centers = _initial_centers(blocks, features, k, starts, seed, few)
+        active = dict(centers)
+        iterations = 0
+        while active and iterations < max_iterations:
+            iterations += 1
+            for start, (counts, totals, _) in _scan(blocks, features, active, few=few).items():
+                moved = np.where(counts[:, None] > 0, totals / np.maximum(counts, 1)[:, None], centers[start])
+                empty = np.flatnonzero(counts == 0)
+                if len(empty):
+                    far = _farthest(blocks, features, moved[counts > 0], len(empty))
+                    far = far[_distances(far, moved[counts > 0]).min(axis=1) > 0]
+                    moved[empty[: len(far)]] = far
+                shift = float(((moved - centers[start]) ** 2).sum())
+                centers[start] = moved
+                active[start] = moved
+                if shift <= limit:
+                    del active[start]
+        final = _scan(blocks, features, centers, with_cost=True, few=few)
     costs = [float(final[s][2].sum()) for s in sorted(centers)]
     best = int(np.argmin(costs))
     sizes = final[best][0]

@@ -100,6 +100,35 @@ def test_sums_by_spark_and_by_the_driver_agree(spark, groups, monkeypatch):
     assert one.centers == pytest.approx(other.centers) and one.costs == pytest.approx(other.costs)
 
 
+def test_least_keys_need_few_logarithms():
+    """Keys come out exactly as if all were computed, but only for rows that can be below the bound."""
+    rng = np.random.default_rng(3)
+    rows, weight = rng.normal(size=(5000, 3)), np.r_[np.zeros(10), rng.exponential(size=4990)]
+    draws = K._draws(rows, 11)
+    assert draws.min() > 0 and draws.max() < 1 and (draws == K._draws(rows[::-1], 11)[::-1]).all()
+    usable = weight > 1e-12
+    every = -np.log(draws[usable]) / weight[usable]
+    for below in (np.inf, 0.01, 0.0):
+        key, points = K._least_keys(rows, weight, 11, below)
+        assert (key == every[every < below]).all() and (points == rows[usable][every < below]).all()
+
+
+def test_kmeans_scans_in_slices_and_small_batches(spark):
+    rng = np.random.default_rng(4)
+    points = np.r_[rng.normal(size=(2 * K.SLICE_ROWS + 5, 2)), [[0.5, 0.0]] * 3]
+    data = spark.createDataFrame(points.tolist(), "a double, b double")
+    blocks = K._blocks(data, ["a", "b"])
+    centers = {0: np.array([[0.0, 0.0], [1.0, 0.0], [9.0, 9.0]]), 2: rng.normal(size=(3, 2))}
+    got, counts = K._scan(blocks, ["a", "b"], centers, with_cost=True), K._scan(blocks, ["a", "b"], centers, counts_only=True)
+    for start, near in centers.items():
+        apart = ((points[:, None] - near[None]) ** 2).sum(-1)
+        label = apart.argmin(1)  # the lowest number wins ties
+        assert got[start][0].tolist() == counts[start][0].tolist() == np.bincount(label, minlength=3).tolist()
+        assert np.allclose(got[start][1], [points[label == c].sum(0) for c in range(3)])
+        assert np.allclose(got[start][2], [apart[label == c, c].sum() for c in range(3)])
+    assert not counts[0][1].any()
+
+
 def test_silhouette_in_one_and_many_blocks(spark, groups, monkeypatch):
     extra = spark.createDataFrame([(9, 0, 200.0, 200.0, 0.0)], groups.schema)  # a cluster of one row
     df = groups.unionByName(extra)
