@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm import contamination, hilbert, mixing, simhash, toxicity
-from tabulon.session import staged
+from tabulon.session import discard, staged
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn on ``documents``, each on what the one before has written."""
+    """The stages in turn on ``documents``, each on what the one before has written; that goes when it has been read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabulon.llm import wordhash
 from tabulon.llm.components import components
 from tabulon.llm.wordhash import Words, mix, parts_of
-from tabulon.session import small_batches, staged
+from tabulon.session import brief_shuffles, discard, small_batches, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -128,8 +128,10 @@ def common_shingles(docs: DataFrame, words: int = SHINGLE) -> tuple[np.ndarray,
             break
         least = row["level"]
     if least is None:
+        discard(counts)
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     found = counts.where(level >= least).select("shingle", level.alias("level")).toArrow()
+    discard(counts)
     shingle = found.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingle)
     return shingle[order], found.column("level").to_numpy().astype(np.uint8)[order]
@@ -221,13 +223,13 @@ def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, links:
 
     pairs = staged(print_pairs(slim, links), "shingle-pairs")
     had = sets_of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "simhash-sets")
-    links = staged(_alike(pairs, had, similarity), "shingle-links")
-    member = staged(components(links), "shingle-members")
+    member = components(_alike(pairs, had, similarity))
+    discard(pairs)
     keyed = slim.select(F.posexplode("keys").alias("at", "key"), "fp", "n", "odd").withColumn("rest", F.col("n") - F.col("at")).drop("at")
     keyed = keyed.select("key", F.struct("fp", "n", "rest", "odd").alias("set")).repartition("key")  # shuffled once for both uses
     shared = keyed.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most").select("key")
-    left = staged(keyed.join(shared, "key").select("key", "set.*").distinct(), "shingle-keys")
-    sets = None
+    left = read = staged(keyed.join(shared, "key").select("key", "set.*").distinct(), "shingle-keys")
+    rest = sets = None
     for turn in range(ROUNDS + 1):
         grouped = left.join(member, left["fp"] == member["node"], "left").select("key", "fp", "n", "rest", "odd", F.coalesce("component", "fp").alias("c"))
         heads = grouped.groupBy("key").agg(
@@ -235,6 +237,8 @@ def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, links:
         )
         heads = heads.where("least < most").select("key", "head", (F.col("size") <= SMALL * 4**turn if turn < ROUNDS else F.lit(True)).alias("small"))
         judged = staged(grouped.join(heads, "key"), "shingle-candidates")
+        discard(read)
+        read = judged
 
         def near(n, m, n_rest, m_rest):
             """Sizes let two sets be alike, and so do the shingles from the key on (it may be the first they share)."""
@@ -250,11 +254,15 @@ def alike_components(docs: DataFrame, nodes: DataFrame, slim: DataFrame, links:
         pairs = staged(star.union(each).distinct(), "shingle-pairs")
         if sets is None:
             fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(judged.where("NOT small").select("fp")).distinct()
-            sets = had.union(sets_of(fps.join(had, "fp", "left_anti"), "shingle-sets"))
+            rest = sets_of(fps.join(had, "fp", "left_anti"), "shingle-sets")
+            sets = had.union(rest)
         if not pairs.isEmpty():
-            links = staged(links.union(_alike(pairs, sets, similarity)), "shingle-links")
-            member = staged(components(links), "shingle-members")
+            known = member.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            last, member = member, components(known.union(_alike(pairs, sets, similarity)))
+            discard(last)
+        discard(pairs)
         left = judged.where((~F.col("small")) & (F.col("fp") != F.col("head.fp"))).select("key", "fp", "n", "rest", "odd")
         if left.isEmpty():
             break
+    discard(read, had, rest)
     return member

@@ -16,7 +16,7 @@ from tabulon.llm import shingles
 from tabulon.llm.components import components
 from tabulon.llm.ordering import unique_name
 from tabulon.llm.wordhash import parts_of
-from tabulon.session import small_batches, staged
+from tabulon.session import brief_shuffles, discard, small_batches, staged
 
 BITS = 64
 SEED = 42
@@ -229,19 +229,10 @@ def deduplicated(docs: DataFrame, words: int = shingles.SHINGLE, similarity: flo
     neither shuffled nor written, as long as the hashes of the documents that go fit a broadcast (``BROADCAST_ROWS``).
     """
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    keyed = docs.select("doc_id", key.alias("row"), "text")
-    with small_batches(docs.sparkSession):
-        slim = staged(shingles.prefixes(keyed, words, similarity), "shingles")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    nodes = staged(slim.groupBy("fp").agg(first.alias("first")), "shingle-nodes")
-    near = links(slim.select(F.col("print").alias("fp")).where("fp IS NOT NULL").distinct())
-    member = shingles.alike_components(keyed, nodes.select("fp", "first.row"), slim, staged(near, "simhash-links"), words, similarity)
-    grouped = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    keepers = grouped.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
-    counted = slim.groupBy("row").agg(F.count("*").alias("copies")).join(keepers, "row", "left")
-    judged = staged(counted.where("stays IS NULL OR copies > 1"), "simhash-judged")  # the others stay as they are
-    if judged.count() <= BROADCAST_ROWS:
-        judged = F.broadcast(judged)
+    with brief_shuffles(docs.sparkSession):
+        judged = _judged(docs.select("doc_id", key.alias("row"), "text"), words, similarity)
+        if judged.count() <= BROADCAST_ROWS:
+            judged = F.broadcast(judged)
     name = unique_name(docs, "row")
     marked = docs.withColumn(name, key).join(judged.withColumnsRenamed({"row": "__row", "copies": "__copies", "stays": "__stays"}), F.col(name) == F.col("__row"), "left")
     own = [F.col(f"`{c}`") for c in docs.columns]
@@ -249,3 +240,20 @@ def deduplicated(docs: DataFrame, words: int = shingles.SHINGLE, similarity: flo
     repeated = marked.where("__stays").select(name, F.struct(*own).alias("document"))
     once = repeated.groupBy(name).agg(F.min_by("document", F.to_json("document")).alias("document"))
     return single.unionByName(once.select("document.*"))
+
+
+def _judged(keyed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``row``, ``copies`` and ``stays`` (null: goes) of the ``keyed`` documents that go or are there more than once, as a staged table."""
+    with small_batches(keyed.sparkSession):
+        slim = staged(shingles.prefixes(keyed, words, similarity), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = staged(slim.groupBy("fp").agg(first.alias("first")), "shingle-nodes")
+    near = staged(links(slim.select(F.col("print").alias("fp")).where("fp IS NOT NULL").distinct()), "simhash-links")
+    member = shingles.alike_components(keyed, nodes.select("fp", "first.row"), slim, near, words, similarity)
+    discard(near)
+    grouped = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    keepers = grouped.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    counted = slim.groupBy("row").agg(F.count("*").alias("copies")).join(keepers, "row", "left")
+    judged = staged(counted.where("stays IS NULL OR copies > 1"), "simhash-judged")  # the others stay as they are
+    discard(slim, nodes, member)
+    return judged

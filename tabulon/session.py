@@ -7,12 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = "4m"  # of values in an Arrow batch, where long texts or packed rows go to Python
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dirs: dict[str, str] = {}
+_staged: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # where tables are written
 
 
 def build_session(app_name: str = "tabulon", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,25 +68,59 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
     By default a batch has 10000 rows of any size, and executor and Python worker both hold it whole.
     """
-    before = spark.conf.get(_ARROW_BYTES, None)
+    with _unless_set(spark, _ARROW_BYTES, BATCH_BYTES):
+        yield
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs started within delete their shuffle files when they end (or do as the session says).
+
+    By default these files stay until the driver happens to collect the plan as garbage, so that many jobs in a row
+    fill the executors' disks. A DataFrame whose action runs within should not run another: its shuffles are made again.
+    """
+    with _unless_set(spark, _CLEAN_SHUFFLES, "true"):
+        yield
+
+
+@contextmanager
+def _unless_set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
     if before is None:
-        spark.conf.set(_ARROW_BYTES, BATCH_BYTES)
+        spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_ARROW_BYTES)
+            spark.conf.unset(key)
+
+
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Cuts the lineage: a lost executor costs a re-read, not a re-run of the steps before. The table
-    goes when the driver ends.
+    goes when the driver ends, or with ``discard``; the shuffle files of the write go at once.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    context = df.sparkSession.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with brief_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    files, folder = _file_system(df.sparkSession, path)
+    files.deleteOnExit(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables as ``staged`` gave them, which nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        if path := _staged.pop(table, None):
+            files, folder = _file_system(table.sparkSession, path)
+            files.delete(folder, True)
+            files.cancelDeleteOnExit(folder)

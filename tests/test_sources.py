@@ -1,10 +1,12 @@
 import json
+import os
+import time
 import zipfile
 from datetime import datetime
 
 import pytest
 
-from tabulon.session import scratch_path, shared_dir, staged
+from tabulon.session import brief_shuffles, discard, scratch_path, shared_dir, staged
 from tabulon.sources import database, files
 
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
@@ -124,6 +126,33 @@ def test_shared_folder(spark):
     assert staged(spark.range(5), "t").count() == 5
 
 
+def shuffle_files(spark):
+    names = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {x for x in names.split("\n") if "/shuffle_" in x}
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    before, key = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(key, None)
+    table = staged(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "t")
+    with brief_shuffles(spark):
+        assert spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count().count() == 7
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and table.count() == 7 and spark.conf.get(key, None) == set_before
+
+
+def test_discard(spark):
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    table, other, plain = staged(spark.range(5), "t"), staged(spark.range(6), "t"), spark.range(7)
+    discard(table, plain)
+    discard(table)
+    assert len(set(os.listdir(folder)) - before) == 1 and other.count() == 6 and plain.count() == 7
+
+
 def test_csv_keeps_everything(spark, tmp_path):
     rows = [("  a b ", 'say "x", y'), ("\ttab ", "two\nlines\n"), ("NA", " ")]
     df = spark.createDataFrame(rows, "a string, b string")
